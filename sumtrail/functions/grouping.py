@@ -15,7 +15,7 @@ def window_by(by: Sequence[str]) -> WindowSpec:
 
 
 def join_by(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """Attach one row per key to ``left``.
+    """Attach one row per key to ``left``; a NULL key is a key like any other.
 
     Without keys ``right`` is a single row (an ungrouped aggregate), which is
     the one case that is always small enough to broadcast. With keys the join
@@ -23,7 +23,16 @@ def join_by(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "in
     """
     if not by:
         return left.crossJoin(F.broadcast(right))
-    return left.join(right, list(by), how)
+    nullable = [c for c in by if left.schema[c].nullable and right.schema[c].nullable]
+    if not nullable:
+        return left.join(right, list(by), how)
+    renamed = {c: f"_key_{c}" for c in by}
+    other = right.withColumnsRenamed(renamed)
+    match = F.lit(True)
+    for c, key in renamed.items():
+        same = left[c].eqNullSafe(other[key]) if c in nullable else left[c] == other[key]
+        match = match & same
+    return left.join(other, match, how).drop(*renamed.values())
 
 
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,

@@ -60,7 +60,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
     )
     rounded = [half_up(F.col(c), 2).alias(c) for c in ("mean", "median", "q1", "q3", "sd", "variance")]
     return (
-        moments.join(numeric_mode(long, keys), keys, "left")
+        join_by(moments, numeric_mode(long, keys), keys, "left")
         .select(*keys, "n", *rounded, "mode", "min", "max", "outliers")
     )
 
