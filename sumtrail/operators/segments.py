@@ -22,7 +22,9 @@ def customer_rollup(df: DataFrame, customer: str, date: str, measure: str,
     """Spend, orders and months since the first purchase, per customer.
 
     ``recency="last"`` counts from the last purchase instead. Orders are rows
-    unless ``order_key`` names the column that identifies an order.
+    unless ``order_key`` names the column that identifies an order. Spend is
+    rounded to two decimals, which makes it independent of the order of
+    summation, so a customer at a cut point compares equal to it.
     """
     id_ = strip(F.col(customer).cast("string"))
     month = F.trunc(F.col(date).cast("date"), "month")
@@ -31,7 +33,7 @@ def customer_rollup(df: DataFrame, customer: str, date: str, measure: str,
         df.where(F.col(measure).isNotNull() & (id_ != ""))
         .groupBy(*by, id_.alias("customer"))
         .agg(
-            F.sum(measure).alias("spend"), orders.alias("orders"),
+            half_up(F.sum(measure), 2).alias("spend"), orders.alias("orders"),
             F.min(month).alias("first_month"), F.max(month).alias("last_month"),
         )
     )

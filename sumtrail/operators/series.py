@@ -92,8 +92,8 @@ def _trend_points(shape: DataFrame, by: Sequence[str], scenarios: Sequence[str],
     out = _with_scenarios(_future(shape, horizon), scenarios).withColumn("_base", base)
     return out.withColumns({
         "value": half_up(F.col("_base")),
-        "low": half_up(F.col("_base") * (1 - fixed.BAND_WIDTH)),
-        "high": half_up(F.col("_base") * (1 + fixed.BAND_WIDTH)),
+        "low": half_up(F.col("_base") - F.col("_base") * fixed.BAND_WIDTH),
+        "high": half_up(F.col("_base") + F.col("_base") * fixed.BAND_WIDTH),
     })
 
 
