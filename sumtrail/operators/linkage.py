@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -49,27 +51,35 @@ def _plain_name(name: str) -> str:
     return "".join(ch for ch in name.lower() if ch.isascii() and ch.isalnum())
 
 
-def link_candidates(columns: Iterable[Row]) -> list[dict]:
+def link_candidates(columns: Iterable[Row], order: Iterable[str]) -> list[dict]:
     """Column pairs worth comparing, from the column catalog alone.
 
-    ``columns`` are catalog rows (dataset, column_name, role); values are not
-    looked at. One side must have a linking role, and the names or the roles
-    have to agree.
+    ``columns`` are catalog rows (dataset, position, column_name, role), read
+    from a table with one row per column; values are not looked at. ``order``
+    lists the datasets. One side must have a linking role, and the names or
+    the roles have to agree, so only columns sharing a name or a role meet.
     """
-    catalog = sorted(columns, key=lambda r: (r.dataset, r.position))
+    rank = {name: i for i, name in enumerate(order)}
+    catalog = sorted(columns, key=lambda r: (rank[r.dataset], r.position))
+    meeting = defaultdict(list)
+    for i, c in enumerate(catalog):
+        meeting["name", _plain_name(c.column_name)].append(i)
+        if c.role in fixed.LINK_ROLES:
+            meeting["role", c.role].append(i)
+    agreed = defaultdict(set)
+    for (what, _), places in meeting.items():
+        for i, j in combinations(places, 2):
+            if catalog[i].dataset != catalog[j].dataset:
+                agreed[i, j].add(what)
     pairs = []
-    for a in catalog:
-        for b in catalog:
-            if a.dataset >= b.dataset or not {a.role, b.role} & set(fixed.LINK_ROLES):
-                continue
-            same_name = _plain_name(a.column_name) == _plain_name(b.column_name)
-            same_role = a.role == b.role and a.role in fixed.LINK_ROLES
-            if same_name or same_role:
-                pairs.append(dict(
-                    pair=len(pairs), left_dataset=a.dataset, left_column=a.column_name,
-                    right_dataset=b.dataset, right_column=b.column_name, left_role=a.role,
-                    same_name=same_name, same_role=same_role,
-                ))
+    for (i, j), reasons in sorted(agreed.items()):
+        a, b = catalog[i], catalog[j]
+        if {a.role, b.role} & set(fixed.LINK_ROLES):
+            pairs.append(dict(
+                pair=len(pairs), left_dataset=a.dataset, left_column=a.column_name,
+                right_dataset=b.dataset, right_column=b.column_name, left_role=a.role,
+                same_name="name" in reasons, same_role="role" in reasons,
+            ))
     return pairs
 
 
