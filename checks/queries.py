@@ -132,7 +132,7 @@ def profile_columns(spark, sf):
 
 @query
 def profile_catalog(spark, sf):
-    return _profile_output(ws.catalog_profile(workspace_tables(spark, sf)))
+    return _profile_output(pf.profile_tables(workspace_tables(spark, sf)))
 
 
 @query
@@ -209,7 +209,7 @@ def quality_flags(spark, sf):
 # --- roles and gates ---------------------------------------------------------
 
 def _catalog(spark, sf):
-    return ws.catalog_profile(workspace_tables(spark, sf))
+    return pf.profile_tables(workspace_tables(spark, sf))
 
 
 @query
@@ -225,7 +225,7 @@ OVERRIDES = {("products", "brand"): "category"}
 
 @query
 def column_roles(spark, sf):
-    return rl.classify_columns(_catalog(spark, sf), OVERRIDES).drop("position", "evidence")
+    return rl.classify_columns(_catalog(spark, sf), OVERRIDES).drop("position", "evidence", "rows", "months")
 
 
 @query
@@ -245,15 +245,13 @@ def primary_measures(spark, sf):
 
 @query
 def analysis_gates(spark, sf):
-    profile = _catalog(spark, sf)
-    return gt.gates(profile, rl.classify_columns(profile, OVERRIDES))
+    return gt.gates(rl.classify_columns(_catalog(spark, sf), OVERRIDES))
 
 
 @query
 def analysis_ranking(spark, sf):
-    profile = _catalog(spark, sf)
-    table_ = gt.gates(profile, rl.classify_columns(profile, OVERRIDES))
-    candidates = table_.where("available").withColumn(
+    found = gt.gates(rl.classify_columns(_catalog(spark, sf), OVERRIDES))
+    candidates = found.where("available").withColumn(
         "coefficient", F.when(F.col("capability") == "correlation", 0.5))
     return bd.rank_analyses(candidates)
 
@@ -535,17 +533,8 @@ def _lines(spark, sf, *columns):
 @query
 def retail_columns(spark, sf):
     """Columns are found in the catalog of all tables, one row per column."""
-    parts = [pf.cells(df, name) for name, df in workspace_tables(spark, sf).items()]
-    headers = parts[0]
-    for part in parts[1:]:
-        headers = headers.unionByName(part)
-    catalog = headers.groupBy("dataset", "column_name").agg(F.count(F.lit(1)).alias("cells"))
-    positions = {
-        (name, c): i for name, df in workspace_tables(spark, sf).items() for i, c in enumerate(df.columns)
-    }
-    at = F.create_map(*[F.lit(v) for (d, c), i in positions.items() for v in (f"{d}.{c}", i)])
-    placed = catalog.withColumn("position", at[F.concat_ws(".", "dataset", "column_name")])
-    return rt.find_columns(placed)
+    profile = _catalog(spark, sf)
+    return rt.find_columns(profile.select("dataset", "position", "column_name"))
 
 
 @query
@@ -734,7 +723,7 @@ def event_types(spark, sf):
 
 def _roles_and_tables(spark, sf):
     tables = workspace_tables(spark, sf)
-    return rl.classify_columns(ws.catalog_profile(tables)), tables
+    return rl.classify_columns(pf.profile_tables(tables)), tables
 
 
 @query
@@ -744,9 +733,9 @@ def table_purposes(spark, sf):
 
 @query
 def primary_table(spark, sf):
-    profile = _catalog(spark, sf)
-    sizes = profile.groupBy("dataset").agg(F.max("rows").alias("rows"))
-    return lk.primary_table(lk.table_purposes(rl.classify_columns(profile)), sizes)
+    roles = rl.classify_columns(_catalog(spark, sf))
+    sizes = roles.groupBy("dataset").agg(F.max("rows").alias("rows"))
+    return lk.primary_table(lk.table_purposes(roles), sizes)
 
 
 @query

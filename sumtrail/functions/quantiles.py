@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumtrail.functions.grouping import join_by, window_by
@@ -30,11 +30,14 @@ def exact_quantiles(
     by: Sequence[str] = (),
     rank_form: bool = False,
     names: Sequence[str] | None = None,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per key with one column per fraction, plus the row count ``n``.
 
     By default the quantile interpolates at position ``(n-1)*q``. With
     ``rank_form`` it is the element at index ``floor(n*q)``, not interpolated.
+    ``extra`` are further aggregates of the number column ``_x``, computed in
+    the sketching pass so that they cost no scan of their own.
     """
     by = list(by)
     names = list(names or [f"q{round(f * 100)}" for f in fractions])
@@ -46,7 +49,9 @@ def exact_quantiles(
     sketch = x.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.percentile_approx("_x", F.array(*map(F.lit, edges)), F.lit(ACCURACY)).alias("_edges"),
+        *extra,
     )
+    kept = sketch.columns[len(by) + 2:]
 
     inside, below = F.lit(False), F.lit(float("-inf"))
     for i in range(len(fractions)):
@@ -54,7 +59,7 @@ def exact_quantiles(
         inside = inside | F.col("_x").between(low, high)
         below = F.greatest(below, F.when(high < F.col("_x"), high).otherwise(F.lit(float("-inf"))))
     counted = (
-        join_by(x, sketch, by)
+        join_by(x, sketch.drop(*kept), by)
         .select(
             *by,
             F.when(inside, F.col("_x")).otherwise(below).alias("_key"),
@@ -89,11 +94,13 @@ def exact_quantiles(
         picks.append(element(F.floor(position)).alias(f"_lo_{name}"))
         picks.append(element(F.ceil(position)).alias(f"_hi_{name}"))
     out = ranked.groupBy(*by).agg(F.max("_rows").alias("n"), *picks)
+    if kept:
+        out = join_by(out, sketch.select(*by, *kept), by)
     if rank_form:
-        return out.select(*by, "n", *names)
+        return out.select(*by, "n", *names, *kept)
     interpolated = []
     for f, name in zip(fractions, names):
         position = (F.col("n") - 1) * F.lit(f)
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         interpolated.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return out.select(*by, "n", *interpolated)
+    return out.select(*by, "n", *interpolated, *kept)

@@ -70,11 +70,12 @@ def numeric_fills(rows: DataFrame, columns: list[str]) -> DataFrame:
     long = numbers.unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "x").where(
         "x IS NOT NULL AND NOT isnan(x)"
     )
-    moments = long.groupBy("column_name").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-    medians = exact_quantiles(long, "x", [0.5], ["column_name"], names=["median"]).drop("n")
+    moments = exact_quantiles(long, "x", [0.5], ["column_name"], names=["median"], extra=[
+        F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd"),
+    ])
     sd = F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
     skewed = F.abs(F.col("mean") - F.col("median")) / sd > fixed.SKEW_LIMIT
-    return moments.join(medians, "column_name").select(
+    return moments.select(
         "column_name",
         plain_text(F.when(skewed, F.col("median")).otherwise(F.col("mean"))).alias("fill"),
         F.when(skewed, "impute_numeric_median").otherwise("impute_numeric_mean").alias("method"),

@@ -16,10 +16,8 @@ MIN_MONTHS_COHORT = 2
 NUMERIC_ORDER = ["price", "cost", "revenue", "quantity", "percentage", "inventory", "duration"]
 
 
-def _role_table(profile: DataFrame, roles: DataFrame) -> DataFrame:
+def _role_table(roles: DataFrame) -> DataFrame:
     """One row per dataset with the best column of each role as a struct."""
-    facts = profile.select("dataset", "column_name", "rows", "months")
-    joined = roles.join(facts, ["dataset", "column_name"])
 
     def best(role: str) -> Column:
         entry = F.struct(
@@ -35,15 +33,15 @@ def _role_table(profile: DataFrame, roles: DataFrame) -> DataFrame:
     ))
     wanted = ["date", "revenue", "price", "cost", "quantity", "customer", "identifier",
               "category", "product", "location", "status"]
-    return joined.groupBy("dataset").agg(
+    return roles.groupBy("dataset").agg(
         F.max("rows").alias("rows"), *[best(role) for role in wanted],
         F.array_sort(F.collect_list(numeric)).alias("_numeric"),
     )
 
 
-def gates(profile: DataFrame, roles: DataFrame) -> DataFrame:
+def gates(roles: DataFrame) -> DataFrame:
     """(dataset, sequence, capability, available, columns, confidence)."""
-    table = _role_table(profile, roles)
+    table = _role_table(roles)
     common = table.withColumns({
         "_money": F.coalesce("_revenue", "_price", "_cost"),
         "_group": F.coalesce("_category", "_product", "_location", "_status"),

@@ -7,6 +7,8 @@ and every pattern is tested once per distinct text instead of once per row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,10 @@ def cells(df: DataFrame, dataset: str = "data") -> DataFrame:
     return long.select(F.lit(dataset).alias("dataset"), "column_name", "raw")
 
 
-def value_counts(df: DataFrame, dataset: str = "data") -> DataFrame:
+def value_counts(long: DataFrame) -> DataFrame:
     """(dataset, column_name, value, n, chars): one row per distinct trimmed text."""
-    return (
-        cells(df, dataset)
-        .groupBy(*KEYS, strip(F.col("raw")).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("chars"))
+    return long.groupBy(*KEYS, strip(F.col("raw")).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("chars")
     )
 
 
@@ -75,7 +75,7 @@ def _column_type(values: Column, numbers: Column, dates: Column, booleans: Colum
 
 def infer_types(df: DataFrame, dataset: str = "data", dayfirst: bool = False) -> DataFrame:
     """Type of every column from all of its values."""
-    typed = _tested(value_counts(df, dataset), dayfirst).groupBy(*KEYS).agg(
+    typed = _tested(value_counts(cells(df, dataset)), dayfirst).groupBy(*KEYS).agg(
         _count(F.col("present")).alias("non_missing"),
         _count(F.col("number").isNotNull()).alias("as_number"),
         _count(F.col("is_date")).alias("as_date"),
@@ -85,17 +85,12 @@ def infer_types(df: DataFrame, dataset: str = "data", dayfirst: bool = False) ->
     return typed.withColumn("inferred_type", kind)
 
 
-def profile_columns(df: DataFrame, dataset: str = "data", dayfirst: bool = False) -> DataFrame:
-    """One row per column: type, completeness, cardinality, samples, statistics."""
-    counts = value_counts(df, dataset)
-    tested = _tested(counts, dayfirst)
-    n, x = F.col("n"), F.col("number")
-    summary = tested.groupBy(*KEYS).agg(
-        F.sum("n").alias("rows"),
+def _totals() -> list[Column]:
+    """Counts over tested rows that both kinds of profile share."""
+    return [
         _count(F.col("present")).alias("non_missing"),
-        F.count_if("present").alias("distinct_values"),
         F.sum(F.when(F.col("present"), F.col("chars"))).alias("_chars"),
-        _count(x.isNotNull()).alias("as_number"),
+        _count(F.col("number").isNotNull()).alias("as_number"),
         _count(F.col("is_date")).alias("as_date"),
         _count(F.col("is_boolean")).alias("as_boolean"),
         _count(F.col("is_bit")).alias("as_bit"),
@@ -105,25 +100,36 @@ def profile_columns(df: DataFrame, dataset: str = "data", dayfirst: bool = False
         _count(F.col("has_percent")).alias("with_percent"),
         F.min("number").alias("_min"),
         F.max("number").alias("_max"),
-        (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("_mean"),
         F.min("day").alias("_first_day"),
         F.max("day").alias("_last_day"),
         # Bounded: one entry per calendar month.
         F.size(F.collect_set(F.trunc("day", "month"))).cast("bigint").alias("_months"),
+    ]
+
+
+def profile_columns(df: DataFrame, dataset: str = "data", dayfirst: bool = False) -> DataFrame:
+    """One row per column: type, completeness, cardinality, samples, statistics."""
+    return profile_tables({dataset: df}, dayfirst)
+
+
+def profile_tables(tables: dict[str, DataFrame], dayfirst: bool = False) -> DataFrame:
+    """Profiles of several tables in one plan, one row per table and column."""
+    long = reduce(DataFrame.unionByName, [cells(df, name) for name, df in tables.items()])
+    tested = _tested(value_counts(long), dayfirst)
+    summary = tested.groupBy(*KEYS).agg(
+        F.sum("n").alias("rows"), F.count_if("present").alias("distinct_values"), *_totals()
     )
-    squares = (
-        join_by(tested.where("number IS NOT NULL"), summary.select(*KEYS, "_mean"), KEYS)
-        .groupBy(*KEYS)
-        .agg(F.sqrt(F.sum(n * (x - F.col("_mean")) * (x - F.col("_mean"))) / F.sum("n")).alias("_sd"))
-    )
-    numbers = cells(df, dataset).where(~is_missing(F.col("raw"))).select(*KEYS, to_number(F.col("raw")).alias("x"))
-    medians = exact_quantiles(numbers, "x", [0.5], KEYS, names=["_median"]).drop("n")
-    head = top_rows(tested.where("present").select(*KEYS, "value"), KEYS, [F.col("value")], SAMPLE_SIZE)
+    numbers = long.where(~is_missing(F.col("raw"))).select(*KEYS, to_number(F.col("raw")).alias("x"))
+    moments = exact_quantiles(numbers, "x", [0.5], KEYS, names=["_median"], extra=[
+        F.avg("_x").alias("_mean"), F.stddev_pop("_x").alias("_sd"),
+    ]).drop("n")
+    # Stated over a count and not over the key, this filter stays above the
+    # aggregation, so that both branches read the same shuffled value counts.
+    present = F.when(F.col("present"), F.col("n") + F.col("chars")) > 0
+    head = top_rows(tested.where(present).select(*KEYS, "value"), KEYS, [F.col("value")], SAMPLE_SIZE)
     samples = head.groupBy(*KEYS).agg(F.sort_array(F.collect_list("value")).alias("samples"))
-    joined = summary
-    for part in (squares, medians, samples):
-        joined = join_by(joined, part, KEYS, "left")
-    return _profile_row(joined, df.columns)
+    joined = join_by(join_by(summary, moments, KEYS, "left"), samples, KEYS, "left")
+    return _profile_row(joined, {name: df.columns for name, df in tables.items()})
 
 
 def approximate_profile(df: DataFrame, dataset: str = "data", dayfirst: bool = False) -> DataFrame:
@@ -139,29 +145,18 @@ def approximate_profile(df: DataFrame, dataset: str = "data", dayfirst: bool = F
     x = F.col("number")
     value = F.when(F.col("present"), F.col("value"))
     summary = _tested(rows, dayfirst).groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if("present").alias("non_missing"),
-        F.approx_count_distinct(value, 0.01).alias("distinct_values"),
-        F.sum(F.when(F.col("present"), F.col("chars"))).alias("_chars"),
-        _count(x.isNotNull()).alias("as_number"),
-        _count(F.col("is_date")).alias("as_date"),
-        _count(F.col("is_boolean")).alias("as_boolean"),
-        _count(F.col("is_bit")).alias("as_bit"),
-        _count(F.col("is_padded_iso")).alias("padded_iso"),
-        _count(F.col("is_plain")).alias("plain_numbers"),
-        _count(F.col("has_currency")).alias("with_currency"),
-        _count(F.col("has_percent")).alias("with_percent"),
-        F.min(x).alias("_min"), F.max(x).alias("_max"), F.avg(x).alias("_mean"),
-        F.min("day").alias("_first_day"), F.max("day").alias("_last_day"),
-        F.size(F.collect_set(F.trunc("day", "month"))).cast("bigint").alias("_months"),
-        F.stddev_pop(x).alias("_sd"), F.percentile_approx(x, 0.5).alias("_median"),
+        F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(value, 0.01).alias("distinct_values"),
+        *_totals(),
+        F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd"), F.percentile_approx(x, 0.5).alias("_median"),
         F.array_distinct(F.array_compact(F.array(F.min(value), F.max(value)))).alias("samples"),
     )
-    return _profile_row(summary, df.columns)
+    return _profile_row(summary, {dataset: df.columns})
 
 
-def _profile_row(joined: DataFrame, columns: list[str]) -> DataFrame:
-    places = F.create_map(*[F.lit(v) for i, c in enumerate(columns) for v in (c, i)])
+def _profile_row(joined: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    places = F.create_map(*[
+        F.lit(v) for name, found in columns.items() for i, c in enumerate(found) for v in (f"{name}\n{c}", i)
+    ])
     filled, rows = F.col("non_missing"), F.col("rows")
     kind = _column_type(*map(F.col, ("non_missing", "as_number", "as_date", "as_boolean")))
 
@@ -171,7 +166,7 @@ def _profile_row(joined: DataFrame, columns: list[str]) -> DataFrame:
     some = filled > 0
     return joined.withColumn("inferred_type", kind).select(
         "dataset",
-        F.try_element_at(places, F.col("column_name")).cast("bigint").alias("position"),
+        F.try_element_at(places, F.concat_ws("\n", *KEYS)).cast("bigint").alias("position"),
         "column_name", "inferred_type", "rows", "non_missing",
         (rows - filled).alias("missing"),
         half_up((rows - filled) / rows * 100, 1).alias("missing_pct"),

@@ -92,8 +92,8 @@ def _range_weight(role: str) -> Column:
     return F.lit(None).cast("double")
 
 
-def role_scores(profile: DataFrame) -> DataFrame:
-    """One row per column and role with the score and the evidence behind it."""
+def _ranked_roles() -> Column:
+    """All roles of a profile row with score and evidence, best first."""
     entries = []
     for order, role in enumerate(fixed.ROLE_HINTS):
         parts = {
@@ -112,11 +112,16 @@ def role_scores(profile: DataFrame) -> DataFrame:
             lambda e: e["weight"].isNotNull(),
         )
         entries.append(F.struct(
-            F.lit(order).cast("bigint").alias("role_order"), F.lit(role).alias("role"),
-            clamp(total, 0, 1).alias("score"), evidence.alias("evidence"),
+            (-clamp(total, 0, 1)).alias("key"), F.lit(order).alias("role_order"), F.lit(role).alias("role"),
+            evidence.alias("evidence"),
         ))
-    kept = [c for c in (*COLUMN, "inferred_type", "samples") if c in profile.columns]
-    return profile.where("inferred_type <> 'empty'").select(*kept, F.inline(F.array(*entries)))
+    return F.array_sort(F.array(*entries))
+
+
+def role_scores(profile: DataFrame) -> DataFrame:
+    """One row per column and role with the score and the evidence behind it."""
+    scored = profile.where("inferred_type <> 'empty'").select(*COLUMN, F.inline(_ranked_roles()))
+    return scored.select(*COLUMN, "role", (-F.col("key")).alias("score"), "evidence")
 
 
 def display_type(role: Column) -> Column:
@@ -145,15 +150,10 @@ def classify_columns(profile: DataFrame, overrides: dict[tuple[str, str], str] |
     """Chosen role per column with confidence, review flag and alternatives.
 
     ``overrides`` maps (dataset, column) to a role that wins with confidence 1.
+    Row and month counts are carried along for the gates.
     """
-    scores = role_scores(profile)
-    # Fifteen roles per column, so the collected array has a fixed size.
-    ranked = F.array_sort(F.collect_list(F.struct(
-        (-F.col("score")).alias("key"), F.col("role_order"), F.col("role"), F.col("evidence"),
-    )))
-    per_column = scores.groupBy("dataset", "column_name").agg(ranked.alias("_ranked"))
-    base = profile.select(*COLUMN, "inferred_type", "samples")
-    found = base.join(per_column, ["dataset", "column_name"], "left")
+    usable = F.when(F.col("inferred_type") != "empty", _ranked_roles())
+    found = profile.select(*COLUMN, "inferred_type", "samples", "rows", "months", usable.alias("_ranked"))
     best = F.col("_ranked")[0]
     score = F.coalesce(-best["key"], F.lit(0.0))
     role = F.when(score >= fixed.ROLE_FLOOR, best["role"]).otherwise("unknown")
@@ -170,7 +170,7 @@ def classify_columns(profile: DataFrame, overrides: dict[tuple[str, str], str] |
     confirmed = chosen.withColumn("_picked", picked)
     final = F.coalesce("_picked", "_role")
     return confirmed.select(
-        *COLUMN, "inferred_type", final.alias("role"), display_type(final).alias("display_type"),
+        *COLUMN, "inferred_type", "rows", "months", final.alias("role"), display_type(final).alias("display_type"),
         F.when(F.col("_picked").isNotNull(), 1.0).otherwise(half_up(F.col("_score"), 2)).alias("confidence"),
         (F.col("_picked").isNull() & (F.col("_score") < fixed.REVIEW_BELOW)).alias("needs_review"),
         "alternatives", "evidence",

@@ -39,30 +39,20 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
     """One row per key and column; columns with fewer than two values are left out."""
     keys = [*by, "column_name"]
     long = measures_long(df, columns, by)
-    quartiles = outlier_fences(exact_quantiles(long, "x", [0.25, 0.5, 0.75], keys).drop("n"))
+    moments = exact_quantiles(long, "x", [0.25, 0.5, 0.75], keys, extra=[
+        F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd"), F.var_pop("_x").alias("variance"),
+        F.min("_x").alias("min"), F.max("_x").alias("max"),
+    ])
+    fences = outlier_fences(moments)
     outside = (F.col("x") < F.col("fence_low")) | (F.col("x") > F.col("fence_high"))
-    moments = (
-        join_by(long, quartiles, keys)
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("x").alias("mean"),
-            F.stddev_pop("x").alias("sd"),
-            F.var_pop("x").alias("variance"),
-            F.min("x").alias("min"),
-            F.max("x").alias("max"),
-            F.any_value("q25").alias("q1"),
-            F.any_value("q50").alias("median"),
-            F.any_value("q75").alias("q3"),
-            F.count_if(outside).alias("outliers"),
-        )
-        .where("n >= 2")
+    outliers = (
+        join_by(long, fences.select(*keys, "fence_low", "fence_high"), keys)
+        .groupBy(*keys).agg(F.count_if(outside).alias("outliers"))
     )
+    named = moments.where("n >= 2").withColumnsRenamed({"q25": "q1", "q50": "median", "q75": "q3"})
     rounded = [half_up(F.col(c), 2).alias(c) for c in ("mean", "median", "q1", "q3", "sd", "variance")]
-    return (
-        join_by(moments, numeric_mode(long, keys), keys, "left")
-        .select(*keys, "n", *rounded, "mode", "min", "max", "outliers")
-    )
+    complete = join_by(join_by(named, outliers, keys), numeric_mode(long, keys), keys, "left")
+    return complete.select(*keys, "n", *rounded, "mode", "min", "max", "outliers")
 
 
 def outlier_examples(df: DataFrame, column: str, by: Sequence[str] = (), k: int = 10) -> DataFrame:

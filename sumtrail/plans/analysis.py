@@ -58,7 +58,7 @@ def analyse(raw: DataFrame, dataset: str = "data", overrides: dict[str, str] | N
     duplicates = duplicate_rows(rows, dataset)
     columns_quality = ql.column_quality(profile, roles)
     quality = ql.dataset_quality(columns_quality, duplicates)
-    gate_table = gt.gates(profile, roles)
+    gate_table = gt.gates(roles)
     out = {
         "cleaned": rows, "cleaning_log": cleaned.log, "profile": profile, "roles": roles,
         "warnings": rl.mapping_warnings(roles), "column_quality": columns_quality, "quality": quality,

@@ -10,16 +10,12 @@ from pyspark.sql import functions as F
 from sumtrail.functions.values import half_up
 from sumtrail.operators import linkage as lk
 from sumtrail.operators import roles as rl
-from sumtrail.operators.profile import profile_columns
+from sumtrail.operators.profile import profile_tables
+from sumtrail.session import cut_lineage
 
 METRIC_SCHEMA = "metric string, value double, pair bigint"
 
 
-def catalog_profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """Profiles of all tables, one row per table and column."""
-    return reduce(DataFrame.unionByName, [profile_columns(df, name) for name, df in tables.items()])
-
-
 def _numeric_column(catalog: list[Row], dataset: str, *wanted: str) -> str | None:
     return next((c.column_name for c in catalog
                  if c.dataset == dataset and c.role in wanted and c.inferred_type == "number"), None)
@@ -32,7 +28,8 @@ def prepare_workspace(tables: dict[str, DataFrame],
     The driver sees the column catalog and at most two relations per table
     pair; every value is compared and summed on the executors.
     """
-    profile = catalog_profile(tables)
+    # One row per column of every table: written once, read by every stage.
+    profile = cut_lineage(profile_tables(tables))
     roles = rl.classify_columns(profile, overrides)
     order = {name: i for i, name in enumerate(tables)}
     catalog = sorted(roles.drop("evidence").collect(), key=lambda r: (order[r.dataset], r.position))

@@ -15,7 +15,7 @@ def live_revenue(events: DataFrame, time: str, measure: str, lateness: str = "1
                  period: str = "1 day") -> DataFrame:
     """Revenue and orders per period; a period closes once the watermark passes."""
     totals = (
-        events.withWatermark(time, lateness)
+        events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
         .groupBy(F.window(time, period).alias("_w"))
         .agg(F.sum(measure).alias("revenue"), F.count(F.lit(1)).alias("orders"))
     )
