@@ -23,6 +23,7 @@ from sumtrail.operators import segments as sg
 from sumtrail.operators import series as sr
 from sumtrail.operators import stats as st
 from sumtrail.plans import workspace as ws
+from sumtrail.session import written
 from sumtrail.sources import readers, sinks
 from sumtrail.streaming import live
 
@@ -209,7 +210,12 @@ def quality_flags(spark, sf):
 # --- roles and gates ---------------------------------------------------------
 
 def _catalog(spark, sf):
-    return pf.profile_tables(workspace_tables(spark, sf))
+    """Profile of all tables, one row per column, written once."""
+    return written(pf.profile_tables(workspace_tables(spark, sf)))
+
+
+def _roles(spark, sf):
+    return written(rl.classify_columns(_catalog(spark, sf), OVERRIDES))
 
 
 @query
@@ -225,32 +231,32 @@ OVERRIDES = {("products", "brand"): "category"}
 
 @query
 def column_roles(spark, sf):
-    return rl.classify_columns(_catalog(spark, sf), OVERRIDES).drop("position", "evidence", "rows", "months")
+    return _roles(spark, sf).drop("position", "evidence", "rows", "months")
 
 
 @query
 def mapping_warnings(spark, sf):
-    return rl.mapping_warnings(rl.classify_columns(_catalog(spark, sf), OVERRIDES))
+    return rl.mapping_warnings(_roles(spark, sf))
 
 
 @query
 def best_columns(spark, sf):
-    return rl.best_columns(rl.classify_columns(_catalog(spark, sf), OVERRIDES))
+    return rl.best_columns(_roles(spark, sf))
 
 
 @query
 def primary_measures(spark, sf):
-    return rl.primary_measures(rl.classify_columns(_catalog(spark, sf), OVERRIDES))
+    return rl.primary_measures(_roles(spark, sf))
 
 
 @query
 def analysis_gates(spark, sf):
-    return gt.gates(rl.classify_columns(_catalog(spark, sf), OVERRIDES))
+    return gt.gates(_roles(spark, sf))
 
 
 @query
 def analysis_ranking(spark, sf):
-    found = gt.gates(rl.classify_columns(_catalog(spark, sf), OVERRIDES))
+    found = gt.gates(_roles(spark, sf))
     candidates = found.where("available").withColumn(
         "coefficient", F.when(F.col("capability") == "correlation", 0.5))
     return bd.rank_analyses(candidates)
@@ -419,7 +425,7 @@ def pair_points(spark, sf):
 
 @query
 def history_and_forecast(spark, sf):
-    series = _series(spark, sf)
+    series = written(_series(spark, sf))
     return bd.history_and_forecast(series, sr.linear_forecast(series))
 
 
@@ -592,7 +598,7 @@ def forecast_total(spark, sf):
 
 @query
 def shortfall_at_risk(spark, sf):
-    series = _series(spark, sf, REGION)
+    series = written(_series(spark, sf, REGION))
     segments = sg.customer_segments(_customers(spark, sf, REGION), REGION)
     return rt.shortfall_at_risk(series, sg.churn_exposure(segments, series, REGION), REGION)
 
@@ -627,9 +633,10 @@ QUALITY_SCORE = 84
 
 
 def _facts(spark, sf, by=("region",)):
+    """Facts of every region, written once since most queries use them twice."""
     f = sales(spark, sf, *by, "customer_id", "order_date", "product", "revenue")
     quality = spark.range(1).select(F.lit(QUALITY_SCORE).cast("bigint").alias("quality_score"))
-    return sc.entity_facts(f, list(by), "order_date", "revenue", "customer_id", "product", quality)
+    return written(sc.entity_facts(f, list(by), "order_date", "revenue", "customer_id", "product", quality))
 
 
 @query
@@ -723,7 +730,7 @@ def event_types(spark, sf):
 
 def _roles_and_tables(spark, sf):
     tables = workspace_tables(spark, sf)
-    return rl.classify_columns(pf.profile_tables(tables)), tables
+    return written(rl.classify_columns(written(pf.profile_tables(tables)))), tables
 
 
 @query
@@ -733,7 +740,7 @@ def table_purposes(spark, sf):
 
 @query
 def primary_table(spark, sf):
-    roles = rl.classify_columns(_catalog(spark, sf))
+    roles = written(rl.classify_columns(_catalog(spark, sf)))
     sizes = roles.groupBy("dataset").agg(F.max("rows").alias("rows"))
     return lk.primary_table(lk.table_purposes(roles), sizes)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sumtrail.session import shared_folder
+
 # Where each column of the sales fact comes from.
 SALES_COLUMNS = {
     "order_id": ("lineitem", "l_orderkey"),
@@ -111,6 +112,5 @@ def workspace_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder of the cluster."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="sumtrail-")
-    return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    """A new folder on the shared storage of the cluster."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumtrail.functions.grouping import join_by, window_by
+from sumtrail.session import written
 
 # Rank error of the sketch is at most 1/ACCURACY of the rows; the bracket is
 # three errors wide on each side, so the wanted rank is always inside it.
@@ -52,6 +53,10 @@ def exact_quantiles(
         *extra,
     )
     kept = sketch.columns[len(by) + 2:]
+    # Read below by the counting pass and for ``extra``. Written, it is small
+    # enough to be broadcast whenever the number of keys allows it, and the
+    # rows stay where they are.
+    sketch = written(sketch)
 
     inside, below = F.lit(False), F.lit(float("-inf"))
     for i in range(len(fractions)):

@@ -44,7 +44,8 @@ def is_missing(c: Column) -> Column:
 
 def to_number(c: Column) -> Column:
     """Number in a cell such as ``£1,200.50`` or ``12%``; NULL when there is none."""
-    bare = F.regexp_replace(F.translate(c, "£$€," + fixed.BLANKS, ""), "%$", "")
+    bare = F.translate(c, "£$€," + fixed.BLANKS, "")
+    bare = F.when(F.endswith(bare, F.lit("%")), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
     number = F.when(bare.rlike(fixed.NUMBER_TEXT), bare.try_cast("double"))
     return F.when(F.abs(number) < F.lit(float("inf")), number)
 

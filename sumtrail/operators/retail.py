@@ -14,6 +14,7 @@ from sumtrail.functions.values import (
 )
 from sumtrail.operators.breakdown import category_sums
 from sumtrail.operators.series import anomalies, linear_forecast, series_shape
+from sumtrail.session import written
 
 
 def find_columns(catalog: DataFrame) -> DataFrame:
@@ -158,6 +159,7 @@ def growth(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def forecast_total(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum of the six forecast months and the next month by either model."""
+    series = written(series)
     points = linear_forecast(series, by)
     total = points.groupBy(*by).agg(
         F.sum("value").alias("forecast_total"), F.min_by("value", "month").alias("_next"),
@@ -173,6 +175,7 @@ def shortfall_at_risk(series: DataFrame, churn: DataFrame, by: Sequence[str] = (
 
     ``churn`` has (by..., churn_score).
     """
+    series = written(series)
     weak = F.col("is_anomaly") & (F.col("actual") < F.col("expected"))
     gap = anomalies(series, by).groupBy(*by).agg(
         F.sum(F.when(weak, F.col("expected") - F.col("actual")).otherwise(0.0)).alias("_gap")

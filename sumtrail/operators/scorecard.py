@@ -13,6 +13,7 @@ from sumtrail.operators import breakdown as bd
 from sumtrail.operators import segments as sg
 from sumtrail.operators import series as sr
 from sumtrail.operators.stats import monthly_series
+from sumtrail.session import written
 
 RISKS = ["concentration", "volatility", "customer_base", "churn", "shortfall", "data_quality"]
 LEVELS = ["high", "medium", "low"]
@@ -35,7 +36,7 @@ def entity_facts(df: DataFrame, by: Sequence[str], date: str, measure: str, cust
     aggregation, so the joins see one row per entity. ``quality`` has
     (by..., quality_score), or only quality_score when it holds for all.
     """
-    series = monthly_series(df, date, measure, by)
+    series = written(monthly_series(df, date, measure, by))
     outlook = sr.selected_outlook(series, by).select(
         *by, "periods", "total", "first_value", "last_value", "mean", "sd",
         "chosen_model", "confidence", "trend_pct", "next_value",

@@ -12,6 +12,7 @@ from sumtrail.functions.grouping import join_by
 from sumtrail.functions.quantiles import exact_quantiles
 from sumtrail.functions.values import clamp, half_up, half_up_long, ratio, strip
 from sumtrail.operators.series import series_shape
+from sumtrail.session import written
 
 METRICS = ["spend", "orders", "months_active"]
 
@@ -54,6 +55,8 @@ def tercile_cuts(customers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def customer_segments(customers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Score 1-3 on each metric and name the segment of every customer."""
+    # Read for the sketch, for the cut points and for the scores.
+    customers = written(customers)
     cuts = tercile_cuts(customers, by).groupBy(*by).agg(*[
         F.max(F.when(F.col("metric") == m, F.col(edge))).alias(f"{m}_{edge}")
         for m in METRICS for edge in ("lower", "upper")

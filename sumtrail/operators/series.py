@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumtrail.functions import fixed_values as fixed
-from sumtrail.functions.grouping import join_by, window_by
+from sumtrail.functions.grouping import window_by
 from sumtrail.functions.values import half_up, ratio
 
 
@@ -130,18 +130,23 @@ def moving_average_forecast(series: DataFrame, by: Sequence[str] = (),
     )
 
 
-def seasonality_strength(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _variance(values: Column) -> Column:
+    """Population variance of an array of numbers."""
+    mean = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v) / F.size(values)
+    squares = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
+    return squares / F.size(values)
+
+
+def _seasonality(points: Column) -> Column:
     """Variance of the calendar-month totals against the variance of the series."""
-    months = series.groupBy(*by, F.month("month").alias("_m")).agg(half_up(F.sum("value"), 2).alias("_total"))
-    cycle = months.where("_total > 0").groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_months"), F.var_pop("_total").alias("_cycle_variance"),
-    )
-    whole = series.groupBy(*by).agg(F.var_pop("value").alias("_variance"))
-    strength = F.when(
-        (F.col("_months") >= 6) & (F.col("_variance") > 0),
-        F.least(F.lit(1.0), F.col("_cycle_variance") / F.col("_variance")),
-    ).otherwise(F.lit(0.0))
-    return join_by(whole, cycle, by, "left").select(*by, strength.alias("seasonality"))
+    def total(m: Column) -> Column:
+        same = F.filter(points, lambda p: F.month(p["month"]) == m)
+        return half_up(F.aggregate(same, F.lit(0.0), lambda acc, p: acc + p["value"]), 2)
+
+    months = F.filter(F.transform(F.sequence(F.lit(1), F.lit(12)), total), lambda t: t > 0)
+    whole = _variance(F.transform(points, lambda p: p["value"]))
+    enough = (F.size(months) >= 6) & (whole > 0)
+    return F.when(enough, F.least(F.lit(1.0), _variance(months) / whole)).otherwise(F.lit(0.0))
 
 
 def _model_scores() -> Column:
@@ -160,7 +165,7 @@ def _model_scores() -> Column:
 
 
 def _chosen(series: DataFrame, by: Sequence[str]) -> DataFrame:
-    shape = join_by(series_shape(series, by), seasonality_strength(series, by), by)
+    shape = series_shape(series, by).withColumn("seasonality", _seasonality(F.col("points")))
     return shape.withColumn("_models", _model_scores()).withColumns({
         "chosen_model": F.col("_models")[0]["model"],
         "confidence": -F.col("_models")[0]["key"],

@@ -26,7 +26,7 @@ from sumtrail.operators import segments as sg
 from sumtrail.operators import series as sr
 from sumtrail.operators import stats as st
 from sumtrail.operators.profile import duplicate_rows, profile_columns
-from sumtrail.session import cut_lineage
+from sumtrail.session import written
 
 CATEGORY_ROLES = ["category", "product", "location", "status"]
 NUMERIC_ROLES = ["price", "cost", "revenue", "quantity", "percentage", "inventory", "duration"]
@@ -42,12 +42,12 @@ def analyse(raw: DataFrame, dataset: str = "data", overrides: dict[str, str] | N
     by = list(by)
     raw_profile = profile_columns(raw, dataset, dayfirst).collect()
     cleaned = cl.clean(raw, raw_profile, dayfirst)
-    # Read by every later stage, so it is written once and its lineage cut.
-    rows = cut_lineage(cleaned.rows)
+    # Read by every later stage, so it is written once.
+    rows = written(cleaned.rows)
 
-    profile = cut_lineage(profile_columns(rows, dataset, dayfirst))
+    profile = written(profile_columns(rows, dataset, dayfirst))
     given = {(dataset, c): r for c, r in (overrides or {}).items()}
-    roles = rl.classify_columns(profile, given)
+    roles = written(rl.classify_columns(profile, given))
     types = {p.column_name: p.inferred_type for p in profile.collect()}
     catalog = sorted(roles.collect(), key=lambda r: (-r.confidence, r.position))
     columns = [r for r in catalog if r.role != "unknown"]
@@ -101,7 +101,7 @@ def analyse(raw: DataFrame, dataset: str = "data", overrides: dict[str, str] | N
         return out
 
     # One row per month and key: cheap to keep, read by every model.
-    series = cut_lineage(st.monthly_series(table, date, measure, by))
+    series = written(st.monthly_series(table, date, measure, by))
     out["series"] = series
     if "seasonality" in open_:
         out["weekdays"] = st.weekday_totals(table, date, measure, by)
@@ -120,7 +120,7 @@ def analyse(raw: DataFrame, dataset: str = "data", overrides: dict[str, str] | N
 
     group = open_.get("concentration_analysis", [None])[0]
     score = quality.select(F.col("score").alias("quality_score"))
-    facts = cut_lineage(sc.entity_facts(table, by, date, measure, buyer, group, score))
+    facts = written(sc.entity_facts(table, by, date, measure, buyer, group, score))
     out["facts"] = facts
     out["health"] = sc.health_scores(facts, by)
     out["risks"] = sc.risks(facts, by)

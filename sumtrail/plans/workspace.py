@@ -11,7 +11,7 @@ from sumtrail.functions.values import half_up
 from sumtrail.operators import linkage as lk
 from sumtrail.operators import roles as rl
 from sumtrail.operators.profile import profile_tables
-from sumtrail.session import cut_lineage
+from sumtrail.session import written
 
 METRIC_SCHEMA = "metric string, value double, pair bigint"
 
@@ -29,12 +29,12 @@ def prepare_workspace(tables: dict[str, DataFrame],
     pair; every value is compared and summed on the executors.
     """
     # One row per column of every table: written once, read by every stage.
-    profile = cut_lineage(profile_tables(tables))
-    roles = rl.classify_columns(profile, overrides)
+    profile = written(profile_tables(tables))
+    roles = written(rl.classify_columns(profile, overrides))
     order = {name: i for i, name in enumerate(tables)}
     catalog = sorted(roles.drop("evidence").collect(), key=lambda r: (order[r.dataset], r.position))
     purposes = lk.table_purposes(roles)
-    relation_table = lk.relations(tables, lk.link_candidates(catalog, tables))
+    relation_table = written(lk.relations(tables, lk.link_candidates(catalog, tables)))
     found = sorted(relation_table.collect(), key=lambda r: (-r.confidence, r.pair))
     purpose_of = {p.dataset: p.purpose for p in purposes.collect()}
     table_for = {}

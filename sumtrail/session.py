@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,15 +24,34 @@ def local_session(cores: str = "8", app: str = "sumtrail") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for tables written between stages, one per application.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.
-    Only where a session names none (tests, local runs) is a folder made here.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only
+    where a session names none (tests, local runs) is a folder made here.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="sumtrail-checkpoint-"))
-    return df.checkpoint()
+    base = spark.conf.get("spark.checkpoint.dir", "") or _local_folder()
+    return f"{base.rstrip('/')}/sumtrail-{spark.sparkContext.applicationId}"
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="sumtrail-")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table on shared storage; unchanged if it already is one.
+
+    For a result that several later stages read. Writing it cuts the lineage,
+    so nothing before it is computed twice, and losing an executor costs only
+    the tasks that ran on it. Read back, the table has a known size: joins
+    broadcast it exactly when it is below the session's broadcast threshold.
+    """
+    if getattr(df, "_is_written", False):
+        return df
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    # The schema is given, so that empty results can be read back as well.
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._is_written = True
+    return table
