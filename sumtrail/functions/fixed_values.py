@@ -77,7 +77,8 @@ BOOLEAN_WORD = "(?i)^(true|false|yes|no|y|n)$"
 BOOLEAN_WORD_OR_BIT = "(?i)^(true|false|yes|no|y|n|0|1)$"
 PADDED_ISO_DAY = r"^\d{4}-\d{2}-\d{2}"
 PLAIN_NUMBER = r"^-?\d+(\.\d+)?$"
-NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER_TEXT = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
+NUMBER_OR_PERCENT = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)%?$"
 LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 # Imputation limits.

@@ -42,13 +42,13 @@ def exact_quantiles(
     """
     by = list(by)
     names = list(names or [f"q{round(f * 100)}" for f in fractions])
-    x = rows.select(*by, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    x = rows.select(*by, F.col(value).cast("double").alias("_x"))
 
     edges = []
     for f in fractions:
         edges += [max(0.0, f - MARGIN), min(1.0, f + MARGIN)]
     sketch = x.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_rows"),
+        F.count("_x").alias("_rows"),
         F.percentile_approx("_x", F.array(*map(F.lit, edges)), F.lit(ACCURACY)).alias("_edges"),
         *extra,
     )
@@ -72,7 +72,10 @@ def exact_quantiles(
             "_x", "_rows",
         )
         .groupBy(*by, "_rows", "_key", "_gap")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last"))
+        .agg(F.count("_x").alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last"))
+        # Missing numbers are dropped here rather than before the aggregation,
+        # where the filter would compute a derived column a second time.
+        .where("_n > 0")
     )
 
     upto = F.sum("_n").over(window_by(by).orderBy("_key", "_gap"))

@@ -42,19 +42,25 @@ def is_missing(c: Column) -> Column:
     return c.isNull() | F.lower(strip(c)).isin(fixed.MISSING_MARKERS)
 
 
+def _parsed(c: Column, pattern: str) -> Column:
+    """Number matched by ``pattern`` after dropping currency signs and blanks.
+
+    Written so that the text is scanned once: no match gives '', which casts
+    to NULL, and an infinite value times zero is NaN, which becomes NULL.
+    """
+    bare = F.translate(c, "£$€," + fixed.BLANKS, "")
+    number = F.regexp_extract(bare, pattern, 1).try_cast("double")
+    return F.nanvl(number * 0 + number, F.lit(None).cast("double"))
+
+
 def to_number(c: Column) -> Column:
     """Number in a cell such as ``£1,200.50`` or ``12%``; NULL when there is none."""
-    bare = F.translate(c, "£$€," + fixed.BLANKS, "")
-    bare = F.when(F.endswith(bare, F.lit("%")), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
-    number = F.when(bare.rlike(fixed.NUMBER_TEXT), bare.try_cast("double"))
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    return _parsed(c, fixed.NUMBER_OR_PERCENT)
 
 
 def to_amount(c: Column) -> Column:
-    """Like :func:`to_number`, with 0 for anything unreadable; keeps no % sign."""
-    bare = F.translate(c, "£$€," + fixed.BLANKS, "")
-    number = F.when(bare.rlike(fixed.NUMBER_TEXT), bare.try_cast("double"))
-    return F.coalesce(F.when(F.abs(number) < F.lit(float("inf")), number), F.lit(0.0))
+    """Like :func:`to_number`, with 0 for anything unreadable; takes no % sign."""
+    return F.coalesce(_parsed(c, fixed.NUMBER_TEXT), F.lit(0.0))
 
 
 def leading_number(c: Column) -> Column:

@@ -119,7 +119,7 @@ def profile_tables(tables: dict[str, DataFrame], dayfirst: bool = False) -> Data
     summary = tested.groupBy(*KEYS).agg(
         F.sum("n").alias("rows"), F.count_if("present").alias("distinct_values"), *_totals()
     )
-    numbers = long.where(~is_missing(F.col("raw"))).select(*KEYS, to_number(F.col("raw")).alias("x"))
+    numbers = long.select(*KEYS, to_number(F.col("raw")).alias("x"))
     moments = exact_quantiles(numbers, "x", [0.5], KEYS, names=["_median"], extra=[
         F.avg("_x").alias("_mean"), F.stddev_pop("_x").alias("_sd"),
     ]).drop("n")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sumtrail.functions import fixed_values as fixed
 from sumtrail.functions.grouping import join_by, share_of_total, top_rows
 from sumtrail.functions.quantiles import exact_quantiles
-from sumtrail.functions.values import half_up
+from sumtrail.functions.values import half_up, ratio
 
 
 def measures_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -105,7 +105,9 @@ def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     for i, (a, b) in enumerate(pairs):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         aggregates.append(F.count_if(both).alias(f"n{i}"))
-        aggregates.append(F.corr(a, b).alias(f"r{i}"))
+        # Not ``corr``, which fails on a constant column in ANSI mode.
+        spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+        aggregates.append(ratio(F.covar_pop(a, b), spread).alias(f"r{i}"))
     wide = numbers.groupBy(*by).agg(*aggregates)
     rows = [
         F.struct(
@@ -113,7 +115,7 @@ def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
             F.lit(a).alias("column_a"),
             F.lit(b).alias("column_b"),
             F.col(f"n{i}").alias("n"),
-            F.coalesce(F.nanvl(F.col(f"r{i}"), F.lit(0.0)), F.lit(0.0)).alias("r"),
+            F.col(f"r{i}").alias("r"),
         )
         for i, (a, b) in enumerate(pairs)
     ]
