@@ -46,11 +46,11 @@ def _parsed(c: Column, pattern: str) -> Column:
     """Number matched by ``pattern`` after dropping currency signs and blanks.
 
     Written so that the text is scanned once: no match gives '', which casts
-    to NULL, and an infinite value times zero is NaN, which becomes NULL.
+    to NULL, and ``nullif`` drops infinities without repeating its argument.
     """
     bare = F.translate(c, "£$€," + fixed.BLANKS, "")
     number = F.regexp_extract(bare, pattern, 1).try_cast("double")
-    return F.nanvl(number * 0 + number, F.lit(None).cast("double"))
+    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def to_number(c: Column) -> Column:

@@ -80,7 +80,9 @@ def analyse(raw: DataFrame, dataset: str = "data", overrides: dict[str, str] | N
     numeric = [c.column_name for role in NUMERIC_ROLES for c in columns
                if c.role == role and types[c.column_name] == "number"]
     numeric += [c for c in ("transaction_value", "margin", "margin_pct") if c in table.columns]
-    labels = [c.column_name for role in CATEGORY_ROLES for c in columns if c.role == role]
+    labels = [c.column_name for role in CATEGORY_ROLES for c in columns
+              if c.role == role and c.column_name not in by]
+    group = labels[0] if labels else None
     out["features"] = table
     if measure is None or measure not in numeric:
         return out
@@ -90,13 +92,14 @@ def analyse(raw: DataFrame, dataset: str = "data", overrides: dict[str, str] | N
         out["category_frequencies"] = st.category_frequencies(table, labels, by)
     if "correlation" in open_ and len(numeric) > 1:
         out["correlations"] = st.correlations(table, numeric, by)
-    if "comparison" in open_:
-        out["comparison"] = bd.top_categories(table, open_["comparison"][0], measure, by)
-        out["breakdown"] = bd.breakdown(table, open_["comparison"][0], measure, by)
+    if "comparison" in open_ and group:
+        out["comparison"] = bd.top_categories(table, group, measure, by)
+        out["breakdown"] = bd.breakdown(table, group, measure, by)
     if "distribution" in open_:
         out["distribution"] = bd.histogram(table, measure, by)
-    if "concentration_analysis" in open_:
-        out["concentration"] = bd.concentration(table, open_["concentration_analysis"][0], measure, by)
+    group = group if "concentration_analysis" in open_ else None
+    if group:
+        out["concentration"] = bd.concentration(table, group, measure, by)
     if "trend_analysis" not in open_:
         return out
 
@@ -118,7 +121,6 @@ def analyse(raw: DataFrame, dataset: str = "data", overrides: dict[str, str] | N
         out["segments"] = sg.customer_segments(customers, by)
         out["churn"] = sg.churn_exposure(out["segments"], series, by)
 
-    group = open_.get("concentration_analysis", [None])[0]
     score = quality.select(F.col("score").alias("quality_score"))
     facts = written(sc.entity_facts(table, by, date, measure, buyer, group, score))
     out["facts"] = facts
