@@ -17,6 +17,7 @@ from sumtrail.functions import fixed_values as fixed
 from sumtrail.functions.quantiles import exact_quantiles
 from sumtrail.functions.values import is_missing, looks_like_date, plain_text, strip, to_day, to_number
 from sumtrail.operators.profile import as_text, infer_types, profile_columns
+from sumtrail.session import written
 
 
 @dataclass
@@ -122,7 +123,7 @@ def filled(rows: DataFrame, values: DataFrame | None, columns: Iterable[str]) ->
     ])
 
 
-def _change_log(df: DataFrame, types: dict[str, str], fillable: dict[str, str],
+def _change_log(df: DataFrame, unique: DataFrame, types: dict[str, str], fillable: dict[str, str],
                 values: DataFrame | None, dayfirst: bool) -> DataFrame:
     text = as_text(df).na.fill("")
     columns = text.columns
@@ -134,7 +135,6 @@ def _change_log(df: DataFrame, types: dict[str, str], fillable: dict[str, str],
     before = text.agg(
         F.sum(trimmed).alias("trimmed"), F.sum(marked).alias("marked"), F.count(F.lit(1)).alias("rows_before"),
     )
-    unique = deduplicated(df)
     converted = {c: kind for c, kind in types.items() if kind in ("number", "date")}
     after = unique.agg(
         F.count(F.lit(1)).alias("rows_after"),
@@ -181,11 +181,14 @@ def clean(df: DataFrame, profile: Iterable[Row] | None = None, dayfirst: bool =
     profile = list(profile)
     types = {p.column_name: p.inferred_type for p in profile}
     fillable = fillable_columns(profile)
-    rows = normalised(deduplicated(df), types, dayfirst)
+    # Removing duplicates shuffles whole rows; the fills, the log and the
+    # result all read its output, so it is done once.
+    unique = written(deduplicated(df))
+    rows = normalised(unique, types, dayfirst)
     values = fills(rows, fillable)
     return Cleaned(
         rows=filled(rows, values, fillable),
-        log=_change_log(df, types, fillable, values, dayfirst),
+        log=_change_log(df, unique, types, fillable, values, dayfirst),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sumtrail.functions import fixed_values as fixed
 from sumtrail.functions.grouping import join_by, share_of_total, top_rows
 from sumtrail.functions.quantiles import exact_quantiles
-from sumtrail.functions.values import half_up, ratio
+from sumtrail.functions.values import half_up
 
 
 def measures_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -106,8 +106,8 @@ def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         aggregates.append(F.count_if(both).alias(f"n{i}"))
         # Not ``corr``, which fails on a constant column in ANSI mode.
-        spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
-        aggregates.append(ratio(F.covar_pop(a, b), spread).alias(f"r{i}"))
+        r = F.signum(F.covar_pop(a, b)) * F.sqrt(F.regr_r2(a, b))
+        aggregates.append(F.coalesce(r, F.lit(0.0)).alias(f"r{i}"))
     wide = numbers.groupBy(*by).agg(*aggregates)
     rows = [
         F.struct(
