@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from sumtrail.session import written
+
 
 def window_by(by: Sequence[str]) -> WindowSpec:
     """Window over the keys; only for row sets whose size per key is bounded
@@ -50,6 +52,8 @@ def share_of_total(df: DataFrame, value: str, by: Sequence[str], total: str = "t
     """Add the per-key sum of ``value``.
 
     Aggregate and join rather than a window: the sum is combined map-side, so
-    a key holding most of the rows never lands in one task.
+    a key holding most of the rows never lands in one task. ``df`` is an
+    aggregate over the source and is read twice, hence written once.
     """
+    df = written(df)
     return join_by(df, df.groupBy(*by).agg(F.sum(value).alias(total)), by)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sumtrail.functions.grouping import join_by, share_of_total, top_rows
 from sumtrail.functions.values import half_up, ratio, strip
+from sumtrail.session import written
 
 # Weight of an analysis in the ranking; others count 1.
 ANALYSIS_WEIGHTS = {
@@ -48,7 +49,8 @@ def concentration(df: DataFrame, category: str, measure: str, by: Sequence[str]
                   k: int = 5) -> DataFrame:
     """Share of the ``k`` largest labels; the rest is one row, if positive."""
     sums = category_sums(df, category, measure, by)
-    values = sums.select(*by, "label", half_up(F.col("sum"), 2).alias("value"))
+    # One row per label, read for the totals, the head and the rest.
+    values = written(sums.select(*by, "label", half_up(F.col("sum"), 2).alias("value")))
     totals = values.groupBy(*by).agg(F.sum("value").alias("total")).where("total > 0")
     head = join_by(top_rows(values, by, [F.desc("value"), F.col("label")], k), totals, by)
     rest = (
