@@ -96,7 +96,8 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     """Date from text parts; two-digit years below 50 are in this century."""
     y = year.try_cast("int")
     full = F.when(F.length(year) > 2, y).when(y < 50, y + 2000).otherwise(y + 1900)
-    text = F.concat_ws("-", F.lpad(full.cast("string"), 4, "0"), month, day)
+    # ``concat`` and not ``concat_ws``: an unknown part makes the day unknown.
+    text = F.concat(F.lpad(full.cast("string"), 4, "0"), F.lit("-"), month, F.lit("-"), day)
     return text.try_cast("date")
 
 
