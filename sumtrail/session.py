@@ -27,18 +27,34 @@ def local_session(cores: str = "8", app: str = "sumtrail") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for tables written between stages, one per application.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only
-    where a session names none (tests, local runs) is a folder made here.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``, or else
+    in the one given to ``SparkContext.setCheckpointDir``. Only a local master
+    may do without: its one machine is driver and executor alike.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or _local_folder()
+    base = spark.conf.get("spark.checkpoint.dir", "") or _checkpoint_folder(spark)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/sumtrail-{spark.sparkContext.applicationId}"
 
 
+def _checkpoint_folder(spark: SparkSession) -> str:
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return folder.get() if folder.isDefined() else ""
+
+
 @cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="sumtrail-")
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete every table this application has written to the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table on shared storage; unchanged if it already is one.
 
