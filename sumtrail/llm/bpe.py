@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sumtrail.llm.common import arrow_schema
+from sumtrail.llm.common import arrow_schema, map_arrow
 
 #: Rank of what is never merged.
 NEVER = np.int64(1) << 40
@@ -309,4 +309,4 @@ def encoded(docs: DataFrame, path: str, digests: bool = False, chunk: int = 1 <<
                 values = [part.column(c) for c in kept] + [pa.array(v, type=target.field(f.name).type) for v, f in zip(zip(*rows), fields)]
                 yield pa.RecordBatch.from_arrays(values, schema=target)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).transform(map_arrow, run, schema)

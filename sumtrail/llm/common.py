@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The white space of the contracts, as bytes: bytes.split() splits on exactly these.
@@ -36,10 +40,38 @@ def per_row(df: DataFrame, columns: list[str], schema: T.StructType, row: Callab
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, type=f.type) for v, f in zip(columns_out, target)], schema=target)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return map_arrow(df.select(*columns), run, schema)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_sumtrail_shipped", None) == context.applicationId:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="sumtrail-"), "sumtrail.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+    context._sumtrail_shipped = context.applicationId
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(schema)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows; otherwise the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df

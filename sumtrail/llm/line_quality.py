@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumtrail.llm.common import BLANKS, arrow_schema, per_row, words
+from sumtrail.llm.common import BLANKS, arrow_schema, map_arrow, per_row, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -31,8 +31,12 @@ BOILERPLATE = [
     "terms of use", "cookie policy", "we use cookies", "enable javascript", "subscribe to our newsletter",
     "click here to", "sign in to", "log in to", "powered by", "skip to content", "back to top", "copyright (c)",
 ]
+
+#: What stands between the items of a navigation line.
+SEPARATORS = [" | ", " » ", " > ", " • "]
+
 _BOILERPLATE = re.compile("|".join(re.escape(p) for p in BOILERPLATE), re.IGNORECASE)
-_ENDS = re.compile(r"[#*$%&|<>!]+$")
+_ENDS = re.compile(rb"[#*$%&|<>!]\Z")
 
 
 @dataclass(frozen=True)
@@ -85,16 +89,18 @@ def bad_line(line: str, tokens: list[bytes], rules: Rules = RULES) -> bool:
     if _BOILERPLATE.search(line):
         return True
     # Navigation: items set apart by bars, arrows or bullets.
-    if sum(line.count(s) for s in (" | ", " » ", " > ", " • ")) >= rules.separators or line.rstrip().endswith(" |"):
+    if sum(line.count(s) for s in SEPARATORS) >= rules.separators or line.rstrip(BLANKS).endswith(" |"):
         return True
     if n < rules.judged_words:
         return False
     # Punctuation: words that end in symbols or exclamation marks.
-    marked = sum(1 for w in tokens if _ENDS.search(w.decode("utf-8", "replace")) and len(w) > 1)
+    marked = sum(1 for w in tokens if len(w) > 1 and _ENDS.search(w))
     if marked > rules.symbol_words * n:
         return True
-    letters = [w for w in line.split() if any(c.isalpha() for c in w)]
-    if letters and sum(1 for w in letters if w.isupper()) > rules.shouted_words * len(letters):
+    # Shouting: of the words with letters that have case, most are in capitals.
+    plain = [w.decode("utf-8", "surrogatepass") for w in tokens]
+    cased = [w for w in plain if w.lower() != w.upper()]
+    if sum(1 for w in cased if w == w.upper()) > rules.shouted_words * len(cased):
         return True
     return n >= 3 * rules.judged_words and len(set(tokens)) < rules.same_word * n and _runs(tokens) > 0.5
 
@@ -157,7 +163,7 @@ def cleaned(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
             columns = [text if f.name == "text" else batch.column(f.name) for f in target]
             yield pa.RecordBatch.from_arrays(columns, schema=target).filter(keep)
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.transform(map_arrow, run, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
