@@ -1,7 +1,7 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-Codes are cut into segments of about log2(number of codes) bits, and each
-segment has an index. A query probes, segment by segment, all values at
+Codes are cut into segments of a width that follows the number of codes, and
+each segment has an index. A query probes, segment by segment, all values at
 distance 0, then 1, 2 and so on from its own. After radius r every code that
 was not met differs by more than r in each of the m segments, so by at least
 m (r + 1) in all: the search of a query ends once its k-th verified distance is
@@ -39,8 +39,11 @@ def sign_code(vector: Column, bits: int) -> Column:
 
 
 def segments(bits: int, n: int) -> list[tuple[int, int]]:
-    """(first bit, width) of equal segments of about log2(n) bits."""
-    m = max(1, round(bits / min(bits, max(4.0, math.log2(max(2, n))))))
+    """(first bit, width) of equal segments of about log2(n) - 3 bits: some eight codes for each value.
+
+    Looking at a code costs less than making a probe, so values are shared by a few codes.
+    """
+    m = max(1, round(bits / min(bits, max(4.0, math.log2(max(2, n)) - 3))))
     edges = [round(k * bits / m) for k in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
@@ -81,7 +84,7 @@ def neighbours(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64
             if radius <= width:
                 flips = F.explode(F.array(*[F.lit(m).cast("long") for m in masks(width, radius)]))
                 probes.append(open_.select("query", "worst", F.lit(s).alias("segment"), part(F.col("query"), first, width).alias("own"), flips.alias("flip"))
-                              .select("query", "worst", "segment", F.col("own").bitwiseXOR("flip").alias("value")))
+                              .select("query", "worst", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value")))
         probe = probes[0]
         for p in probes[1:]:
             probe = probe.unionByName(p)
