@@ -43,8 +43,8 @@ class Mix:
     most: float = 2.0
     block_words: int = 2048
     least_blocks: int = 256
-    chunk_docs: int = 20_000
-    chunk_slots: int = 20_000
+    chunk_docs: int = 2_000
+    chunk_slots: int = 5_000
     seed: int = 11
 
 
@@ -218,12 +218,13 @@ def mixed(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
     """
     copies = (
         report(docs, mix).where("size > 0")
-        .select(F.col("doc_id").alias("d"), "shuffle", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).alias("n"))
-        .groupBy("d", "shuffle").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
-        .where("n > 0")
+        .select(F.col("doc_id").alias("__id"), F.col("shuffle").alias("__hash"),
+                F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).alias("n"))
+        .groupBy("__id", "__hash").agg(F.sum("n").alias("__n"), F.count("*").alias("__rows"))
+        .where("__n > 0")
     )
-    hashed = docs.withColumn("__shuffle", F.xxhash64("doc_id", "text", F.lit(mix.seed)))
-    joined = hashed.join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__shuffle") == F.col("shuffle")))
+    hashed = docs.withColumn("__own", F.xxhash64("doc_id", "text", F.lit(mix.seed)))
+    joined = hashed.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")))
     # A lone row gives all its copies; rows that are equal give the rounded mean of theirs.
-    each = F.round(F.col("n") / F.col("rows")).cast("int")
+    each = F.round(F.col("__n") / F.col("__rows")).cast("int")
     return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), each))).select(*docs.columns)
