@@ -97,9 +97,9 @@ def bad_line(line: str, tokens: list[bytes], rules: Rules = RULES) -> bool:
     marked = sum(1 for w in tokens if len(w) > 1 and _ENDS.search(w))
     if marked > rules.symbol_words * n:
         return True
-    # Shouting: of the words with letters that have case, most are in capitals.
+    # Shouting: of the words of three characters or more whose letters have case, most are in capitals.
     plain = [w.decode("utf-8", "surrogatepass") for w in tokens]
-    cased = [w for w in plain if w.lower() != w.upper()]
+    cased = [w for w in plain if len(w) > 2 and w.lower() != w.upper()]
     if sum(1 for w in cased if w == w.upper()) > rules.shouted_words * len(cased):
         return True
     return n >= 3 * rules.judged_words and len(set(tokens)) < rules.same_word * n and _runs(tokens) > 0.5

@@ -83,7 +83,7 @@ judged AS (
     OR regexp_matches(line, ' \\|[\\x20\\x09-\\x0D]*$')
     OR len(ws) >= 4 AND (
       len(list_filter(ws, lambda w: strlen(w) > 1 AND regexp_matches(w, '[#*$%&|<>!]$'))) > 0.3 * len(ws)
-      OR len(list_filter(ws, lambda w: upper(w) <> lower(w) AND w = upper(w))) > 0.6 * len(list_filter(ws, lambda w: upper(w) <> lower(w)))
+      OR len(list_filter(ws, lambda w: length(w) > 2 AND upper(w) <> lower(w) AND w = upper(w))) > 0.6 * len(list_filter(ws, lambda w: length(w) > 2 AND upper(w) <> lower(w)))
       OR len(ws) >= 12 AND len(list_distinct(ws)) < 0.34 * len(ws)
         AND len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) / (len(ws) - 1) > 0.5) AS bad
   FROM lines),
