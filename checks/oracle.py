@@ -155,7 +155,11 @@ flagged AS (
     present AND regexp_matches(v, '{fixed.PADDED_ISO_DAY}') AS is_padded,
     present AND regexp_matches(v, '{fixed.PLAIN_NUMBER}') AS is_plain,
     present AND regexp_matches(v, '[£$€]') AS has_currency,
-    present AND regexp_matches(v, '%\\s*$') AS has_percent
+    present AND regexp_matches(v, '%\\s*$') AS has_percent,
+    present AND regexp_matches(v, '{fixed.EMAIL}') AS is_email,
+    present AND regexp_matches(v, '{fixed.POSTCODE}') AS is_postcode,
+    present AND regexp_matches(v, '{fixed.ITEM_CODE}') AS is_item_code,
+    present AND regexp_matches(v, '{fixed.ISO_DAY}|{fixed.SLASH_DAY}') AS is_date_shaped
   FROM tested),
 summed AS (
   SELECT dataset, position, column_name, count(*) AS rows, count(*) FILTER (present) AS non_missing,
@@ -164,7 +168,9 @@ summed AS (
     count(*) FILTER (is_date) AS as_date, count(*) FILTER (is_boolean) AS as_boolean,
     count(*) FILTER (is_bit) AS as_bit, count(*) FILTER (is_padded) AS padded_iso,
     count(*) FILTER (is_plain) AS plain_numbers, count(*) FILTER (has_currency) AS with_currency,
-    count(*) FILTER (has_percent) AS with_percent,
+    count(*) FILTER (has_percent) AS with_percent, count(*) FILTER (is_email) AS as_email,
+    count(*) FILTER (is_postcode) AS as_postcode, count(*) FILTER (is_item_code) AS as_item_code,
+    count(*) FILTER (is_date_shaped) AS date_shaped,
     list_sort(list(DISTINCT v) FILTER (present))[1:8] AS samples,
     min(number) AS lo, max(number) AS hi, avg(number) AS av, quantile_cont(number, 0.5) AS med,
     stddev_pop(number) AS sdev, min(day) AS d1, max(day) AS d2, count(DISTINCT date_trunc('month', day)) AS mths
@@ -184,7 +190,8 @@ prof AS (
     CASE WHEN inferred_type = 'number' THEN sdev END AS sd,
     CASE WHEN inferred_type = 'date' THEN d1 END AS first_day, CASE WHEN inferred_type = 'date' THEN d2 END AS last_day,
     CASE WHEN inferred_type = 'date' THEN mths END AS months,
-    as_number, as_date, as_boolean, as_bit, padded_iso, plain_numbers, with_currency, with_percent
+    as_number, as_date, as_boolean, as_bit, padded_iso, plain_numbers, with_currency, with_percent,
+    as_email, as_postcode, as_item_code, date_shaped
   FROM kinds)"""
 
 PROFILE_OUT = f"""SELECT * REPLACE ({big('position')} AS position, coalesce(array_to_string(samples, '|'), '') AS samples,
@@ -271,13 +278,12 @@ UNION ALL SELECT 'events', NULL, 'duplicate_rows', duplicate_pct FROM dp WHERE d
 _hints = ", ".join(f"({i}, '{role}', '{h}')" for i, (role, hs) in enumerate(fixed.ROLE_HINTS.items()) for h in hs)
 
 
-def share(pattern: str) -> str:
-    return f"(len(list_filter(samples, lambda s: regexp_matches(s, '{pattern}'))) / len(samples))"
+def share(count: str) -> str:
+    return f"({count} / non_missing)"
 
 
-_DATE_F = share(f"{fixed.ISO_DAY}|{fixed.SLASH_DAY}")
-_SIGN_F, _PCT_F, _MAIL_F = share("[£$€]"), share("%\\s*$"), share(fixed.EMAIL)
-_POST_F, _CODE_F = share(fixed.POSTCODE), share(fixed.ITEM_CODE)
+_DATE_F, _SIGN_F, _PCT_F, _MAIL_F, _POST_F, _CODE_F = map(
+    share, ("date_shaped", "with_currency", "with_percent", "as_email", "as_postcode", "as_item_code"))
 _numeric = listed(fixed.NUMERIC_ROLES)
 
 SCORES = f"""hints(role_order, role, hint) AS (VALUES {_hints}),
@@ -287,7 +293,7 @@ named AS (
       WHEN contains(trim(regexp_replace(lower(p.column_name), '[_\\-\\s]+', ' ', 'g')), h.hint) THEN 0.4e0 END) AS w1
   FROM prof p, hints h WHERE p.inferred_type <> 'empty' GROUP BY 1, 2, 3),
 weighed AS (
-  SELECT n.*, p.position, p.inferred_type, p.samples, p.rows, p.months,
+  SELECT n.*, p.position, p.inferred_type, p.non_missing, p.as_email, p.as_item_code, p.rows, p.months,
     CASE WHEN n.role = 'date' AND {_DATE_F} >= 0.5 THEN 0.3e0 * {_DATE_F}
       WHEN n.role IN ('price','cost','revenue') AND {_SIGN_F} > 0 THEN 0.25e0 * {_SIGN_F}
       WHEN n.role = 'percentage' AND {_PCT_F} > 0 THEN 0.25e0 * {_PCT_F}
@@ -482,7 +488,7 @@ add("correlations_by_region", F, corr_rows(["revenue", "cost", "units"], "region
 add("strongest_pair", F, corr_rows(["revenue", "cost", "units"], "", "f"),
     "SELECT * EXCLUDE (pair) FROM (SELECT * FROM pairs ORDER BY abs(coefficient) DESC, pair LIMIT 1) WHERE strength <> 'negligible'")
 add("pair_points", F, """SELECT position, revenue AS x, units AS y FROM (
-  SELECT *, row_number() OVER (ORDER BY order_date, order_id, revenue, units) AS position FROM f) WHERE position <= 300""")
+  SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', order_id, CAST(units AS BIGINT), CAST(revenue AS DECIMAL(18,2))))) AS position FROM f) WHERE position <= 300""")
 
 
 def series(by: str = "") -> str:
@@ -838,7 +844,7 @@ def actions(quality: dict) -> str:
     union = " UNION ALL ".join(action(*a, quality) for a in _ACTIONS)
     return f"""fired AS ({union}),
 kept AS (SELECT *, CASE WHEN top = 1 OR fl = 'immediate' THEN 'immediate' WHEN top = 2 OR fl = 'this_month' THEN 'this_month' ELSE 'this_quarter' END AS urgency
-  FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY rule) AS nth FROM fired) WHERE nth <= 6),
+  FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY rule) AS nth FROM fired)),
 valued AS (SELECT *, {big('least(100, greatest(5, ' + hu('''log10(value + 100) * 10 * confidence
     * (CASE urgency WHEN 'immediate' THEN 1.3e0 WHEN 'this_month' THEN 1.1e0 ELSE 1e0 END) * 10
     / (CASE effort WHEN 'low' THEN 1e0 WHEN 'medium' THEN 2.5e0 ELSE 5e0 END)''') + '))')} AS priority FROM kept),
@@ -879,6 +885,9 @@ add("outcome_totals", f"""SELECT o_orderpriority, {hu('sum(o_totalprice)', 2)} A
   {hu("sum(CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END)", 2)} AS actual,
   count(*) FILTER (o_orderstatus = 'F') AS validated, count(*) AS decisions FROM orders GROUP BY o_orderpriority""")
 add("latest_events", "SELECT event_id, event_type, value FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 250")
+add("latest_events_of_type", """SELECT event_id, user_id, value FROM events WHERE user_id % 2 = 1 AND event_type = 'purchase'
+ORDER BY ts DESC, event_id DESC LIMIT 40""")
+add("all_events_of_type", "SELECT event_id, value FROM events WHERE user_id = 7 AND event_type = 'purchase'")
 add("event_types", "SELECT DISTINCT event_type FROM events WHERE user_id = 7")
 
 # --- linkage -----------------------------------------------------------------
@@ -912,7 +921,7 @@ ov AS (SELECT *, {hu('shared_keys / least(left_keys, right_keys) * 100')} AS ove
 rel0 AS (SELECT *, least(0.99e0, CASE WHEN same_name THEN 0.5e0 ELSE 0e0 END + CASE WHEN same_role THEN 0.24e0 ELSE 0e0 END
     + overlap_pct / 100 * 0.35e0) AS conf FROM ov),
 rel AS (SELECT *, {hu('conf', 2)} AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY left_dataset, right_dataset
-    ORDER BY {hu('conf', 2)} DESC, ai, bi) AS k FROM rel0 WHERE conf >= 0.48) WHERE k <= 2)"""
+    ORDER BY {hu('conf', 2)} DESC, ai, bi) AS k FROM rel0 WHERE conf >= 0.48))"""
 add("key_overlap", *_CR0, LINKS, """SELECT left_keys, right_keys, shared_keys, overlap_pct, left_dataset, left_column, right_dataset, right_column FROM ov""")
 add("relations", *_CR0, LINKS, """SELECT left_dataset, left_column, right_dataset, right_column,
   CASE WHEN left_role = 'date' THEN 'period_alignment' ELSE 'shared_key' END AS kind, confidence, overlap_pct, conf >= 0.65 AS confirmed FROM rel""")
@@ -945,7 +954,6 @@ UNION ALL SELECT 'finance_reconciliation', 'opportunity', 0.7e0 FROM con""")
 
 # --- streaming ---------------------------------------------------------------
 
-add("live_revenue", f"""SELECT CAST(ts AS DATE) AS day, {hu('sum(value)', 2)} AS revenue, count(*) AS orders FROM events
-GROUP BY 1 HAVING CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)""")
+add("live_revenue", f"""SELECT CAST(ts AS DATE) AS day, {hu('sum(value)', 2)} AS revenue, count(*) AS orders FROM events GROUP BY 1""")
 add("live_customers", f"""SELECT user_id AS customer, {hu('sum(value)', 2)} AS spend, count(*) AS orders,
   CAST(min(ts) AS DATE) AS first_day FROM events GROUP BY user_id""")

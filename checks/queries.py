@@ -419,8 +419,8 @@ def strongest_pair(spark, sf):
 @query
 def pair_points(spark, sf):
     f = sales(spark, sf, "order_date", "order_id", "revenue", "units")
-    order = [F.col(c) for c in ("order_date", "order_id", "revenue", "units")]
-    return bd.pair_points(f, "revenue", "units", order)
+    key = F.md5(F.concat_ws("|", "order_id", F.col("units").cast("bigint"), F.col("revenue").cast("decimal(18,2)")))
+    return bd.pair_points(f, "revenue", "units", [key], k=300)
 
 
 @query
@@ -721,6 +721,20 @@ def latest_events(spark, sf):
     return pn.latest_events(events, "user_id", 7, "ts", "event_id").select("event_id", "event_type", "value")
 
 
+@query
+def latest_events_of_type(spark, sf):
+    """The newest forty purchases by all users of one group: the type decides before the limit does."""
+    events = table(spark, sf, "events").withColumn("tenant", F.col("user_id") % 2)
+    return pn.latest_events(events, "tenant", 1, "ts", "event_id", "event_type", "purchase", k=40).select(
+        "event_id", "user_id", "value")
+
+
+@query
+def all_events_of_type(spark, sf):
+    events = table(spark, sf, "events")
+    return pn.latest_events(events, "user_id", 7, "ts", "event_id", "event_type", "purchase", k=None).select("event_id", "value")
+
+
 @query
 def event_types(spark, sf):
     return pn.event_types(table(spark, sf, "events"), "user_id", 7, "event_type")
@@ -806,26 +820,27 @@ def _event_stream(spark, sf):
 
 @query
 def live_revenue(spark, sf):
-    """Days closed by the watermark after all events have arrived."""
-    base = scratch_folder(spark)
+    """Latest state of every day after all events have arrived."""
     totals = live.live_revenue(_event_stream(spark, sf), "ts", "value")
-    live.run_available(totals, f"{base}/days", f"{base}/state").awaitTermination()
-    return rounded(spark.read.parquet(f"{base}/days"), 2, "revenue")
+    return rounded(_latest_state(spark, totals, "day", ["revenue", "orders"]), 2, "revenue")
 
 
-@query
-def live_customers(spark, sf):
-    """Latest state of every user after all events have arrived."""
+def _latest_state(spark, totals, key, values):
     base = scratch_folder(spark)
-    totals = live.live_customers(_event_stream(spark, sf), "user_id", "ts", "value")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/users")
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/rows")
 
     live.run_upserts(totals, write, f"{base}/state").awaitTermination()
-    newest = F.max_by(F.struct("spend", "orders", "first_day"), "batch").alias("s")
-    state = spark.read.parquet(f"{base}/users").groupBy("customer").agg(newest).select("customer", "s.*")
-    return rounded(state, 2, "spend")
+    newest = F.max_by(F.struct(*values), "batch").alias("s")
+    return spark.read.parquet(f"{base}/rows").groupBy(key).agg(newest).select(key, "s.*")
+
+
+@query
+def live_customers(spark, sf):
+    """Latest state of every user after all events have arrived."""
+    totals = live.live_customers(_event_stream(spark, sf), "user_id", "ts", "value")
+    return rounded(_latest_state(spark, totals, "customer", ["spend", "orders", "first_day"]), 2, "spend")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

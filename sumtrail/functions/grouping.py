@@ -37,15 +37,16 @@ def join_by(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "in
     return left.join(other, match, how).drop(*renamed.values())
 
 
-def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
+def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None,
              rank: str = "position") -> DataFrame:
-    """First ``k`` rows per key in ``order``, numbered from 1.
+    """First ``k`` rows per key in ``order``, numbered from 1; ``k=None`` numbers all.
 
     The rank filter is pushed into the sort before the exchange (window group
     limit), so each task ships at most ``k`` rows per key.
     """
     w = window_by(by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w).cast("bigint")).where(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w).cast("bigint"))
+    return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
 def share_of_total(df: DataFrame, value: str, by: Sequence[str], total: str = "total") -> DataFrame:

@@ -1,7 +1,7 @@
 """Recommended actions per entity: fired rules, value, urgency and priority.
 
-The rules are a parameter table. Nine rules fire from the facts of an entity,
-the first six are kept, valued and ranked. All of it is array expressions on
+The rules are a parameter table. Nine rules fire from the facts of an entity;
+those that fire are valued and ranked. All of it is array expressions on
 one row per entity: no join and no shuffle beyond those behind the facts.
 """
 
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from sumtrail.functions.grouping import window_by
 from sumtrail.functions.values import clamp, half_up, ratio
 
-MAX_ACTIONS = 6
 MIN_FORECAST_MONTHS = 6
 
 
@@ -131,8 +130,8 @@ def _lookup(values: dict[str, float], key: Column) -> Column:
 
 
 def ranked_actions(facts: DataFrame, by: Sequence[str] = (), column_quality: dict[str, float] | None = None,
-                   pair_on_measure: bool = False) -> DataFrame:
-    """Up to six actions per entity, ranked by priority.
+                   pair_on_measure: bool = False, k: int | None = None) -> DataFrame:
+    """Actions per entity, ranked by priority; with ``k`` only the first ``k`` rules that fire.
 
     ``facts`` are the entity facts plus ``strong_pair`` (whether a strong
     correlation was found; false if absent). ``column_quality`` gives the score
@@ -175,14 +174,15 @@ def ranked_actions(facts: DataFrame, by: Sequence[str] = (), column_quality: dic
             _confidence(rule.columns).alias("confidence"), F.array_join(names, ",").alias("related_risks"),
         )
         entries.append(F.when(fired[rule.code], entry))
-    kept = F.slice(F.array_compact(F.array(*entries)), 1, MAX_ACTIONS)
+    kept = F.array_compact(F.array(*entries))
+    kept = kept if k is None else F.slice(kept, 1, k)
     exploded = known.select(*by, F.inline(kept))
     raw = (
         F.log10(F.col("value") + 100) * 10 * F.col("confidence")
         * _lookup(URGENCY_FACTORS, F.col("urgency")) * 10 / _lookup(EFFORT_DIVISORS, F.col("effort"))
     )
     scored = exploded.withColumn("priority", clamp(half_up(raw), 5, 100).cast("bigint"))
-    # At most six rows per entity.
+    # At most one row per rule and entity.
     w = window_by(by).orderBy(F.desc("priority"), "rule")
     return scored.withColumn("position", F.row_number().over(w).cast("bigint"))
 

@@ -104,9 +104,14 @@ def strongest_pair(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def pair_points(df: DataFrame, a: str, b: str, order: Sequence[Column], by: Sequence[str] = (),
-                k: int = 300) -> DataFrame:
-    """The first ``k`` points of a column pair in a reproducible order."""
+                k: int | None = None) -> DataFrame:
+    """All points of a column pair, or a sample: the first ``k`` in ``order``, numbered.
+
+    A hash of the rows' key as order makes the sample independent of time and place.
+    """
     points = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    if k is None:
+        return points.select(*by, F.col(a).alias("x"), F.col(b).alias("y"))
     ranked = top_rows(points, by, order, k)
     return ranked.select(*by, "position", F.col(a).alias("x"), F.col(b).alias("y"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sumtrail.functions import fixed_values as fixed
 from sumtrail.functions.grouping import top_rows
 from sumtrail.functions.values import half_up, ratio, strip, to_amount
+from sumtrail.session import written
 
 
 def table_purposes(roles: DataFrame) -> DataFrame:
@@ -86,36 +87,40 @@ def link_candidates(columns: Iterable[Row], order: Iterable[str]) -> list[dict]:
 def key_overlap(tables: dict[str, DataFrame], pairs: list[dict]) -> DataFrame:
     """Distinct and shared keys of every candidate pair, over the whole tables.
 
-    Each row sends its keys once per pair its columns take part in. Grouping by
-    (pair, key) collapses repeats map-side and marks the sides that have the
-    key, so a key held by a third of all rows is still one row per task, and
-    no join or pairing of rows is needed.
+    A row sends each of its keys once, however many pairs the column is in.
+    Grouping by key gives the set of columns that hold it (at most as many as
+    there are columns), repeats collapse map-side, and keys with equal sets are
+    counted together; pairs are only formed from those counts.
     """
+    columns = sorted({(p[f"{s}_dataset"], p[f"{s}_column"]) for p in pairs for s in ("left", "right")})
+    number = {c: i for i, c in enumerate(columns)}
     parts = []
     for name, df in tables.items():
-        sides = [
-            F.struct(F.lit(p["pair"]).cast("bigint").alias("pair"), F.lit(side).alias("side"), _key(column).alias("key"))
-            for p in pairs
-            for side, dataset, column in (
-                (0, p["left_dataset"], p["left_column"]), (1, p["right_dataset"], p["right_column"]))
-            if dataset == name
-        ]
-        if sides:
-            parts.append(df.select(F.inline(F.array(*sides))).where("key <> ''"))
-    keys = reduce(DataFrame.unionByName, parts).groupBy("pair", "key").agg(
-        F.max(F.when(F.col("side") == 0, 1).otherwise(0)).alias("left"),
-        F.max(F.when(F.col("side") == 1, 1).otherwise(0)).alias("right"),
-    )
-    counts = keys.groupBy("pair").agg(
-        F.sum("left").alias("left_keys"), F.sum("right").alias("right_keys"),
-        F.sum(F.col("left") * F.col("right")).alias("shared_keys"),
+        mine = [F.struct(F.lit(number[d, c]).alias("place"), _key(c).alias("key")) for d, c in columns if d == name]
+        if mine:
+            parts.append(df.select(F.inline(F.array(*mine))).where("key <> ''"))
+    holders = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    # One row per set of columns from here on.
+    sets = written(holders.groupBy("places").agg(F.count(F.lit(1)).alias("n")))
+    spark = sets.sparkSession
+    wanted = spark.createDataFrame(
+        [(p["pair"], number[p["left_dataset"], p["left_column"]], number[p["right_dataset"], p["right_column"]]) for p in pairs],
+        "pair bigint, l int, r int")
+    single = sets.select(F.explode("places").alias("place"), "n").groupBy("place").agg(F.sum("n").alias("n"))
+    both = sets.select(F.explode("places").alias("l"), "places", "n").select("l", F.explode("places").alias("r"), "n").groupBy(
+        "l", "r").agg(F.sum("n").alias("shared_keys"))
+    counts = (
+        wanted.join(single.select(F.col("place").alias("l"), F.col("n").alias("left_keys")), "l", "left")
+        .join(single.select(F.col("place").alias("r"), F.col("n").alias("right_keys")), "r", "left")
+        .join(both, ["l", "r"], "left").na.fill(0, ["left_keys", "right_keys", "shared_keys"])
+        .where("left_keys > 0 or right_keys > 0").select("pair", "left_keys", "right_keys", "shared_keys")
     )
     smaller = F.least("left_keys", "right_keys")
     return counts.withColumn("overlap_pct", half_up(ratio(F.col("shared_keys"), smaller) * 100))
 
 
-def relations(tables: dict[str, DataFrame], pairs: list[dict]) -> DataFrame:
-    """Up to two relations per table pair with confidence and confirmation."""
+def relations(tables: dict[str, DataFrame], pairs: list[dict], k: int | None = None) -> DataFrame:
+    """Relations per table pair, best first, with confidence and confirmation; with ``k`` the best ``k``."""
     spark = next(iter(tables.values())).sparkSession
     schema = ("pair bigint, left_dataset string, left_column string, right_dataset string, "
               "right_column string, left_role string, same_name boolean, same_role boolean")
@@ -134,7 +139,7 @@ def relations(tables: dict[str, DataFrame], pairs: list[dict]) -> DataFrame:
     )
     kept = joined.withColumn("_confidence", confidence).where(F.col("_confidence") >= fixed.LINK_FLOOR)
     best = top_rows(kept, ["left_dataset", "right_dataset"],
-                    [F.desc(half_up(F.col("_confidence"), 2)), F.col("pair")], 2)
+                    [F.desc(half_up(F.col("_confidence"), 2)), F.col("pair")], k)
     kind = F.when(F.col("left_role") == "date", "period_alignment").otherwise("shared_key")
     return best.select(
         "pair", "left_dataset", "left_column", "right_dataset", "right_column",

@@ -126,11 +126,12 @@ def outcome_totals(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def latest_events(events: DataFrame, tenant_column: str, tenant, time: str, tie: str,
-                  kind_column: str | None = None, kind: str | None = None, k: int = AUDIT_LIMIT) -> DataFrame:
-    """Newest ``k`` events of one tenant; the type filter applies to those."""
+                  kind_column: str | None = None, kind: str | None = None, k: int | None = AUDIT_LIMIT) -> DataFrame:
+    """Newest ``k`` events of one tenant, of one type if asked for; ``k=None`` gives all."""
     mine = events.where(F.col(tenant_column) == tenant)
-    newest = mine.orderBy(F.desc(time), F.desc(tie)).limit(k)
-    return newest.where(F.col(kind_column) == kind) if kind else newest
+    if kind:
+        mine = mine.where(F.col(kind_column) == kind)
+    return mine if k is None else mine.orderBy(F.desc(time), F.desc(tie)).limit(k)
 
 
 def event_types(events: DataFrame, tenant_column: str, tenant, kind_column: str) -> DataFrame:

@@ -56,6 +56,10 @@ def _tested(counts: DataFrame, dayfirst: bool) -> DataFrame:
         "is_plain": present & v.rlike(fixed.PLAIN_NUMBER),
         "has_currency": present & v.rlike(fixed.CURRENCY_SIGN),
         "has_percent": present & v.rlike(fixed.PERCENT_SIGN),
+        "is_email": present & v.rlike(fixed.EMAIL),
+        "is_postcode": present & v.rlike(fixed.POSTCODE),
+        "is_item_code": present & v.rlike(fixed.ITEM_CODE),
+        "is_date_shaped": present & v.rlike(f"{fixed.ISO_DAY}|{fixed.SLASH_DAY}"),
     })
 
 
@@ -98,6 +102,10 @@ def _totals() -> list[Column]:
         _count(F.col("is_plain")).alias("plain_numbers"),
         _count(F.col("has_currency")).alias("with_currency"),
         _count(F.col("has_percent")).alias("with_percent"),
+        _count(F.col("is_email")).alias("as_email"),
+        _count(F.col("is_postcode")).alias("as_postcode"),
+        _count(F.col("is_item_code")).alias("as_item_code"),
+        _count(F.col("is_date_shaped")).alias("date_shaped"),
         F.min("number").alias("_min"),
         F.max("number").alias("_max"),
         F.min("day").alias("_first_day"),
@@ -182,7 +190,7 @@ def _profile_row(joined: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
         only("date", "_first_day").alias("first_day"), only("date", "_last_day").alias("last_day"),
         only("date", "_months").alias("months"),
         "as_number", "as_date", "as_boolean", "as_bit", "padded_iso", "plain_numbers",
-        "with_currency", "with_percent",
+        "with_currency", "with_percent", "as_email", "as_postcode", "as_item_code", "date_shaped",
     )
 
 

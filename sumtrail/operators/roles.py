@@ -30,31 +30,30 @@ def _name_weight(role: str) -> Column:
     return F.when(words.isin(hints), fixed.NAME_EQUAL).when(contains, fixed.NAME_CONTAINS)
 
 
-def _share(pattern: str) -> Column:
-    """Share of the samples that match; NULL without samples."""
-    hits = F.size(F.filter("samples", lambda v: v.rlike(pattern)))
-    return F.when(F.size("samples") > 0, hits / F.size("samples"))
+def _share(count: str) -> Column:
+    """Share of all values that match, by a count of the profile; NULL without values."""
+    return F.when(F.col("non_missing") > 0, F.col(count) / F.col("non_missing"))
 
 
 def _pattern_weight(role: str) -> Column:
     none = F.lit(None).cast("double")
     if role == "date":
-        f = _share(f"{fixed.ISO_DAY}|{fixed.SLASH_DAY}")
+        f = _share("date_shaped")
         return F.when(f >= 0.5, 0.3 * f)
     if role in ("price", "cost", "revenue"):
-        f = _share(fixed.CURRENCY_SIGN)
+        f = _share("with_currency")
         return F.when(f > 0, 0.25 * f)
     if role == "percentage":
-        f = _share(fixed.PERCENT_SIGN)
+        f = _share("with_percent")
         in_range = f.isNotNull() & (F.col("min") >= 0) & (F.col("max") <= 100)
         return F.when(f > 0, 0.25 * f).when(in_range, 0.12)
     if role == "customer":
-        f = _share(fixed.EMAIL)
+        f = _share("as_email")
         return F.when(f >= 0.5, 0.25 * f)
     if role == "location":
-        return F.when(_share(fixed.POSTCODE) >= 0.3, 0.2)
+        return F.when(_share("as_postcode") >= 0.3, 0.2)
     if role in ("identifier", "product"):
-        f = _share(fixed.ITEM_CODE)
+        f = _share("as_item_code")
         return F.when(f >= 0.5, 0.15 * f)
     return none
 
@@ -125,20 +124,16 @@ def role_scores(profile: DataFrame) -> DataFrame:
 
 
 def display_type(role: Column) -> Column:
-    """How values of a role are shown; needs inferred_type and samples."""
+    """How values of a role are shown; needs inferred_type, as_email and as_item_code."""
     kind = F.col("inferred_type")
-
-    def any_sample(pattern: str) -> Column:
-        return F.exists("samples", lambda v: v.rlike(pattern))
-
     return (
         F.when(kind == "empty", "unknown")
         .when(role.isin("price", "cost", "revenue"), "currency")
         .when(role.isin("quantity", "inventory"), "count")
         .when(role == "date", "date")
         .when(role == "percentage", "percentage")
-        .when((role == "customer") & any_sample(fixed.EMAIL), "email")
-        .when((role == "identifier") | ((role == "product") & any_sample(fixed.ITEM_CODE)), "code")
+        .when((role == "customer") & (F.col("as_email") > 0), "email")
+        .when((role == "identifier") | ((role == "product") & (F.col("as_item_code") > 0)), "code")
         .when(role.isin("category", "status", "location"), "category_label")
         .when(kind == "boolean", "boolean")
         .when(kind == "string", "free_text")
@@ -153,7 +148,7 @@ def classify_columns(profile: DataFrame, overrides: dict[tuple[str, str], str] |
     Row and month counts are carried along for the gates.
     """
     usable = F.when(F.col("inferred_type") != "empty", _ranked_roles())
-    found = profile.select(*COLUMN, "inferred_type", "samples", "rows", "months", usable.alias("_ranked"))
+    found = profile.select(*COLUMN, "inferred_type", "as_email", "as_item_code", "rows", "months", usable.alias("_ranked"))
     best = F.col("_ranked")[0]
     score = F.coalesce(-best["key"], F.lit(0.0))
     role = F.when(score >= fixed.ROLE_FLOOR, best["role"]).otherwise("unknown")

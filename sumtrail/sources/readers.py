@@ -5,6 +5,8 @@ Every text table comes back with all columns as strings and trimmed headers.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,23 +59,32 @@ def sniff_delimiter(header: str) -> str:
     return max(DELIMITERS, key=lambda d: (header.count(d), -DELIMITERS.index(d)))
 
 
+def _refuse_equal_headers(header: str, sep: str) -> None:
+    """Names as they stand in the file: the reader itself would rename equal ones."""
+    names = [c.strip() for c in next(csv.reader([header], delimiter=sep), [])]
+    if len(set(names)) < len(names):
+        raise IngestError("PARSE_FAILED", "two headers are equal")
+
+
 def read_csv(spark: SparkSession, path: str, sep: str | None = None,
-             quoted_newlines: bool = True) -> DataFrame:
+             quoted_newlines: bool = False) -> DataFrame:
     """Delimited text with a header line.
 
-    ``quoted_newlines=False`` allows a large file to be split between tasks;
-    use it when no cell contains a line break.
+    Large files are split between tasks. ``quoted_newlines=True`` allows cells
+    to contain line breaks, at the price of one task per file.
     """
     header = _first_line(spark, path)
+    sep = sep or sniff_delimiter(header)
+    _refuse_equal_headers(header, sep)
     df = (
         spark.read.option("header", True).option("inferSchema", False)
-        .option("sep", sep or sniff_delimiter(header)).option("quote", '"').option("escape", '"')
+        .option("sep", sep).option("quote", '"').option("escape", '"')
         .option("multiLine", quoted_newlines).csv(path)
     )
     return _guarded(_blank_for_missing(normalise_headers(df)))
 
 
-def read_tsv(spark: SparkSession, path: str, quoted_newlines: bool = True) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, quoted_newlines: bool = False) -> DataFrame:
     return read_csv(spark, path, sep="\t", quoted_newlines=quoted_newlines)
 
 
@@ -108,6 +119,10 @@ def read_json(spark: SparkSession, path: str, records_field: str | None = None,
     return _guarded(_blank_for_missing(normalise_headers(df.select(*[_cell(f) for f in df.schema.fields]))))
 
 
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    return read_json(spark, path, lines=True)
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """A typed table; its types are kept."""
     return normalise_headers(spark.read.parquet(path))
@@ -116,7 +131,9 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     """Reader by file extension."""
     extension = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    readers = {"tsv": read_tsv, "json": read_json, "parquet": read_parquet}
+    readers = {
+        "tsv": read_tsv, "json": read_json, "jsonl": read_json_lines, "ndjson": read_json_lines, "parquet": read_parquet,
+    }
     return readers.get(extension, read_csv)(spark, path, **options)
 
 

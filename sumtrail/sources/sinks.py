@@ -21,16 +21,17 @@ def run_summary(dataset: str, rows: DataFrame, health: DataFrame, quality: DataF
                 risk_table: DataFrame, actions: DataFrame, totals: DataFrame) -> DataFrame:
     """One row that sums up a run over one dataset.
 
-    Every input is already aggregated: single rows, or a few rows of which the
-    first is taken.
+    Every input is already aggregated. Parts of a keyed run have a row per key:
+    rows and values at risk add up, scores are averaged.
     """
     first_risk = risk_table.agg(F.min_by("risk", "position").alias("top_risk"))
     first_action = actions.agg(F.min_by("action", "position").alias("top_action"))
     opened = gate_table.agg(F.count_if("available").alias("open"), F.count(F.lit(1)).alias("gates"))
-    out = rows.select(F.col("rows"))
+    out = rows.agg(F.sum("rows").alias("rows"))
     for part in (
-        health.select(F.col("total").alias("health")), quality.select(F.col("score").alias("quality")),
-        opened, first_risk, first_action, totals.select("value_at_risk"),
+        health.agg(F.round(F.avg("total")).cast("bigint").alias("health")),
+        quality.agg(F.round(F.avg("score")).cast("bigint").alias("quality")),
+        opened, first_risk, first_action, totals.agg(F.sum("value_at_risk").alias("value_at_risk")),
     ):
         out = out.crossJoin(F.broadcast(part))
     return out.select(

@@ -13,7 +13,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 def live_revenue(events: DataFrame, time: str, measure: str, lateness: str = "1 day",
                  period: str = "1 day") -> DataFrame:
-    """Revenue and orders per period; a period closes once the watermark passes."""
+    """Revenue and orders per period.
+
+    Written with :func:`run_upserts`, every batch hands on the periods that it
+    changed, so that no period waits for later events: after a finished input
+    all of them are there. The watermark bounds the state that is kept.
+    :func:`run_available` appends a period only once the watermark has passed it.
+    """
     totals = (
         events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
         .groupBy(F.window(time, period).alias("_w"))
