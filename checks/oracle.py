@@ -5,7 +5,7 @@ Values are rounded half-up on both sides, see ``hu``.
 
 from __future__ import annotations
 
-from sumtrail.functions import fixed_values as fixed
+from checks import literals as fixed
 
 ORACLE: dict[str, str] = {}
 
@@ -493,7 +493,7 @@ add("pair_points", F, """SELECT position, revenue AS x, units AS y FROM (
 
 def series(by: str = "") -> str:
     lead = f"{by}, " if by else ""
-    return f"""s AS (SELECT {lead}CAST(date_trunc('month', order_date) AS DATE) AS month, {hu('sum(revenue)', 2)} AS value,
+    return f"""s AS (SELECT {lead}CAST(date_trunc('month', order_date) AS DATE) AS month, {hu('sum(CAST(revenue AS DECIMAL(38,4)))::DOUBLE', 2)} AS value,
   count(*) AS n FROM f GROUP BY ALL)"""
 
 
@@ -524,14 +524,14 @@ add("month_totals_one_month", *cycle("events", "", "month(ts)", "value", fixed.M
 def breakdown(label: str, by: str) -> str:
     lead, part = (f"{by}, ", f"PARTITION BY {by}") if by else ("", "")
     return f"""SELECT {lead}label, {hu('s', 2)} AS value, n, {hu(f'CASE WHEN t <> 0 THEN s / t ELSE 0 END * 100', 1)} AS pct FROM (
-  SELECT *, sum(s) OVER ({part}) AS t FROM (SELECT {lead}CAST({label} AS VARCHAR) AS label, sum(revenue) AS s, count(*) AS n FROM f GROUP BY ALL))"""
+  SELECT *, sum(s) OVER ({part}) AS t FROM (SELECT {lead}CAST({label} AS VARCHAR) AS label, sum(CAST(revenue AS DECIMAL(38,4)))::DOUBLE AS s, count(*) AS n FROM f GROUP BY ALL))"""
 
 
 def ranked(label: str, by: str) -> str:
     lead, part = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
     return f"""tops AS (SELECT *, row_number() OVER ({part}ORDER BY value DESC, label) AS position,
   sum(value) OVER ({part}) AS total FROM (
-  SELECT {lead}CAST({label} AS VARCHAR) AS label, {hu('sum(revenue)', 2)} AS value FROM f GROUP BY ALL))"""
+  SELECT {lead}CAST({label} AS VARCHAR) AS label, {hu('sum(CAST(revenue AS DECIMAL(38,4)))::DOUBLE', 2)} AS value FROM f GROUP BY ALL))"""
 
 
 add("breakdown", F, breakdown("brand", ""))
@@ -671,7 +671,7 @@ def segments(by: str = "") -> str:
     cuts = ", ".join(
         f"max({m}) FILTER (k_{m} = least(CAST(floor(c * {q}e0) AS BIGINT), c - 1) + 1) AS {m}_{n}"
         for m in ("spend", "orders", "months_active") for n, q in (("lower", 0.33), ("upper", 0.66)))
-    return f"""cu0 AS (SELECT {lead}CAST(customer_id AS VARCHAR) AS customer, {hu('sum(revenue)', 2)} AS spend, count(*) AS orders,
+    return f"""cu0 AS (SELECT {lead}CAST(customer_id AS VARCHAR) AS customer, {hu('sum(CAST(revenue AS DECIMAL(38,4)))::DOUBLE', 2)} AS spend, count(*) AS orders,
     CAST(date_trunc('month', min(order_date)) AS DATE) AS first_month, CAST(date_trunc('month', max(order_date)) AS DATE) AS last_month FROM f GROUP BY {lead}customer_id),
 cu AS (SELECT *, {big("greatest(1, date_diff('month', first_month, max(last_month) OVER (" + part + ")))")} AS months_active FROM cu0),
 nums AS (SELECT *, count(*) OVER ({part}) AS c, row_number() OVER ({part}ORDER BY spend) AS k_spend,
@@ -737,7 +737,7 @@ SP = f"""sp AS (SELECT region, CAST(customer_id AS VARCHAR) AS customer, {hu('su
   CAST(date_trunc('month', min(order_date)) AS DATE) AS first_month FROM l GROUP BY region, customer_id)"""
 add("customer_spend", F, L, SP, "SELECT customer, spend, orders, first_month FROM sp")
 add("lifetime_value_buckets", buckets("spend", fixed.LIFETIME_VALUE_EDGES,
-    f"(SELECT user_id, {hu('sum(value)', 2)} AS spend FROM events WHERE value > 0 GROUP BY user_id)"))
+    f"(SELECT user_id, {hu('sum(CAST(value AS DECIMAL(38,4)))::DOUBLE', 2)} AS spend FROM events WHERE value > 0 GROUP BY user_id)"))
 add("new_customers_per_month", F, L, SP, "SELECT region, first_month AS month, count(*) AS customers FROM sp GROUP BY ALL")
 add("customer_counts", F, L, SP, f"""SELECT region, count(*) AS unique_customers, count(*) FILTER (orders > 1) AS repeat_customers,
   count(*) FILTER (orders <= 1) AS new_customers, {hl('count(*) FILTER (orders > 1) / count(*) * 100')} AS repeat_rate FROM sp GROUP BY region""")
@@ -762,7 +762,7 @@ add("retail_health", F, series("region"), shape("region"),
 add("dependency_risk", F, L, f"""SELECT customer_id, product, {hl('share')} AS share_pct, CASE WHEN share > 50 THEN 'high' ELSE 'medium' END AS level FROM (
   SELECT *, s / sum(s) OVER (PARTITION BY customer_id) * 100 AS share, row_number() OVER (PARTITION BY customer_id ORDER BY s DESC, product) AS k
   FROM (SELECT customer_id, product, sum(line_revenue) AS s FROM l GROUP BY ALL)) WHERE k = 1 AND share > 30""")
-add("small_base_actions", f"""sb AS (SELECT event_type, {hu('sum(value) / count(*)', 2)} AS average_order, count(DISTINCT user_id) AS customers
+add("small_base_actions", f"""sb AS (SELECT event_type, {hu('sum(CAST(value AS DECIMAL(38,4)))::DOUBLE / count(*)', 2)} AS average_order, count(DISTINCT user_id) AS customers
   FROM events WHERE value > 0 GROUP BY event_type)""", """SELECT event_type, 'raise_average_order' AS action, average_order AS evidence FROM sb WHERE average_order < 100
 UNION ALL SELECT event_type, 'loyalty_programme', CAST(customers AS DOUBLE) FROM sb WHERE customers BETWEEN 1 AND 99""")
 
@@ -770,7 +770,7 @@ UNION ALL SELECT event_type, 'loyalty_programme', CAST(customers AS DOUBLE) FROM
 
 SCORE = 84
 FACTS = f"""conc AS (SELECT region, arg_min(label, (-s, label)) AS top_label, max(s) / sum(s) * 100 AS top_share FROM (
-    SELECT region, product AS label, sum(revenue) AS s FROM f GROUP BY ALL) GROUP BY region HAVING sum(s) > 0),
+    SELECT region, product AS label, sum(CAST(revenue AS DECIMAL(38,4)))::DOUBLE AS s FROM f GROUP BY ALL) GROUP BY region HAVING sum(s) > 0),
 drp AS (SELECT region, count(*) FILTER (is_anomaly AND actual < expected) AS drops FROM anom GROUP BY region),
 fx AS (SELECT region, periods, total, first_value, last_value, mean, sd, chosen_model, confidence,
     CASE WHEN chosen_model = 'moving_average' THEN 0 ELSE {_trend_pct} END AS trend_pct,
@@ -875,13 +875,13 @@ def scenarios(by: str, cost: str, levers: str) -> str:
     spent = "cs * (1 + v / 100) * (1 + c / 100)"
     return f"""SELECT {by}, p AS price_pct, v AS volume_pct, c AS unit_cost_pct, t AS retention_pct, {hu(revenue, 2)} AS revenue, {hu(spent, 2)} AS cost,
   {hu(f'{revenue} - {spent}', 2)} AS profit, {hu(f'({revenue} - {spent}) - (rv - cs)', 2)} AS profit_change
-FROM (SELECT {by}, sum(revenue) AS rv, {cost} AS cs FROM f GROUP BY {by}), {levers}"""
+FROM (SELECT {by}, sum(CAST(revenue AS DECIMAL(38,4)))::DOUBLE AS rv, {cost} AS cs FROM f GROUP BY {by}), {levers}"""
 
 
-add("scenario_grid", F, scenarios("region", "sum(cost)",
+add("scenario_grid", F, scenarios("region", "sum(CAST(cost AS DECIMAL(38,4)))::DOUBLE",
     "(VALUES (-10e0), (0e0), (10e0)) a(p), (VALUES (0e0), (20e0)) b(v), (VALUES (0e0), (5e0)) d(c), (VALUES (0e0), (15e0)) e(t)"))
-add("scenario_default_cost", F, scenarios("product", "sum(revenue) * 0.55e0", "(VALUES (5e0, 10e0, 0e0, 10e0)) a(p, v, c, t)"))
-add("outcome_totals", f"""SELECT o_orderpriority, {hu('sum(o_totalprice)', 2)} AS expected,
+add("scenario_default_cost", F, scenarios("product", "sum(CAST(revenue AS DECIMAL(38,4)))::DOUBLE * 0.55e0", "(VALUES (5e0, 10e0, 0e0, 10e0)) a(p, v, c, t)"))
+add("outcome_totals", f"""SELECT o_orderpriority, {hu('sum(CAST(o_totalprice AS DECIMAL(38,4)))::DOUBLE', 2)} AS expected,
   {hu("sum(CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END)", 2)} AS actual,
   count(*) FILTER (o_orderstatus = 'F') AS validated, count(*) AS decisions FROM orders GROUP BY o_orderpriority""")
 add("latest_events", "SELECT event_id, event_type, value FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 250")
@@ -954,6 +954,6 @@ UNION ALL SELECT 'finance_reconciliation', 'opportunity', 0.7e0 FROM con""")
 
 # --- streaming ---------------------------------------------------------------
 
-add("live_revenue", f"""SELECT CAST(ts AS DATE) AS day, {hu('sum(value)', 2)} AS revenue, count(*) AS orders FROM events GROUP BY 1""")
-add("live_customers", f"""SELECT user_id AS customer, {hu('sum(value)', 2)} AS spend, count(*) AS orders,
+add("live_revenue", f"""SELECT CAST(ts AS DATE) AS day, {hu('sum(CAST(value AS DECIMAL(38,4)))::DOUBLE', 2)} AS revenue, count(*) AS orders FROM events GROUP BY 1""")
+add("live_customers", f"""SELECT user_id AS customer, {hu('sum(CAST(value AS DECIMAL(38,4)))::DOUBLE', 2)} AS spend, count(*) AS orders,
   CAST(min(ts) AS DATE) AS first_day FROM events GROUP BY user_id""")

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumtrail.functions.grouping import join_by, window_by
+from sumtrail.functions.values import finite
 from sumtrail.session import written
 
 # Rank error of the sketch is at most 1/ACCURACY of the rows; the bracket is
@@ -23,6 +24,9 @@ from sumtrail.session import written
 ACCURACY = 100_000
 MARGIN = 3.0 / ACCURACY
 
+# A bracket is counted in so many parts, each of its own.
+PARTS = 256
+
 
 def exact_quantiles(
     rows: DataFrame,
@@ -42,7 +46,7 @@ def exact_quantiles(
     """
     by = list(by)
     names = list(names or [f"q{round(f * 100)}" for f in fractions])
-    x = rows.select(*by, F.col(value).cast("double").alias("_x"))
+    x = rows.select(*by, finite(F.col(value)).alias("_x"))
 
     edges = []
     for f in fractions:
@@ -58,28 +62,38 @@ def exact_quantiles(
     # rows stay where they are.
     sketch = written(sketch)
 
-    inside, below = F.lit(False), F.lit(float("-inf"))
-    for i in range(len(fractions)):
+    inside, below, passed = F.lit(False), F.lit(float("-inf")), F.lit(0)
+    part = F.lit(None).cast("int")
+    for i in reversed(range(len(fractions))):
         low, high = F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]
-        inside = inside | F.col("_x").between(low, high)
+        within = F.col("_x").between(low, high)
+        slot = F.least(F.floor((F.col("_x") - low) / (high - low) * PARTS), F.lit(PARTS - 1))
+        part = F.when(within, i * PARTS + F.when(high > low, slot).otherwise(0).cast("int")).otherwise(part)
+        inside = inside | within
         below = F.greatest(below, F.when(high < F.col("_x"), high).otherwise(F.lit(float("-inf"))))
-    counted = (
+        passed = passed + F.when(high < F.col("_x"), 1).otherwise(0)
+    counted = written(
         join_by(x, sketch.drop(*kept), by)
         .select(
             *by,
             F.when(inside, F.col("_x")).otherwise(below).alias("_key"),
-            (~inside).alias("_gap"),
+            (~inside).alias("_gap"), F.when(inside, part).otherwise(-1 - passed).alias("_part"),
             "_x", "_rows",
         )
-        .groupBy(*by, "_rows", "_key", "_gap")
+        .groupBy(*by, "_rows", "_part", "_key", "_gap")
         .agg(F.count("_x").alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last"))
         # Missing numbers are dropped here rather than before the aggregation,
         # where the filter would compute a derived column a second time.
         .where("_n > 0")
     )
-
-    upto = F.sum("_n").over(window_by(by).orderBy("_key", "_gap"))
-    ranked = counted.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_n"))
+    # Positions: those of earlier parts, of which a key has a set number, and
+    # those inside the part. No task sees more than one part of a bracket.
+    parts = counted.groupBy(*by, "_part").agg(
+        F.sum("_n").alias("_in_part"), F.min(F.struct("_key", "_gap")).alias("_place"))
+    earlier = window_by(by).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*by, "_part", F.coalesce(F.sum("_in_part").over(earlier), F.lit(0)).alias("_before"))
+    upto = F.col("_before") + F.sum("_n").over(window_by([*by, "_part"]).orderBy("_key", "_gap"))
+    ranked = join_by(counted, offsets, [*by, "_part"]).withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_n"))
 
     def element(index):
         """Value at a 0-based index; an index inside a gap can only be its edge."""

@@ -148,3 +148,14 @@ def plain_text(x: Column) -> Column:
         .when(small.contains("E") & (F.abs(x) >= 1), F.coalesce(fraction, small))
         .otherwise(small)
     )
+
+
+def finite(x: Column) -> Column:
+    """A number as double; NULL for what is missing, not a number or infinite."""
+    d = x.cast("double")
+    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+
+
+def total(x: Column) -> Column:
+    """Sum of the finite numbers, as double; added as decimals, so that it does not depend on their order."""
+    return F.sum(finite(x).cast("decimal(38,4)")).cast("double")

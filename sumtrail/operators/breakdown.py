@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumtrail.functions.grouping import join_by, share_of_total, top_rows
-from sumtrail.functions.values import half_up, ratio, strip
+from sumtrail.functions.values import finite, half_up, ratio, strip, total
 from sumtrail.session import written
 
 # Weight of an analysis in the ranking; others count 1.
@@ -25,9 +25,9 @@ def category_sums(df: DataFrame, category: str, measure: str, by: Sequence[str]
     """Unrounded sum and count per non-blank label."""
     label = strip(F.col(category).cast("string"))
     return (
-        df.where(F.col(measure).isNotNull() & (label != ""))
+        df.where(finite(F.col(measure)).isNotNull() & (label != ""))
         .groupBy(*by, label.alias("label"))
-        .agg(F.sum(measure).alias("sum"), F.count(F.lit(1)).alias("n"))
+        .agg(total(F.col(measure)).alias("sum"), F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -72,7 +72,7 @@ def concentration(df: DataFrame, category: str, measure: str, by: Sequence[str]
 
 def histogram(df: DataFrame, measure: str, by: Sequence[str] = (), bins: int = 6) -> DataFrame:
     """Equal-width bins from minimum to maximum; the last bin is closed."""
-    x = F.col(measure).cast("double")
+    x = finite(F.col(measure))
     numbers = df.select(*by, x.alias("x")).where("x IS NOT NULL")
     range_ = numbers.groupBy(*by).agg(
         F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("total"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sumtrail.functions.grouping import join_by
-from sumtrail.functions.values import clamp, half_up, to_amount
+from sumtrail.functions.values import clamp, half_up, to_amount, total
 
 COST_SHARE = 0.55
 RETENTION_WEIGHT = 0.35
@@ -22,9 +22,9 @@ def scenario_grid(df: DataFrame, measure: str, by: Sequence[str] = (), cost: str
                   price: Sequence[float] = (0,), volume: Sequence[float] = (0,),
                   unit_cost: Sequence[float] = (0,), retention: Sequence[float] = (0,)) -> DataFrame:
     """Projected revenue, cost and profit for every combination of levers (%)."""
-    spent = F.sum(cost) if cost else F.sum(measure) * COST_SHARE
+    spent = total(F.col(cost)) if cost else total(F.col(measure)) * COST_SHARE
     base = df.groupBy(*by).agg(
-        F.coalesce(F.sum(measure), F.lit(0.0)).alias("_revenue"),
+        F.coalesce(total(F.col(measure)), F.lit(0.0)).alias("_revenue"),
         F.coalesce(spent, F.lit(0.0)).alias("_cost"),
     )
     # The grid is given by the caller and does not grow with the data.
@@ -118,8 +118,8 @@ def outcome_totals(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ``outcomes`` has (by..., expected, actual text, status).
     """
     return outcomes.groupBy(*by).agg(
-        half_up(F.sum("expected"), 2).alias("expected"),
-        half_up(F.sum(to_amount(F.col("actual"))), 2).alias("actual"),
+        half_up(total(F.col("expected")), 2).alias("expected"),
+        half_up(total(to_amount(F.col("actual"))), 2).alias("actual"),
         F.count_if(F.col("status") == "validated").alias("validated"),
         F.count(F.lit(1)).alias("decisions"),
     )

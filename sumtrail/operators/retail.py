@@ -11,6 +11,7 @@ from sumtrail.functions import fixed_values as fixed
 from sumtrail.functions.grouping import join_by
 from sumtrail.functions.values import (
     clamp, half_up, half_up_long, is_missing, price_of, quantity_of, ratio, strip,
+    total,
 )
 from sumtrail.operators.breakdown import category_sums
 from sumtrail.operators.series import anomalies, linear_forecast, series_shape
@@ -59,7 +60,7 @@ def line_revenue(df: DataFrame, amount: str, quantity: str | None = None) -> Dat
 def sales_totals(lines: DataFrame, by: Sequence[str] = (), order_key: str | None = None) -> DataFrame:
     """Revenue, orders (rows unless ``order_key``) and average order value."""
     orders = F.countDistinct(order_key) if order_key else F.count(F.lit(1))
-    totals = lines.groupBy(*by).agg(F.sum("line_revenue").alias("_sum"), orders.alias("orders"))
+    totals = lines.groupBy(*by).agg(total(F.col("line_revenue")).alias("_sum"), orders.alias("orders"))
     return totals.select(
         *by, half_up(F.col("_sum")).alias("revenue"), "orders",
         half_up(F.col("_sum") / F.col("orders"), 2).alias("average_order"),
@@ -99,7 +100,7 @@ def customer_spend(lines: DataFrame, customer: str, date: str, by: Sequence[str]
     """Spend, orders and first month of every customer."""
     id_ = strip(F.col(customer).cast("string"))
     return lines.where(id_ != "").groupBy(*by, id_.alias("customer")).agg(
-        half_up(F.sum("line_revenue"), 2).alias("spend"), F.count(F.lit(1)).alias("orders"),
+        half_up(total(F.col("line_revenue")), 2).alias("spend"), F.count(F.lit(1)).alias("orders"),
         F.min(F.trunc(F.col(date).cast("date"), "month")).alias("first_month"),
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sumtrail.functions import fixed_values as fixed
 from sumtrail.functions.grouping import join_by
 from sumtrail.functions.quantiles import exact_quantiles
-from sumtrail.functions.values import clamp, half_up, half_up_long, ratio, strip
+from sumtrail.functions.values import clamp, finite, half_up, half_up_long, ratio, strip, total
 from sumtrail.operators.series import series_shape
 from sumtrail.session import written
 
@@ -24,21 +24,23 @@ def customer_rollup(df: DataFrame, customer: str, date: str, measure: str,
 
     ``recency="last"`` counts from the last purchase instead. Orders are rows
     unless ``order_key`` names the column that identifies an order. Spend is
-    rounded to two decimals, which makes it independent of the order of
-    summation, so a customer at a cut point compares equal to it.
+    added as decimals and rounded to two of them, so it does not depend on the
+    order of summation and a customer at a cut point compares equal to it.
     """
     id_ = strip(F.col(customer).cast("string"))
     month = F.trunc(F.col(date).cast("date"), "month")
     orders = F.countDistinct(order_key) if order_key else F.count(F.lit(1))
     rolled = (
-        df.where(F.col(measure).isNotNull() & (id_ != ""))
+        df.where(finite(F.col(measure)).isNotNull() & (id_ != ""))
         .groupBy(*by, id_.alias("customer"))
         .agg(
-            half_up(F.sum(measure), 2).alias("spend"), orders.alias("orders"),
+            half_up(total(F.col(measure)), 2).alias("spend"), orders.alias("orders"),
             F.min(month).alias("first_month"), F.max(month).alias("last_month"),
         )
     )
-    newest = rolled.groupBy(*by).agg(F.max("last_month").alias("newest_month"))
+    # From the rows and not from the customers: no shuffle by customer, and few columns to read.
+    newest = (
+        df.where(finite(F.col(measure)).isNotNull() & (id_ != "")).groupBy(*by).agg(F.max(month).alias("newest_month")))
     start = F.coalesce("last_month" if recency == "last" else "first_month", "newest_month")
     months = F.greatest(F.lit(1.0), F.months_between("newest_month", start)).cast("bigint")
     return join_by(rolled, newest, by).withColumn("months_active", months)

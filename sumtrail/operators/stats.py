@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from sumtrail.functions import fixed_values as fixed
 from sumtrail.functions.grouping import join_by, share_of_total, top_rows
 from sumtrail.functions.quantiles import exact_quantiles
-from sumtrail.functions.values import half_up
+from sumtrail.functions.values import finite, half_up, total
 
 
 def measures_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column_name, x) with one row per non-missing number."""
-    wide = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    wide = df.select(*by, *[finite(F.col(c)).alias(c) for c in columns])
     return wide.unpivot(list(by), list(columns), "column_name", "x").where("x IS NOT NULL")
 
 
@@ -100,7 +100,7 @@ def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     gives 0 and pairs with fewer than five common values are left out.
     """
     pairs = list(combinations(columns[:first] if first else columns, 2))
-    numbers = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    numbers = df.select(*by, *[finite(F.col(c)).alias(c) for c in columns])
     aggregates = []
     for i, (a, b) in enumerate(pairs):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
@@ -134,9 +134,9 @@ def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
 def monthly_series(df: DataFrame, date: str, measure: str, by: Sequence[str] = ()) -> DataFrame:
     """Sum and count of ``measure`` per calendar month; empty months are absent."""
     return (
-        df.where(F.col(measure).isNotNull() & F.col(date).isNotNull())
+        df.where(finite(F.col(measure)).isNotNull() & F.col(date).isNotNull())
         .groupBy(*by, F.trunc(F.col(date).cast("date"), "month").alias("month"))
-        .agg(half_up(F.sum(measure), 2).alias("value"), F.count(F.lit(1)).alias("n"))
+        .agg(half_up(total(F.col(measure)), 2).alias("value"), F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -144,9 +144,9 @@ def _cycle_totals(df: DataFrame, slot: Column, measure: str, by: Sequence[str],
                   labels: Sequence[str], base: int) -> DataFrame:
     """Totals per slot of a fixed cycle, with a row for every slot of every key."""
     sums = (
-        df.where(F.col(measure).isNotNull() & slot.isNotNull())
+        df.where(finite(F.col(measure)).isNotNull() & slot.isNotNull())
         .groupBy(*by, slot.alias("_slot"))
-        .agg(half_up(F.sum(measure), 2).alias("value"), F.count(F.lit(1)).alias("n"))
+        .agg(half_up(total(F.col(measure)), 2).alias("value"), F.count(F.lit(1)).alias("n"))
     )
     # At most one entry per slot and key, so the collected map is bounded.
     found = F.map_from_entries(F.collect_list(F.struct("_slot", F.struct("value", "n"))))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sumtrail.functions.values import total
+
 
 def live_revenue(events: DataFrame, time: str, measure: str, lateness: str = "1 day",
                  period: str = "1 day") -> DataFrame:
@@ -23,7 +25,7 @@ def live_revenue(events: DataFrame, time: str, measure: str, lateness: str = "1
     totals = (
         events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
         .groupBy(F.window(time, period).alias("_w"))
-        .agg(F.sum(measure).alias("revenue"), F.count(F.lit(1)).alias("orders"))
+        .agg(total(F.col(measure)).alias("revenue"), F.count(F.lit(1)).alias("orders"))
     )
     return totals.select(F.col("_w.start").cast("date").alias("day"), "revenue", "orders")
 
@@ -31,7 +33,7 @@ def live_revenue(events: DataFrame, time: str, measure: str, lateness: str = "1
 def live_customers(events: DataFrame, customer: str, time: str, measure: str) -> DataFrame:
     """Spend, orders and first day of every customer, updated as events arrive."""
     return events.groupBy(F.col(customer).alias("customer")).agg(
-        F.sum(measure).alias("spend"), F.count(F.lit(1)).alias("orders"),
+        total(F.col(measure)).alias("spend"), F.count(F.lit(1)).alias("orders"),
         F.min(F.col(time).cast("date")).alias("first_day"),
     )
 

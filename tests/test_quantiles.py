@@ -52,3 +52,17 @@ def test_large_enough_for_the_sketch_to_be_inexact(spark):
     got = exact_quantiles(df, "x", FRACTIONS).first()
     want = np.quantile(np.array([r.x for r in df.collect()]), FRACTIONS)
     assert np.allclose([got.q25, got.q50, got.q75], want, rtol=1e-12)
+
+
+def test_not_numbers_are_missing(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "x double")
+    row = exact_quantiles(df, "x", [0.5], names=["median"]).first()
+    assert (row.n, row.median) == (2, 1.5)
+
+
+def test_rows_of_a_bracket_are_counted_in_parts(spark):
+    """No window runs over all rows of a bracket: each is by key and part, or over the parts."""
+    df = spark.range(1000).selectExpr("cast(id as double) as x")
+    plan = exact_quantiles(df, "x", [0.25, 0.5])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    assert windows and all("_part" in line or "_in_part" in line for line in windows)

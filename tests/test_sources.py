@@ -22,7 +22,7 @@ def test_csv_trims_headers_and_keeps_text(spark, tmp_path):
 
 def test_csv_quotes_newlines_and_delimiters(spark, tmp_path):
     path = put(tmp_path, "b.csv", 'a;b\n"x;1";"line\nbreak"\n"say ""hi""";\n')
-    assert rows(readers.read_csv(spark, path)) == [
+    assert rows(readers.read_csv(spark, path, quoted_newlines=True)) == [
         {"a": "x;1", "b": "line\nbreak"}, {"a": 'say "hi"', "b": ""}]
 
 
@@ -77,3 +77,26 @@ def test_run_history_keeps_the_newest(spark, tmp_path):
         one = spark.createDataFrame([("a", i)], "dataset string, i int")
         sinks.append_run(one.withColumn("created_at", F.to_timestamp(F.lit(f"2024-01-0{i + 1}"))), path)
     assert [r.i for r in sinks.load_runs(spark, path, 2).orderBy("position").collect()] == [3, 2]
+
+
+def test_equal_headers_are_refused(spark, tmp_path):
+    path = put(tmp_path, "dup.csv", 'a,"b ",b\n1,2,3\n')
+    with pytest.raises(readers.IngestError) as error:
+        readers.read_csv(spark, path)
+    assert error.value.code == "PARSE_FAILED"
+
+
+@pytest.mark.parametrize("extension", ["jsonl", "ndjson"])
+def test_json_lines_by_extension(spark, tmp_path, extension):
+    path = put(tmp_path, f"e.{extension}", '{"a": 1, "b": {"c": 2}}\n{"a": null}\n')
+    assert rows(readers.read_table(spark, path)) == [{"a": "1", "b": '{"c":"2"}'}, {"a": "", "b": ""}]
+
+
+def test_large_files_are_split(spark, tmp_path):
+    path = put(tmp_path, "big.csv", "a,b\n" + "1,2\n" * 200_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        assert readers.read_csv(spark, path).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
