@@ -954,6 +954,17 @@ UNION ALL SELECT 'finance_reconciliation', 'opportunity', 0.7e0 FROM con""")
 
 # --- streaming ---------------------------------------------------------------
 
+add("monthly_series_without_gaps", F, f"""seen AS (SELECT customer_id, CAST(date_trunc('month', order_date) AS DATE) AS month,
+    {hu('sum(CAST(revenue AS DECIMAL(38,4)))::DOUBLE', 2)} AS value, count(*) AS n FROM f GROUP BY ALL),
+every AS (SELECT customer_id, CAST(unnest(generate_series(min(month)::TIMESTAMP, max(month)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS month
+  FROM seen GROUP BY customer_id)""", """SELECT customer_id, month, coalesce(value, 0) AS value, coalesce(n, 0) AS n
+FROM every LEFT JOIN seen USING (customer_id, month)""")
+_closed = "CASE WHEN o_orderstatus <> 'O' THEN o_totalprice ELSE 0 END"
+add("numeric_summary_blank_as_zero", f"""z AS (SELECT o_orderpriority, {_closed} AS x FROM orders),
+q AS (SELECT o_orderpriority, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM z GROUP BY 1)""",
+    f"""SELECT o_orderpriority, count(*) AS n, {hu('avg(x)', 2)} AS mean, {hu('quantile_cont(x, 0.5)', 2)} AS median, {hu('any_value(q3)', 2)} AS q3,
+  min(x) AS "min", max(x) AS "max", count(*) FILTER (x < q1 - 1.5e0 * (q3 - q1) OR x > q3 + 1.5e0 * (q3 - q1)) AS outliers
+FROM z JOIN q USING (o_orderpriority) GROUP BY o_orderpriority""")
 add("live_revenue", f"""SELECT CAST(ts AS DATE) AS day, {hu('sum(CAST(value AS DECIMAL(38,4)))::DOUBLE', 2)} AS revenue, count(*) AS orders FROM events GROUP BY 1""")
 add("live_customers", f"""SELECT user_id AS customer, {hu('sum(CAST(value AS DECIMAL(38,4)))::DOUBLE', 2)} AS spend, count(*) AS orders,
   CAST(min(ts) AS DATE) AS first_day FROM events GROUP BY user_id""")

@@ -349,6 +349,22 @@ def monthly_series_by_region(spark, sf):
     return _series(spark, sf, REGION)
 
 
+@query
+def monthly_series_without_gaps(spark, sf):
+    """Thousands of sparse series, one per customer."""
+    f = sales(spark, sf, "customer_id", "order_date", "revenue")
+    return st.monthly_series(f, "order_date", "revenue", ["customer_id"], fill_gaps=True)
+
+
+@query
+def numeric_summary_blank_as_zero(spark, sf):
+    """Open orders count 0."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderpriority", F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice")).alias("closed"))
+    return st.numeric_summary(orders, ["closed"], ["o_orderpriority"], blank_as_zero=True).select(
+        "o_orderpriority", "n", "mean", "median", "q3", "min", "max", "outliers")
+
+
 @query
 def weekday_totals(spark, sf):
     events = table(spark, sf, "events")

@@ -22,8 +22,8 @@ def volatility(mean: Column, sd: Column, n: Column) -> Column:
     return F.when((n < 2) | (mean == 0), F.lit(0.0)).otherwise(sd / F.abs(mean))
 
 
-def series_shape(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per key with everything the models need, in one aggregation."""
+def series_shape(series: DataFrame, by: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per key with everything the models need, in one aggregation (and ``extra`` aggregates)."""
     indexed = series.withColumn("_x", F.row_number().over(window_by(by).orderBy("month")) - 1)
     points = F.sort_array(F.collect_list(F.struct("month", "value")))
     shape = indexed.groupBy(*by).agg(
@@ -37,6 +37,7 @@ def series_shape(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.regr_slope("value", "_x").alias("slope"),
         F.regr_intercept("value", "_x").alias("intercept"),
         points.alias("points"),
+        *extra,
     )
     return shape.withColumns({
         "slope": F.coalesce(F.nanvl("slope", F.lit(0.0)), F.lit(0.0)),
@@ -130,23 +131,24 @@ def moving_average_forecast(series: DataFrame, by: Sequence[str] = (),
     )
 
 
-def _variance(values: Column) -> Column:
-    """Population variance of an array of numbers."""
-    mean = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v) / F.size(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    return squares / F.size(values)
+def _month_totals() -> list[Column]:
+    """Total of each calendar month over the years."""
+    return [F.sum(F.when(F.month("month") == m, F.col("value"))).alias(f"_month{m}") for m in range(1, 13)]
 
 
-def _seasonality(points: Column) -> Column:
-    """Variance of the calendar-month totals against the variance of the series."""
-    def total(m: Column) -> Column:
-        same = F.filter(points, lambda p: F.month(p["month"]) == m)
-        return half_up(F.aggregate(same, F.lit(0.0), lambda acc, p: acc + p["value"]), 2)
-
-    months = F.filter(F.transform(F.sequence(F.lit(1), F.lit(12)), total), lambda t: t > 0)
-    whole = _variance(F.transform(points, lambda p: p["value"]))
-    enough = (F.size(months) >= 6) & (whole > 0)
-    return F.when(enough, F.least(F.lit(1.0), _variance(months) / whole)).otherwise(F.lit(0.0))
+def _with_seasonality(shape: DataFrame) -> DataFrame:
+    """Variance of the calendar-month totals against the variance of the series; needs ``_month_totals``."""
+    totals = [half_up(F.col(f"_month{m}"), 2) for m in range(1, 13)]
+    totals = [F.when(t > 0, t) for t in totals]
+    zero = F.lit(0.0)
+    n = sum((F.when(t.isNotNull(), 1).otherwise(0) for t in totals), F.lit(0))
+    known = shape.withColumn("_months", n).withColumn(
+        "_mean", ratio(sum((F.coalesce(t, zero) for t in totals), zero), F.col("_months")))
+    squares = sum((F.coalesce((t - F.col("_mean")) * (t - F.col("_mean")), zero) for t in totals), zero)
+    whole = F.col("sd") * F.col("sd")
+    strength = F.least(F.lit(1.0), squares / F.col("_months") / whole)
+    seasonality = F.when((F.col("_months") >= 6) & (whole > 0), strength).otherwise(zero)
+    return known.withColumn("seasonality", seasonality).drop("_months", "_mean", *[f"_month{m}" for m in range(1, 13)])
 
 
 def _model_scores() -> Column:
@@ -165,7 +167,7 @@ def _model_scores() -> Column:
 
 
 def _chosen(series: DataFrame, by: Sequence[str]) -> DataFrame:
-    shape = series_shape(series, by).withColumn("seasonality", _seasonality(F.col("points")))
+    shape = _with_seasonality(series_shape(series, by, _month_totals()))
     return shape.withColumn("_models", _model_scores()).withColumns({
         "chosen_model": F.col("_models")[0]["model"],
         "confidence": -F.col("_models")[0]["key"],

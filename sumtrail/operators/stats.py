@@ -14,9 +14,10 @@ from sumtrail.functions.quantiles import exact_quantiles
 from sumtrail.functions.values import finite, half_up, total
 
 
-def measures_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., column_name, x) with one row per non-missing number."""
-    wide = df.select(*by, *[finite(F.col(c)).alias(c) for c in columns])
+def measures_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), blank_as_zero: bool = False) -> DataFrame:
+    """(by..., column_name, x) with one row per non-missing number, or per row if blanks count as 0."""
+    numbers = {c: finite(F.col(c)) for c in columns}
+    wide = df.select(*by, *[(F.coalesce(x, F.lit(0.0)) if blank_as_zero else x).alias(c) for c, x in numbers.items()])
     return wide.unpivot(list(by), list(columns), "column_name", "x").where("x IS NOT NULL")
 
 
@@ -35,10 +36,10 @@ def outlier_fences(quartiles: DataFrame) -> DataFrame:
     })
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), blank_as_zero: bool = False) -> DataFrame:
     """One row per key and column; columns with fewer than two values are left out."""
     keys = [*by, "column_name"]
-    long = measures_long(df, columns, by)
+    long = measures_long(df, columns, by, blank_as_zero)
     moments = exact_quantiles(long, "x", [0.25, 0.5, 0.75], keys, extra=[
         F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd"), F.var_pop("_x").alias("variance"),
         F.min("_x").alias("min"), F.max("_x").alias("max"),
@@ -131,13 +132,25 @@ def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     )
 
 
-def monthly_series(df: DataFrame, date: str, measure: str, by: Sequence[str] = ()) -> DataFrame:
-    """Sum and count of ``measure`` per calendar month; empty months are absent."""
-    return (
+def monthly_series(df: DataFrame, date: str, measure: str, by: Sequence[str] = (), fill_gaps: bool = False) -> DataFrame:
+    """Sum and count of ``measure`` per calendar month.
+
+    Empty months are absent, or with ``fill_gaps`` 0 between the first and last month of the key.
+    """
+    series = (
         df.where(finite(F.col(measure)).isNotNull() & F.col(date).isNotNull())
         .groupBy(*by, F.trunc(F.col(date).cast("date"), "month").alias("month"))
         .agg(half_up(total(F.col(measure)), 2).alias("value"), F.count(F.lit(1)).alias("n"))
     )
+    if not fill_gaps:
+        return series
+    # A key has at most as many months as the calendar.
+    whole = series.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("month", F.struct("value", "n")))).alias("_found"),
+        F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month")).alias("_months"))
+    each = whole.select(*by, "_found", F.explode("_months").alias("month"))
+    hit = F.try_element_at("_found", F.col("month"))
+    return each.select(*by, "month", F.coalesce(hit["value"], F.lit(0.0)).alias("value"), F.coalesce(hit["n"], F.lit(0)).cast("bigint").alias("n"))
 
 
 def _cycle_totals(df: DataFrame, slot: Column, measure: str, by: Sequence[str],

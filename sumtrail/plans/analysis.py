@@ -141,8 +141,9 @@ def analyse(raw: DataFrame, dataset: str = "data", overrides: dict[str, str] | N
     candidates = gate_table.where(
         F.col("available") & ~F.col("capability").isin("cohort_analysis", "transaction_analysis", "seasonality")
     ).withColumn("coefficient", F.lit(None).cast("double"))
-    if strong is not None and not by:
-        pair = bd.strongest_pair(strong).select(F.col("coefficient").alias("_r"))
+    if strong is not None:
+        # Of a keyed run, the strongest of all keys.
+        pair = bd.strongest_pair(strong, by).agg(F.max_by("coefficient", F.abs("coefficient")).alias("_r"))
         candidates = candidates.join(F.broadcast(pair), F.col("capability") == "correlation", "left").withColumn(
             "coefficient", F.col("_r")
         ).where("capability <> 'correlation' OR _r IS NOT NULL")
