@@ -224,6 +224,16 @@ add("fill_values", R, CLEAN, f"""SELECT 'value' AS column_name,
   CAST(NULL AS VARCHAR) AS label, {hu('fill', 4)} AS number FROM numfill
 UNION ALL SELECT 'event_type', 'impute_categorical_mode', fill, NULL FROM modefill""")
 
+_BY_TYPE = """tmom AS (SELECT event_type, avg(value) AS m, quantile_cont(value, 0.5) AS med, stddev_pop(value) AS sd
+  FROM norm WHERE value IS NOT NULL GROUP BY event_type),
+tfill AS (SELECT event_type, abs(m - med) / (CASE WHEN sd > 0 THEN sd ELSE 1 END) > 0.5 AS skewed,
+  CASE WHEN abs(m - med) / (CASE WHEN sd > 0 THEN sd ELSE 1 END) > 0.5 THEN med ELSE m END AS fill FROM tmom)"""
+add("fill_values_by_type", R, CLEAN, _BY_TYPE, f"""SELECT event_type, CASE WHEN skewed THEN 'impute_numeric_median' ELSE 'impute_numeric_mean' END AS method,
+  {hu('fill', 4)} AS number FROM tfill""")
+add("gaps_filled_by_type", R, CLEAN, _BY_TYPE, f"""SELECT n.event_type, count(coalesce(value, fill)) AS n,
+  {hu('sum(CAST(coalesce(value, fill) AS DECIMAL(38,4)))::DOUBLE', 2)} AS total
+FROM norm n LEFT JOIN tfill t ON n.event_type IS NOT DISTINCT FROM t.event_type GROUP BY n.event_type""")
+
 _trim = " + ".join(f"CASE WHEN trim({c}) <> {c} THEN 1 ELSE 0 END" for c in R_COLUMNS)
 _mark = " + ".join(f"CASE WHEN trim({c}) <> '' AND {missing(c)} THEN 1 ELSE 0 END" for c in R_COLUMNS)
 

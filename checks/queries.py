@@ -172,6 +172,25 @@ def fill_values(spark, sf):
                          number.alias("number"))
 
 
+@query
+def fill_values_by_type(spark, sf):
+    """A fill of its own for every event type."""
+    r = dirty_events(spark, sf)
+    rows = cl.normalised(cl.deduplicated(r), {"value": "number"})
+    values = cl.fills(rows, {"value": "number", "event_type": "string"}, ["event_type"])
+    return values.select("event_type", "method", vl.half_up(F.col("fill").try_cast("double"), 4).alias("number"))
+
+
+@query
+def gaps_filled_by_type(spark, sf):
+    """Values before and after filling by type; a type without values keeps its gaps."""
+    rows = cl.normalised(cl.deduplicated(dirty_events(spark, sf)), {"value": "number"})
+    values = cl.fills(rows, {"value": "number"}, ["event_type"])
+    done = cl.filled(rows, values, ["value"], ["event_type"])
+    return done.groupBy("event_type").agg(
+        F.count("value").alias("n"), vl.half_up(vl.total(F.col("value").try_cast("double")), 2).alias("total"))
+
+
 @query
 def typed_rejects(spark, sf):
     return cl.rejects(dirty_events(spark, sf), {"value": "number", "ts": "date", "event_type": "number"})

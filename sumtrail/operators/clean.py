@@ -7,13 +7,14 @@ of a number or date column is kept as it is; ``typed`` gives the typed table.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from sumtrail.functions import fixed_values as fixed
+from sumtrail.functions.grouping import join_by
 from sumtrail.functions.quantiles import exact_quantiles
 from sumtrail.functions.values import is_missing, looks_like_date, plain_text, strip, to_day, to_number
 from sumtrail.operators.profile import as_text, infer_types, profile_columns
@@ -65,58 +66,63 @@ def fillable_columns(profile: Iterable[Row]) -> dict[str, str]:
     }
 
 
-def numeric_fills(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, fill, method): median of a skewed column, else its mean."""
-    numbers = rows.select(*[F.col(f"`{c}`").try_cast("double").alias(c) for c in columns])
-    long = numbers.unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "x").where(
+def numeric_fills(rows: DataFrame, columns: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column_name, fill, method): median of a skewed column, else its mean."""
+    numbers = rows.select(*by, *[F.col(f"`{c}`").try_cast("double").alias(c) for c in columns])
+    long = numbers.unpivot(list(by), [F.col(f"`{c}`") for c in columns], "column_name", "x").where(
         "x IS NOT NULL AND NOT isnan(x)"
     )
-    moments = exact_quantiles(long, "x", [0.5], ["column_name"], names=["median"], extra=[
+    moments = exact_quantiles(long, "x", [0.5], [*by, "column_name"], names=["median"], extra=[
         F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd"),
     ])
     sd = F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
     skewed = F.abs(F.col("mean") - F.col("median")) / sd > fixed.SKEW_LIMIT
     return moments.select(
-        "column_name",
+        *by, "column_name",
         plain_text(F.when(skewed, F.col("median")).otherwise(F.col("mean"))).alias("fill"),
         F.when(skewed, "impute_numeric_median").otherwise("impute_numeric_mean").alias("method"),
     )
 
 
-def label_fills(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, fill, method): most frequent text, ties by smallest text."""
-    picked = rows.select(*[F.col(f"`{c}`") for c in columns])
-    long = picked.unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "value")
-    counts = long.where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+def label_fills(rows: DataFrame, columns: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column_name, fill, method): most frequent text, ties by smallest text."""
+    picked = rows.select(*by, *[F.col(f"`{c}`") for c in columns])
+    long = picked.unpivot(list(by), [F.col(f"`{c}`") for c in columns], "column_name", "value")
+    counts = long.where("value IS NOT NULL").groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("rank"), F.col("value").alias("value")))
-    return counts.groupBy("column_name").agg(best["value"].alias("fill")).withColumn(
+    return counts.groupBy(*by, "column_name").agg(best["value"].alias("fill")).withColumn(
         "method", F.lit("impute_categorical_mode")
     )
 
 
-def fills(rows: DataFrame, fillable: dict[str, str]) -> DataFrame | None:
+def fills(rows: DataFrame, fillable: dict[str, str], by: Sequence[str] = ()) -> DataFrame | None:
+    """Fill of every fillable column, per key of ``by`` if given; keys are not filled themselves."""
+    fillable = {c: kind for c, kind in fillable.items() if c not in by}
     numeric = [c for c, kind in fillable.items() if kind == "number"]
     labels = [c for c, kind in fillable.items() if kind != "number"]
     parts = []
     if numeric:
-        parts.append(numeric_fills(rows, numeric))
+        parts.append(numeric_fills(rows, numeric, by))
     if labels:
-        parts.append(label_fills(rows, labels))
+        parts.append(label_fills(rows, labels, by))
     if not parts:
         return None
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def filled(rows: DataFrame, values: DataFrame | None, columns: Iterable[str]) -> DataFrame:
-    """Replace NULL in ``columns`` from the one-row-per-column table ``values``."""
+def filled(rows: DataFrame, values: DataFrame | None, columns: Iterable[str], by: Sequence[str] = ()) -> DataFrame:
+    """Replace NULL in ``columns`` from ``values``, one row per column (and key of ``by``).
+
+    A key without any value of a column keeps its gaps.
+    """
     if values is None:
         return rows
-    columns = set(columns)
-    # One row with one field per column: bounded by the width of the table.
-    one_row = values.agg(*[
+    columns = set(columns) - set(by)
+    # One field per column, bounded by the width of the table; one row, or one per key.
+    one_row = values.groupBy(*by).agg(*[
         F.max(F.when(F.col("column_name") == c, F.col("fill"))).alias(f"_fill_{c}") for c in sorted(columns)
     ])
-    joined = rows.crossJoin(F.broadcast(one_row))
+    joined = join_by(rows, one_row, by, "left")
     return joined.select(*[
         F.coalesce(F.col(f"`{c}`"), F.col(f"`_fill_{c}`")).alias(c) if c in columns else F.col(f"`{c}`")
         for c in rows.columns
