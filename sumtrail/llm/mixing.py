@@ -2,7 +2,7 @@
 
 Each source is a shuffled stream of words cut into blocks of equal size. Slots
 of the mix are laid on a golden-ratio lattice: slot i stands at i·m modulo the
-number of slots, m being the whole number next to (slots / golden ratio) that
+number of slots, m being a whole number next to (slots / golden ratio) that
 shares no factor with it. The lattice visits every position once, so a source
 whose interval of positions is q wide gets exactly q slots, evenly spread over
 the schedule. The slots of a source are ranked and joined with its blocks in
@@ -134,12 +134,20 @@ def quotas(sizes: DataFrame, mix: Mix = MIX) -> DataFrame:
     )
 
 
+def largest_quotient(m: int, n: int) -> int:
+    """Largest partial quotient of m / n as a continued fraction; small ones mean even spreading."""
+    most = 0
+    while m:
+        q, r = divmod(n, m)
+        most, n, m = max(most, q), m, r
+    return most
+
+
 def step(n: int) -> int:
-    """The whole number next to n / golden ratio that shares no factor with n."""
-    m = max(1, round(n * GOLDEN))
-    while math.gcd(m, n) > 1:
-        m += 1
-    return m
+    """A whole number next to n / golden ratio that shares no factor with n and spreads evenly."""
+    middle = round(n * GOLDEN)
+    near = [m for m in range(max(1, middle - 64), middle + 65) if math.gcd(m, n) == 1]
+    return min(near, key=lambda m: (largest_quotient(m, n), abs(m - middle)))
 
 
 def slots(quota: DataFrame, mix: Mix = MIX) -> DataFrame:
