@@ -1,25 +1,20 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
-
-The model is over characters, in ``order``-grams of an alphabet of 64 symbols:
-letters without case or accents each have one, so do digits, white space,
-sentence marks and brackets; rarer characters are spread over what is left. An
-n-gram is a whole number below 64^n.
-
-* Counting: tasks sum the n-grams of their trusted texts; the sums are shuffled
-  by n-gram, in shards, and grow with the corpus.
-* Estimating: continuation counts, totals of contexts, discounts from counts of
-  counts and back-off weights are joins of the sharded count tables, order by
-  order.
-* Scoring: the number of possible n-grams bounds the tables (64^4, whatever the
-  corpus), so they are shared as two arrays and every text is scored where it
-  lies. Perplexity is over all n-grams of the whole text.
-* Thresholds: a quantile of the trusted texts' perplexities per language, over
-  all of them. A language without trusted texts takes the quantile over all.
-
-Null texts and texts without characters have no perplexity and are not kept. A
-null language is a language of its own. Rows are scored one by one, so copies,
-hot sources and long texts need no care. With no trusted text at all nothing
-can be judged: perplexities are null and nothing is kept.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
+
+* Model: word 3-grams of the trusted texts, counted, estimated and asked in
+  sharded joins (``word_lm``). Its tables grow with the trusted texts.
+* Thresholds: a quantile of the perplexities per language of trusted texts the
+  model has not seen: a fifth of them, by a hash of the text so that copies stay
+  together. A language with fewer than ``least`` of these takes the quantile
+  over all. Is there nothing to hold out, or nothing left to learn from, all
+  trusted texts do both.
+
+Perplexity is over all words of the whole text. Null texts and texts without
+words have no perplexity and are not kept. A null language is a language of its
+own. With no trusted text at all nothing can be judged: perplexities are null
+and nothing is kept.
+
+The model over characters below (``grams`` to ``scorer``) has a fixed size and
+folds rare scripts together. ``classified`` does not use it.
 """
 
 from __future__ import annotations
@@ -34,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumtrail.llm.common import arrow_schema, map_arrow, small
+from sumtrail.llm import word_lm
+from sumtrail.llm.common import map_arrow, small
 from sumtrail.session import written
 
 SYMBOLS = 64
@@ -42,13 +38,15 @@ SYMBOLS = 64
 
 @dataclass(frozen=True)
 class Model:
-    """Length of the n-grams and the quantile of trusted perplexities that still passes."""
+    """Length of the character n-grams, the quantile of trusted perplexities that still passes, and what is held out for it."""
 
     order: int = 4
     quantile: float = 0.99
     slack: float = 1.05
     chunk: int = 2_000_000
     broadcast_rows: int = 2_000_000
+    folds: int = 5
+    least: int = 20
 
 
 MODEL = Model()
@@ -211,23 +209,6 @@ def scorer(tables: list[DataFrame], model: Model = MODEL) -> Scorer:
     return Scorer(model.order, np.log2(np.maximum(dense, np.float32(1e-12))))
 
 
-def scored(docs: DataFrame, model: Scorer) -> DataFrame:
-    """doc_id, lang, n_grams, perplexity of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"],
-                           T.StructField("n_grams", T.LongType()), T.StructField("perplexity", T.DoubleType())])
-    target = arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.perplexity(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array([f[0] for f in found], pa.int64()),
-                 pa.array([f[1] for f in found], pa.float64())], schema=target)
-
-    return docs.select("doc_id", "lang", "text").transform(map_arrow, run, schema)
-
-
 def classified(docs: DataFrame, trusted_ids: DataFrame, model: Model = MODEL) -> DataFrame:
     """Judge every document against a model of the trusted ones.
 
@@ -235,13 +216,18 @@ def classified(docs: DataFrame, trusted_ids: DataFrame, model: Model = MODEL) ->
     trusted, n_grams, perplexity, threshold and kept.
     """
     ids = small(written(trusted_ids.select(F.col("doc_id").alias("t")).where("t is not null").distinct()), model.broadcast_rows)
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("t"), "left_semi")
-    counts = written(counted(texts, model))
-    found = written(scored(docs, scorer(estimated(counts, model), model)))
+    fold = F.pmod(F.xxhash64("text"), F.lit(model.folds)) == 0
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("t"), "left_semi").withColumn("out", fold)
+    sides = {r["out"] for r in texts.where("trim(text) != ''").groupBy("out").count().collect()}
+    learnt = texts.where("not out") if len(sides) == 2 else texts
+    estimates = word_lm.estimated(written(word_lm.counted(learnt)), _discounts)
+    found = written(word_lm.scored(docs, estimates))
+    out = texts.where("out") if len(sides) == 2 else texts
+    held = small(written(out.select(F.col("doc_id").alias("h")).distinct()), model.broadcast_rows)
     result = found.join(ids, F.col("doc_id") == F.col("t"), "left").withColumn("trusted", F.col("t").isNotNull()).drop("t")
-    trusted = result.where("trusted and perplexity is not null")
+    trusted = found.where("perplexity is not null").join(held, F.col("doc_id") == F.col("h"), "left_semi")
     cut = F.percentile_approx("perplexity", model.quantile, 10_000)
-    by_lang = written(trusted.groupBy("lang").agg(cut.alias("own")))
+    by_lang = written(trusted.groupBy("lang").agg(F.when(F.count("*") >= model.least, cut).alias("own")))
     overall = trusted.agg(cut.alias("all")).first()["all"]
     near = by_lang.withColumnRenamed("lang", "l")
     threshold = F.coalesce("own", F.lit(overall).cast("double")) * model.slack
