@@ -10,17 +10,16 @@ one after another:
   become optional groups (a longest common subsequence tells which);
 * where they disagree about a text, the text becomes a slot.
 
-The wrapper then says, for the host as a whole, which group holds the article:
-a group that names itself one, or else the innermost group with most of the
-slots' text outside menus, forms and the like. Every page is matched against
-its host's wrapper and its texts inside that group are kept. What a page has
-beyond the wrapper is judged by the names of its tags, so pages of hosts with a
-single page work too.
-
-At most ``sample`` pages of a host, those with the smallest hashes, shape the
-wrapper; all pages are extracted whole. Wrappers are joined by host; the side
-of the wrappers has one row per host and is broadcast only if it is small, and
-otherwise adaptive execution splits hot hosts.
+Pages of a host with the same groups share a layout, and a layout has a wrapper.
+The wrapper says which group holds the article: the outermost group that names
+itself one, or else the innermost group with most of the text outside menus,
+forms and the like. The texts of a page inside that group are kept. A page of
+which that leaves out most is judged on its own.
+
+All pages shape the wrappers: tasks align theirs, and what they found is aligned
+once more by host and layout. Wrappers are joined by host and layout; their side
+is broadcast only if it is small, and otherwise adaptive execution splits hot
+layouts.
 
 A null or blank html gives an empty text. Pages without a host share one
 wrapper. Repeated rows get equal results, extra columns are ignored, and an
@@ -34,14 +33,15 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumtrail.llm.common import arrow_schema, map_arrow, ship, small
+from sumtrail.llm.common import arrow_schema, map_arrow, small
 from sumtrail.llm.url_filter import host
 from sumtrail.session import written
 
@@ -255,11 +255,11 @@ def article(root: Node) -> list[str]:
             walk(c, [*way, c.key])
 
     walk(root, [])
-    # The innermost of those that hold about as much as the best.
+    # The outermost of those that hold about as much as the best; what is no article is left out inside it.
     good = [n for n in named if n[0] >= 0.3 * total and n[0] > 0]
     if good:
         most = max(n[0] for n in good)
-        return max((n for n in good if n[0] >= 0.9 * most), key=lambda n: n[1])[2]
+        return min((n for n in good if n[0] >= 0.9 * most), key=lambda n: n[1])[2]
     way, node = [], root
     while True:
         inside = [c for c in node.children if c.key != TEXT and c.tag not in INLINE and c.tag not in ("p", "h1", "h2", "h3", "ul", "ol", "li", "table")]
@@ -300,12 +300,26 @@ def pattern(node: Node, limit: int = 6) -> str:
 # -- extraction ---------------------------------------------------------------
 
 
+def chosen(root: Node, way: list[str]) -> list[str]:
+    """The layout's way, or the page's own if that one leads past most of the page's text."""
+    page = folded(root)
+
+    def held(by: list[str]) -> int:
+        return sum(text_chars(node) for node, _ in _reach(page, by))
+
+    found = held(way)
+    if found > 0 and found >= 0.5 * text_chars(page):
+        return way
+    own = article(page)
+    return own if held(own) > found or not _reach(page, way) else way
+
+
 def extracted(page: str | None, spec: dict) -> str:
     """Texts of the page inside the article's group, one line per block."""
     if not page or not page.strip():
         return ""
     root = parsed(page)
-    places = _reach(root, spec["way"]) or _reach(root, article(folded(root)))
+    way = chosen(root, spec["way"])
     lines: list[str] = []
     line: list[str] = []
 
@@ -316,9 +330,8 @@ def extracted(page: str | None, spec: dict) -> str:
         line.clear()
 
     menus = set(spec["menus"])
-    inside = bool(spec["way"]) and spec["way"][-1].split(" ")[0] in ("article", "main")
 
-    def walk(node: Node, way: str) -> None:
+    def walk(node: Node, way: str, inside: bool) -> None:
         for c in node.children:
             if c.key == TEXT:
                 line.append(c.text)
@@ -331,12 +344,12 @@ def extracted(page: str | None, spec: dict) -> str:
                 line.append(" ")
             titles = inside and c.tag == "header" and _has_title(c)
             if (titles or not not_text(c.key)) and here not in menus:
-                walk(c, here)
+                walk(c, here, inside or c.tag in ("article", "main"))
             if block:
                 flush()
 
-    for place, way in places:
-        walk(place, way)
+    for place, at in _reach(root, way):
+        walk(place, at, any(k.split(" ")[0] in ("article", "main") for k in way))
         flush()
     return "\n".join(lines)
 
@@ -356,39 +369,101 @@ def _reach(root: Node, way: list[str]) -> list[tuple[Node, str]]:
 
 @dataclass(frozen=True)
 class Settings:
-    """Pages that shape a host's wrapper, and hosts whose wrappers may be broadcast."""
+    """Layouts whose wrappers may be broadcast, and wrappers that a task holds before it passes them on."""
 
-    sample: int = 6
-    broadcast_hosts: int = 5_000
+    broadcast_layouts: int = 30_000
+    held: int = 1_000
 
 
 SETTINGS = Settings()
 
+#: Tags that differ between pages of one layout.
+FLOW = INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tr", "td", "th",
+                 "blockquote", "pre", "hr", "figure", "figcaption"}
+
+
+def layout(page: Node) -> int:
+    """Hash of the ways to a folded page's groups, but for those of running text."""
+    ways: set[str] = set()
+    stack = [(page, "")]
+    while stack:
+        node, way = stack.pop()
+        for c in node.children:
+            if c.key != TEXT and c.tag not in FLOW:
+                ways.add(here := f"{way}/{c.key}")
+                stack.append((c, here))
+    return int.from_bytes(blake2b("\n".join(sorted(ways)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def packed(root: Node) -> str:
+    """A wrapper as a list of its nodes with their depths; texts as hashes."""
+    out, stack = [], [(0, root)]
+    while stack:
+        depth, n = stack.pop()
+        text = n.text and blake2b(n.text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+        out.append([depth, n.key, text, n.optional, n.repeated, n.chars, n.linked, n.pages])
+        stack += [(depth + 1, c) for c in reversed(n.children)]
+    return json.dumps(out)
+
+
+def unpacked(text: str) -> Node:
+    way: list[Node] = []
+    for depth, key, words, optional, repeated, chars, linked, pages in json.loads(text):
+        node = Node(key, [], words, optional, repeated, chars, linked, pages)
+        del way[depth:]
+        if way:
+            way[-1].children.append(node)
+        way.append(node)
+    return way[0]
+
 
 def wrappers(pages: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """(host, wrapper) of every host; wrapper is JSON."""
-    order = Window.partitionBy("host").orderBy("hash", "page_id")
-    keyed = pages.select("page_id", host(F.col("url")).alias("host"), F.xxhash64("url", "page_id").alias("hash"))
-    chosen = written(keyed.withColumn("at", F.row_number().over(order)).where(F.col("at") <= settings.sample)
-                     .select("host", F.col("page_id").alias("p"), "hash"))
-    picked = pages.select("page_id", "html", host(F.col("url")).alias("h"), F.xxhash64("url", "page_id").alias("k")).join(
-        small(chosen, settings.broadcast_hosts * settings.sample),
-        F.col("page_id").eqNullSafe(F.col("p")) & (F.col("h") == F.col("host")) & (F.col("k") == F.col("hash")))
-    picked = picked.select("host", "hash", "html").dropDuplicates(["host", "hash"])  # repeated rows shape it once
+    """(host, layout, wrapper) of every layout of a host; wrapper is JSON."""
+    schema = "host string, layout long, part string"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], Node] = {}
+
+        def passed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int64()),
+                 pa.array([packed(n) for n in held.values()], pa.string())], names=["host", "layout", "part"])
+
+        for batch in batches:
+            for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+                if not page or not page.strip():
+                    continue
+                new = unpacked(packed(folded(parsed(page))))
+                key = (name, layout(new))
+                held[key] = merged(held[key], new) if key in held else new
+                if len(held) >= settings.held:
+                    yield passed()
+                    held.clear()
+        yield passed()
 
     def infer(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("hash")
-        texts = [t for t in rows["html"] if isinstance(t, str)]
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [stored(wrapper(texts))]})
+        root = None
+        for part in sorted(group["part"]):
+            root = unpacked(part) if root is None else merged(root, unpacked(part))
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "layout": [group["layout"].iloc[0]], "wrapper": [stored(root)]})
 
-    ship(pages.sparkSession)
-    return written(picked.groupBy("host").applyInPandas(infer, "host string, wrapper string"))
+    parts = map_arrow(pages.select(host(F.col("url")).alias("host"), "html"), fold, schema)
+    return written(parts.groupBy("host", "layout").applyInPandas(infer, "host string, layout long, wrapper string"))
 
 
 def texts(pages: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
-    known = small(wrappers(pages, settings).withColumnRenamed("host", "h"), settings.broadcast_hosts)
-    joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(known, F.col("host") == F.col("h"), "left")
+    known = small(wrappers(pages, settings).select(F.col("host").alias("h"), F.col("layout").alias("l"), "wrapper"), settings.broadcast_layouts)
+    keyed = T.StructType([*(pages.schema[c] for c in ("page_id", "url", "html")), T.StructField("layout", T.LongType())])
+    keyed_target = arrow_schema(keyed)
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [layout(folded(parsed(page))) if page and page.strip() else None for page in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "html")), pa.array(keys, pa.int64())], schema=keyed_target)
+
+    joined = map_arrow(pages.select("page_id", "url", "html"), key, keyed).withColumn("host", host(F.col("url"))).join(
+        known, (F.col("host") == F.col("h")) & (F.col("layout") == F.col("l")), "left")
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     target = arrow_schema(schema)
 
