@@ -16,6 +16,13 @@ itself one, or else the innermost group with most of the text outside menus,
 forms and the like. The texts of a page inside that group are kept. A page of
 which that leaves out most is judged on its own.
 
+Inside the article, what a host's pages share decides. A line is constant if more
+than half of the pages that have its group have the same line there, in at least
+``least`` different pages. Constant lines of ``words`` words or more are dropped:
+shorter ones, such as subheadings and list items, can recur in articles. In a
+group whose name is none of article text, constant lines of any length are
+dropped and others kept; the name alone decides only for groups on fewer pages.
+
 All pages shape the wrappers: tasks align theirs, and what they found is aligned
 once more by host and layout. Wrappers are joined by host and layout; their side
 is broadcast only if it is small, and otherwise adaptive execution splits hot
@@ -31,7 +38,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -231,18 +238,19 @@ def wrapper(pages: list[str]) -> Node:
     return out or Node("html")
 
 
-def text_chars(node: Node) -> int:
-    """Characters outside of what is no article text."""
+def text_chars(node: Node, slots: bool = False) -> int:
+    """Characters outside of what is no article text; with ``slots`` without the texts that several pages share."""
     if node.key == TEXT:
-        return node.chars - node.linked
+        return 0 if slots and node.text is not None and node.pages > 2 else node.chars - node.linked
     if not_text(node.key) or is_menu(node):
         return 0
-    return sum(text_chars(c) for c in node.children)
+    return sum(text_chars(c, slots) for c in node.children)
 
 
 def article(root: Node) -> list[str]:
     """Keys of the groups that lead to the article's group."""
-    total = text_chars(root)
+    slots = text_chars(root, True) > 0  # copies of one page have none
+    total = text_chars(root, slots)
     named: list[tuple[int, int, list[str]]] = []
 
     def walk(node: Node, way: list[str]) -> None:
@@ -250,7 +258,7 @@ def article(root: Node) -> list[str]:
             return
         tag, _, names = node.key.partition(" ")
         if tag in ("article", "main") or names and TEXT_NAMES.search(names):
-            named.append((text_chars(node), len(way), way))
+            named.append((text_chars(node, slots), len(way), way))
         for c in node.children:
             walk(c, [*way, c.key])
 
@@ -263,8 +271,8 @@ def article(root: Node) -> list[str]:
     way, node = [], root
     while True:
         inside = [c for c in node.children if c.key != TEXT and c.tag not in INLINE and c.tag not in ("p", "h1", "h2", "h3", "ul", "ol", "li", "table")]
-        best = max(inside, key=text_chars, default=None)
-        if best is None or text_chars(best) < 0.75 * max(1, total):
+        best = max(inside, key=lambda c: text_chars(c, slots), default=None)
+        if best is None or text_chars(best, slots) < 0.75 * max(1, total):
             return way
         way.append(best.key)
         node = best
@@ -320,18 +328,36 @@ def extracted(page: str | None, spec: dict) -> str:
         return ""
     root = parsed(page)
     way = chosen(root, spec["way"])
-    lines: list[str] = []
+    known, constant = spec.get("known", ()), spec.get("constant", ())
+    found = []
+    for place, at in _reach(root, way):
+        inside = any(k.split(" ")[0] in ("article", "main") for k in way)
+        found += [text for _, text in lines(place, at, inside, set(spec["menus"]), known, constant)]
+    return "\n".join(found)
+
+
+def hashed(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def line_key(way: str, text: str) -> int:
+    return hashed(f"{way}\n{text}")
+
+
+def lines(place: Node, at: str, inside: bool = False, menus: Collection[str] = (), known: Collection[int] | None = (),
+          constant: Collection[int] = (), words: int = 4) -> list[tuple[str, str]]:
+    """(way, text) of the blocks of a group; None for ``known`` enters groups whatever their names."""
+    found: list[tuple[str, str]] = []
     line: list[str] = []
 
-    def flush() -> None:
+    def flush(way: str, named: bool) -> None:
         text = " ".join("".join(line).split())
-        if text:
-            lines.append(text)
         line.clear()
+        if text and not (constant and (named or text.count(" ") >= words - 1) and line_key(way, text) in constant):
+            found.append((way, text))
 
-    menus = set(spec["menus"])
-
-    def walk(node: Node, way: str, inside: bool) -> None:
+    def walk(node: Node, way: str, inside: bool, named: bool) -> None:
+        # The way of a line is that of the block around it.
         for c in node.children:
             if c.key == TEXT:
                 line.append(c.text)
@@ -339,19 +365,38 @@ def extracted(page: str | None, spec: dict) -> str:
             here = f"{way}/{c.key}"
             block = c.tag not in INLINE
             if block:
-                flush()
+                flush(blocks[-1], named)
+                blocks.append(here)
             elif c.tag == "br":
                 line.append(" ")
+            out = not_text(c.key)
             titles = inside and c.tag == "header" and _has_title(c)
-            if (titles or not not_text(c.key)) and here not in menus:
-                walk(c, here, inside or c.tag in ("article", "main"))
+            judged = out and c.tag not in NOT_TEXT and (known is None or bool(known) and hashed(here) in known)
+            if (titles or not out or judged) and here not in menus:
+                walk(c, here, inside or c.tag in ("article", "main"), named or judged)
             if block:
-                flush()
+                flush(here, named or judged)
+                blocks.pop()
 
-    for place, at in _reach(root, way):
-        walk(place, at, any(k.split(" ")[0] in ("article", "main") for k in way))
-        flush()
-    return "\n".join(lines)
+    blocks = [at]
+    walk(place, at, inside, False)
+    flush(at, False)
+    return found
+
+
+def named_ways(root: Node) -> set[str]:
+    """Ways to the groups whose names are those of no article text."""
+    out: set[str] = set()
+    stack = [(root, "")]
+    while stack:
+        node, way = stack.pop()
+        for c in node.children:
+            if c.key != TEXT and c.tag not in NOT_TEXT:
+                here = f"{way}/{c.key}"
+                if not_text(c.key):
+                    out.add(here)
+                stack.append((c, here))
+    return out
 
 
 def _has_title(node: Node) -> bool:
@@ -369,10 +414,11 @@ def _reach(root: Node, way: list[str]) -> list[tuple[Node, str]]:
 
 @dataclass(frozen=True)
 class Settings:
-    """Layouts whose wrappers may be broadcast, and wrappers that a task holds before it passes them on."""
+    """Layouts whose wrappers may be broadcast, wrappers that a task holds before it passes them on, pages that show a constant."""
 
     broadcast_layouts: int = 30_000
     held: int = 1_000
+    least: int = 3
 
 
 SETTINGS = Settings()
@@ -392,7 +438,7 @@ def layout(page: Node) -> int:
             if c.key != TEXT and c.tag not in FLOW:
                 ways.add(here := f"{way}/{c.key}")
                 stack.append((c, here))
-    return int.from_bytes(blake2b("\n".join(sorted(ways)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return hashed("\n".join(sorted(ways)))
 
 
 def packed(root: Node) -> str:
@@ -418,27 +464,39 @@ def unpacked(text: str) -> Node:
 
 
 def wrappers(pages: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """(host, layout, wrapper) of every layout of a host; wrapper is JSON."""
-    schema = "host string, layout long, part string"
+    """(host, layout, wrapper, known, constant) of every layout of a host; wrapper is JSON.
+
+    ``known`` are the named groups that enough of the host's pages have, and
+    ``constant`` the lines that its pages share, both as hashes. A template has
+    a bounded number of either.
+    """
+    schema = "host string, layout long, part string, way long, line long, page long"
+
+    target = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("part", pa.string()), *((c, pa.int64()) for c in ("way", "line", "page"))])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], Node] = {}
+        seen: list[tuple[str, int, int | None, int]] = []
 
         def passed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int64()),
-                 pa.array([packed(n) for n in held.values()], pa.string())], names=["host", "layout", "part"])
+            rows = [(name, key, packed(n), None, None, None) for (name, key), n in held.items()]
+            rows += [(name, None, None, way, text, page) for name, way, text, page in seen]
+            held.clear()
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(target)], schema=target)
 
         for batch in batches:
             for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 if not page or not page.strip():
                     continue
-                new = unpacked(packed(folded(parsed(page))))
+                root, copy = parsed(page), hashed(page)
+                seen += {(name, hashed(w), line_key(w, text), copy) for w, text in lines(root, "", known=None)}
+                seen += {(name, hashed(w), None, copy) for w in named_ways(root)}
+                new = unpacked(packed(folded(root)))
                 key = (name, layout(new))
                 held[key] = merged(held[key], new) if key in held else new
-                if len(held) >= settings.held:
+                if len(held) >= settings.held or len(seen) >= 100 * settings.held:
                     yield passed()
-                    held.clear()
         yield passed()
 
     def infer(group: pd.DataFrame) -> pd.DataFrame:
@@ -448,12 +506,23 @@ def wrappers(pages: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
         return pd.DataFrame({"host": [group["host"].iloc[0]], "layout": [group["layout"].iloc[0]], "wrapper": [stored(root)]})
 
     parts = map_arrow(pages.select(host(F.col("url")).alias("host"), "html"), fold, schema)
-    return written(parts.groupBy("host", "layout").applyInPandas(infer, "host string, layout long, wrapper string"))
+    parts = written(parts)
+    inferred = parts.where("part is not null").select("host", "layout", "part").groupBy("host", "layout").applyInPandas(
+        infer, "host string, layout long, wrapper string")
+    # Copies of a page count once.
+    seen = written(parts.where("part is null").select("host", "way", "line", "page").distinct())
+    ways = seen.select("host", "way", "page").distinct().groupBy("host", "way").agg(F.count("*").alias("pages"))
+    ways = written(ways.where(F.col("pages") >= settings.least))
+    shared = seen.where("line is not null").groupBy("host", "way", "line").agg(F.count("*").alias("n")).where(F.col("n") >= settings.least)
+    constant = shared.join(ways, ["host", "way"]).where("2 * n > pages").groupBy("host").agg(F.collect_set("line").alias("constant"))
+    named = seen.where("line is null").select("host", "way").distinct().join(ways, ["host", "way"])
+    known = named.groupBy("host").agg(F.collect_set("way").alias("known"))
+    return written(inferred.join(known, "host", "left").join(constant, "host", "left"))
 
 
 def texts(pages: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
-    known = small(wrappers(pages, settings).select(F.col("host").alias("h"), F.col("layout").alias("l"), "wrapper"), settings.broadcast_layouts)
+    known = small(wrappers(pages, settings).select(F.col("host").alias("h"), F.col("layout").alias("l"), "wrapper", "known", "constant"), settings.broadcast_layouts)
     keyed = T.StructType([*(pages.schema[c] for c in ("page_id", "url", "html")), T.StructField("layout", T.LongType())])
     keyed_target = arrow_schema(keyed)
 
@@ -468,17 +537,19 @@ def texts(pages: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specs: dict[str | None, dict] = {None: {"way": [], "menus": []}}
+        specs: dict[tuple, dict] = {}
         for batch in batches:
             found = []
-            for page, spec in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
-                if spec not in specs:
+            columns = (batch.column(c).to_pylist() for c in ("html", "h", "l", "wrapper", "known", "constant"))
+            for page, name, key, spec, known, constant in zip(*columns):
+                if (name, key) not in specs:
                     if len(specs) > 1_000:
-                        specs = {None: specs[None]}
-                    specs[spec] = json.loads(spec)
-                found.append(extracted(page, specs[spec]))
+                        specs.clear()
+                    base = json.loads(spec) if spec else {"way": [], "menus": []}
+                    specs[name, key] = base | {"known": set(known or ()), "constant": set(constant or ())}
+                found.append(extracted(page, specs[name, key]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())],
                 schema=target)
 
-    return joined.select("page_id", "url", "html", "wrapper").transform(map_arrow, run, schema)
+    return joined.select("page_id", "url", "html", "h", "l", "wrapper", "known", "constant").transform(map_arrow, run, schema)

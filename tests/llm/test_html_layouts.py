@@ -26,3 +26,19 @@ def test_wrappers_are_packed_whole():
     page = "<body><ul><li>a<li>b</ul><p>x<p class=c>y</p></body>"
     root = html_wrapper.wrapper([page, page.replace("x", "z")])
     assert html_wrapper.pattern(html_wrapper.unpacked(html_wrapper.packed(root))) == html_wrapper.pattern(root)
+
+
+def test_slots_and_constants_decide(spark):
+    page = ("<body><article><h1>T {0}</h1><p>{1}</p><p>Get all of our best stories by mail</p><p>Background</p><div class=search>Found {0} things</div>"
+            "<div class=legal>All ours</div></article></body>")
+    rows = [(k, f"https://a.org/{k}", page.format(k, f"text of page {k} " * 20)) for k in range(6)]
+    rows += [(100, "https://b.org/", page.format(100, "text " * 20))]
+    # Copies of one page show nothing.
+    rows += [(200 + k, f"https://c.org/{k}", page.format(200, "text " * 20)) for k in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_wrapper.texts(df).collect()}
+    for k in range(6):
+        lines = [x for x in got[k] if x]
+        assert lines == [f"T {k}", (f"text of page {k} " * 20).strip(), "Background", f"Found {k} things"]
+    for k in (100, 200, 204):
+        assert [x for x in got[k] if x] == [f"T {min(k, 200)}", ("text " * 20).strip(), "Get all of our best stories by mail", "Background"]
