@@ -119,9 +119,77 @@ SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, least(s.doc_id, coalesce
 FROM sets s LEFT JOIN (SELECT doc_id, min(other) AS c FROM reached GROUP BY doc_id) c USING (doc_id)
 """
 
+_LINES = """
+WITH cut AS (
+  SELECT doc_id, line, i, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+shared AS (
+  SELECT key, min(doc_id) AS first FROM cut WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+judged AS (
+  SELECT c.doc_id, c.line, c.i, s.key IS NOT NULL AND c.doc_id <> s.first AS lost FROM cut c LEFT JOIN shared s ON c.key = s.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(lost)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+_FINITE = """embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"""
+
+_NEGATIVES = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+WHERE 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+
+def _clusters(rounds: int = 10, k: int = 8) -> str:
+    """Rounds of assignment and means, written out one after the other."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT id, e, c, d FROM (
+    SELECT v.id, v.e, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.m[i]) * (v.e[i] - c.m[i])))::BIGINT AS d
+    FROM v CROSS JOIN c{r} c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1)"""
+    moved = """c{n} AS MATERIALIZED (
+  SELECT o.c, coalesce(w.m, o.m) AS m FROM c{r} o LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM (
+      SELECT c, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (
+        SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c) w ON w.c = o.c)"""
+    steps = [nearest.format(r=0)]
+    for r in range(rounds):
+        steps += [moved.format(r=r, n=r + 1), nearest.format(r=r + 1)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS c, e AS m FROM (
+    SELECT e, sha256('3:' || id) AS h FROM v ORDER BY h LIMIT {k})),
+{", ".join(steps)}
+SELECT a.id AS vec_id, a.c AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m.m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} m ON m.c = a.c
+"""
+
+
 ORACLE: dict[str, str] = {
     "op2_url_filter": _URLS,
     "op4_hamming_search": _HAMMING,
     "op9_line_quality": _QUALITY,
     "op10_ngram_join": _JOIN,
+    "op11_line_dedup": _LINES,
+    "op12_hard_negatives": _NEGATIVES,
+    "op13_heap_clusters": _clusters(),
 }

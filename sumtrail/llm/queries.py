@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumtrail.llm import (
-    bpe, hamming_search, html_wrapper, language, line_quality, mixing, ngram_join, pii, quality_lm, url_filter,
+    bpe, hamming_search, hard_negatives, heap_clusters, html_wrapper, language, line_dedup, line_quality, mixing,
+    ngram_join, pii, quality_lm, url_filter,
 )
 from sumtrail.llm.common import table
 from sumtrail.llm.oracle import ORACLE  # noqa: F401
@@ -67,6 +68,27 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.grouped(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return line_dedup.report(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100, candidates all rows; every seventh label is moved by one."""
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        hard_negatives.whole(F.col("embedding"), 256).alias("vector"))
+    return hard_negatives.mined(rows, rows.where("id % 100 = 0"))
+
+
+def op13_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), hard_negatives.whole(F.col("embedding"), 1024).alias("vector"))
+    return heap_clusters.report(rows).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_quality_lm": op1_quality_lm,
     "op2_url_filter": op2_url_filter,
@@ -78,5 +100,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_line_quality": op9_line_quality,
     "op10_ngram_join": op10_ngram_join,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_heap_clusters": op13_heap_clusters,
     "pipeline": corpus_pipeline.run,
 }
