@@ -44,7 +44,7 @@ def rows(names: list[str], tuples) -> list[tuple]:
     return sorted(tuple(_plain(t[i]) for i in order) for t in tuples)
 
 
-KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
+KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
 
 
 def compare(spark, con, sf_dir: str, name: str) -> list[str]:

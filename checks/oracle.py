@@ -139,6 +139,15 @@ add("csv_round_trip", """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, strft
 add("tsv_scan", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
 add("json_scan", """SELECT CAST(event_id AS VARCHAR) AS event_id, event_type,
   '{"k":"' || CAST(json_extract(props, '$.k') AS VARCHAR) || '"}' AS props FROM events""")
+add("csv_line_breaks", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text,
+  coalesce('say "' || source || '"', '') AS source FROM documents""")
+add("csv_ragged", """WITH cut AS (
+  SELECT [CAST(c_custkey AS VARCHAR), c_mktsegment] || CASE WHEN c_custkey % 3 > 0 THEN [CAST(c_nationkey AS VARCHAR)] ELSE [] END
+    || CASE WHEN c_custkey % 5 = 0 THEN ['more'] ELSE [] END AS cells FROM customer)
+SELECT cells[1] AS key, cells[2] AS segment, coalesce(cells[3], '') AS nation,
+  CASE WHEN len(cells) <> 3 THEN array_to_string(cells, ',') END AS raw FROM cut""")
+add("json_array_scan", """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus,
+  '{"key":"' || o_custkey || '"}' AS customer FROM orders""")
 add("latest_runs", """SELECT o_custkey AS dataset, position, o_orderkey FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS position
   FROM orders) WHERE position <= 3""")

@@ -72,6 +72,35 @@ def json_scan(spark, sf):
     return readers.read_json(spark, path, lines=True)
 
 
+@query
+def csv_line_breaks(spark, sf):
+    """Documents as quoted cells that hold line breaks and quotes, written and read back by many tasks."""
+    path = scratch_folder(spark) + "/documents.csv"
+    docs = table(spark, sf, "documents")
+    sinks.write_csv(docs.select("doc_id", "text", F.concat(F.lit('say "'), "source", F.lit('"')).alias("source")), path)
+    return readers.read_csv(spark, path)
+
+
+@query
+def csv_ragged(spark, sf):
+    """Customers of which some have a cell too few or too many; those come with their whole text."""
+    path = scratch_folder(spark) + "/ragged.csv"
+    cells = F.concat_ws(",", F.col("c_custkey"), "c_mktsegment", F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey")), F.when(F.col("c_custkey") % 5 == 0, F.lit("more")))
+    (table(spark, sf, "customer").select(cells.alias("key,segment,nation")).write.option("header", True)
+     .option("quote", "").option("sep", "\x01").csv(path))
+    return readers.read_csv(spark, path, sep=",", ragged="raw")
+
+
+@query
+def json_array_scan(spark, sf):
+    """Orders as objects with an array of records, one file for some thousand orders."""
+    path = scratch_folder(spark) + "/orders-array.json"
+    record = F.struct("o_orderkey", "o_orderstatus", F.struct(F.col("o_custkey").alias("key")).alias("customer"))
+    orders = table(spark, sf, "orders").groupBy(F.expr("o_orderkey div 8000").alias("file")).agg(F.collect_list(record).alias("records"))
+    orders.select("file", F.to_json(F.struct(F.struct(F.lit("}").alias("note")).alias("meta"), "records"))).write.partitionBy("file").text(path)
+    return readers.read_json(spark, path, split=True)
+
+
 @query
 def latest_runs(spark, sf):
     """The newest three orders of every customer."""

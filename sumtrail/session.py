@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,23 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="sumtrail-")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_sumtrail_shipped", None) == context.applicationId:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="sumtrail-"), "sumtrail.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+    context._sumtrail_shipped = context.applicationId
+
+
 def forget(spark: SparkSession) -> None:
     """Delete every table this application has written to the shared folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
