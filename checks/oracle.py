@@ -680,6 +680,94 @@ add("anomaly_model", F, series("customer_id"), shape("customer_id"), """SELECT c
   CASE WHEN periods < 20 THEN 0.78e0 WHEN cv > 0.8 THEN 0.72e0 ELSE 0.84e0 END AS confidence,
   CASE WHEN periods < 20 THEN 'z_score,seasonal_residual' WHEN cv > 0.8 THEN 'z_score' ELSE 'iqr' END AS alternatives FROM sh""")
 
+# --- models that run as chosen -----------------------------------------------
+
+FORECASTS = ["holt_linear", "moving_average", "seasonal_naive", "linear_trend", "moving_seasonal"]
+
+
+def predicted(by: str, ask: str) -> str:
+    """``pred``: every model's value for each row of ``ask`` ({by}, o known months, step, target); the series is ``s``."""
+    return f"""num AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY month) - 1 AS x, count(*) OVER (PARTITION BY {by}) AS cnt FROM s),
+begin AS (SELECT {by}, max(value) FILTER (x = 0) AS v0, max(value) FILTER (x = 1) AS v1 FROM num GROUP BY {by}),
+states AS (SELECT {by}, 0::BIGINT AS x, v0 AS lvl, v1 - v0 AS trd FROM begin
+  UNION ALL SELECT q.{by}, num.x, 0.4e0*num.value + 0.6e0*(q.lvl + q.trd),
+    0.3e0*((0.4e0*num.value + 0.6e0*(q.lvl + q.trd)) - q.lvl) + 0.7e0*q.trd
+  FROM states q JOIN num ON q.{by} = num.{by} AND num.x = q.x + 1),
+ask AS ({ask}),
+pred AS (SELECT a.{by}, a.o, a.step, a.target,
+    greatest(0, any_value(CASE WHEN a.o < 2 THEN q.lvl ELSE q.lvl + q.trd * (a.step + 1) END)) AS holt_linear,
+    avg(p.value) FILTER (p.x >= a.o - 3) AS moving_average,
+    coalesce(max_by(p.value, p.x) FILTER (month(p.month) = month(a.target)), avg(p.value) FILTER (p.x >= a.o - 3)) AS seasonal_naive,
+    CASE WHEN a.o < 2 THEN 0 ELSE greatest(0, regr_intercept(p.value, p.x) + regr_slope(p.value, p.x) * (a.o + a.step)) END AS linear_trend,
+    coalesce(CASE WHEN avg(p.value) <> 0 THEN avg(p.value) FILTER (p.x >= a.o - 12) * avg(p.value) FILTER (month(p.month) = month(a.target)) / avg(p.value) END,
+      avg(p.value) FILTER (p.x >= a.o - 3)) AS moving_seasonal
+  FROM ask a JOIN num p ON p.{by} = a.{by} AND p.x < a.o JOIN states q ON q.{by} = a.{by} AND q.x = a.o - 1 GROUP BY a.{by}, a.o, a.step, a.target)"""
+
+
+def ahead(by: str, horizon: int = 6) -> str:
+    return f"""SELECT {by}, cnt AS o, k AS step, CAST(month + to_months(CAST(k + 1 AS INT)) AS DATE) AS target
+  FROM num, range({horizon}) AS r(k) WHERE x = cnt - 1"""
+
+
+def executed(by: str, models: str, factor: str = "1e0", scenario: str = "base") -> str:
+    """``models`` is a table of {by} and executed_model."""
+    pick = " ".join(f"WHEN '{m}' THEN {m}" for m in FORECASTS)
+    return f"""SELECT {by}, '{scenario}' AS scenario, executed_model, target AS month, {hu('b')} AS value, {hu('b - b * w')} AS low, {hu('b + b * w')} AS high FROM (
+  SELECT *, CASE executed_model {pick} END * CASE WHEN executed_model = 'moving_average' THEN 1e0 ELSE {factor} END AS b,
+    CASE WHEN executed_model = 'moving_average' THEN 0.1e0 ELSE 0.12e0 END AS w FROM pred JOIN {models} USING ({by}))"""
+
+
+def tested(by: str) -> str:
+    """``best``: errors over the last six months, each forecast from at least three before it."""
+    miss = ", ".join(f"{hu(f'avg(abs({m} - value))', 4)} AS mae_{m}" for m in FORECASTS)
+    rank = ", ".join(f"{{'e': mae_{m}, 'o': {i}, 'm': '{m}'}}" for i, m in enumerate(FORECASTS))
+    return f"""miss AS (SELECT pred.{by}, {miss} FROM pred JOIN num ON num.{by} = pred.{by} AND num.x = pred.o AND pred.step = 0 GROUP BY pred.{by}),
+best AS (SELECT *, CASE WHEN mae_moving_average IS NULL THEN 'moving_average' ELSE list_sort([{rank}])[1].m END AS executed_model
+  FROM (SELECT {by}, count(*) AS periods FROM s GROUP BY {by}) LEFT JOIN miss USING ({by}))"""
+
+
+def origins(by: str) -> str:
+    return f"SELECT {by}, x AS o, 0 AS step, month AS target FROM num WHERE x >= 3 AND x >= cnt - 6"
+
+
+_rules = lambda by: f"(SELECT {by}, chosen_model AS executed_model FROM shc)"
+add("forecast_executed", F, series("region"), shape("region"), chosen("region"), predicted("region", ahead("region")), executed("region", _rules("region")))
+add("forecast_executed_per_customer", F, series("customer_id"), shape("customer_id"), chosen("customer_id"),
+    predicted("customer_id", ahead("customer_id")), executed("customer_id", _rules("customer_id"), "1.15e0", "optimistic"))
+add("forecast_seasonal", F, series("product"), predicted("product", ahead("product", 12)),
+    executed("product", "(SELECT DISTINCT product, 'moving_seasonal' AS executed_model FROM s)"))
+add("forecast_tested", F, series("region"), predicted("region", ahead("region") + " UNION ALL " + origins("region")), tested("region"),
+    f"""SELECT t.* FROM ({executed('region', 'best')}) t
+  JOIN (SELECT region, max(month) AS newest FROM s GROUP BY region) n ON n.region = t.region AND t.month > n.newest""")
+add("tested_models", F, series("product"), predicted("product", origins("product")), tested("product"),
+    "SELECT * EXCLUDE (executed_model), executed_model AS tested_model FROM best")
+
+
+def detected(by: str, model: str) -> tuple[str, str]:
+    q = lambda c: f"quantile_cont({c}, 0.25) OVER w AS {c}_a, quantile_cont({c}, 0.5) OVER w AS {c}_b, quantile_cont({c}, 0.75) OVER w AS {c}_c"
+    wide = lambda c: f"CASE WHEN {c}_c <> {c}_a THEN ({c} - {c}_b) / ({c}_c - {c}_a) ELSE 0 END"
+    odd = lambda c: f"({c} < {c}_a - 1.5e0 * ({c}_c - {c}_a) OR {c} > {c}_c + 1.5e0 * ({c}_c - {c}_a))"
+    case = lambda a, b, c: f"CASE executed_model WHEN 'z_score' THEN {a} WHEN 'iqr' THEN {b} ELSE {c} END"
+    return f"""d0 AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY month) AS x, count(*) OVER w AS c, avg(value) OVER w AS mean,
+    stddev_pop(value) OVER w AS sd, {q('value')} FROM s WINDOW w AS (PARTITION BY {by})),
+d1 AS (SELECT a.{by}, a.x, (sum(b.value) + sum(b.value) FILTER (abs(b.x - a.x) <= 5)) / 24 AS t
+  FROM d0 a JOIN d0 b ON a.{by} = b.{by} AND abs(b.x - a.x) <= 6 GROUP BY ALL HAVING count(*) = 13),
+d2 AS (SELECT d0.*, d1.t, coalesce(d1.t, e.t) AS level FROM d0 LEFT JOIN d1 USING ({by}, x)
+  LEFT JOIN d1 e ON e.{by} = d0.{by} AND e.x = CASE WHEN d0.x < 7 THEN 7 ELSE d0.c - 6 END WHERE c >= 3),
+d3 AS (SELECT *, coalesce(avg(value - t) OVER (PARTITION BY {by}, month(month)), 0) AS season FROM d2),
+d4 AS (SELECT *, level + season - avg(season) OVER (PARTITION BY {by}) AS usual FROM d3),
+d5 AS (SELECT *, value - usual AS rest FROM d4),
+d6 AS (SELECT *, {q('rest')}, {model} AS executed_model FROM d5 WINDOW w AS (PARTITION BY {by}))""", f"""SELECT {by}, month, executed_model, {hu('value')} AS actual, {hu(case('mean', 'value_b', 'usual'))} AS expected,
+  {hu(case('CASE WHEN sd <> 0 THEN (value - mean) / sd ELSE 0 END', wide('value'), wide('rest')), 1)} AS score,
+  {case('CASE WHEN sd <> 0 THEN abs((value - mean) / sd) > 1.8 ELSE false END', odd('value'), odd('rest'))} AS is_anomaly FROM d6"""
+
+
+_suited = "CASE WHEN c < 20 OR (mean <> 0 AND sd / abs(mean) > 0.8) THEN 'iqr' ELSE 'z_score' END"
+add("anomalies_executed", F, series("region"), *detected("region", _suited))
+add("anomalies_executed_per_customer", F, series("customer_id"), *detected("customer_id", _suited))
+add("anomalies_by_quartiles", F, series("region"), *detected("region", "'iqr'"))
+add("anomalies_seasonal", F, series("region"), *detected("region", "CASE WHEN c >= 24 THEN 'seasonal_residual' ELSE 'iqr' END"))
+
 # --- segments ----------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from sumtrail.operators import clean as cl
 from sumtrail.operators import features as ft
 from sumtrail.operators import gates as gt
 from sumtrail.operators import linkage as lk
+from sumtrail.operators import models as md
 from sumtrail.operators import planning as pn
 from sumtrail.operators import profile as pf
 from sumtrail.operators import quality as ql
@@ -555,6 +556,55 @@ def anomaly_model(spark, sf):
     return sr.choose_anomaly_model(_customer_series(spark, sf), ["customer_id"])
 
 
+@query
+def forecast_executed(spark, sf):
+    """The model that the rules choose is the model that runs."""
+    return md.executed_forecast(_series(spark, sf, REGION), REGION)
+
+
+@query
+def forecast_executed_per_customer(spark, sf):
+    return md.executed_forecast(_customer_series(spark, sf), ["customer_id"], scenario="optimistic")
+
+
+@query
+def forecast_seasonal(spark, sf):
+    return md.executed_forecast(_series(spark, sf, PRODUCT), PRODUCT, model="moving_seasonal", horizon=12)
+
+
+@query
+def forecast_tested(spark, sf):
+    """Each region by the model with the smallest error over its last six months."""
+    return md.executed_forecast(_series(spark, sf, REGION), REGION, model="tested")
+
+
+@query
+def tested_models(spark, sf):
+    return md.tested_models(_series(spark, sf, PRODUCT), PRODUCT)
+
+
+@query
+def anomalies_executed(spark, sf):
+    """Long and even series: the z-score is chosen."""
+    return md.executed_anomalies(_series(spark, sf, REGION), REGION)
+
+
+@query
+def anomalies_executed_per_customer(spark, sf):
+    """Short and wild series: quartiles are chosen."""
+    return md.executed_anomalies(_customer_series(spark, sf), ["customer_id"])
+
+
+@query
+def anomalies_by_quartiles(spark, sf):
+    return md.executed_anomalies(_series(spark, sf, REGION), REGION, "iqr")
+
+
+@query
+def anomalies_seasonal(spark, sf):
+    return md.executed_anomalies(_series(spark, sf, REGION), REGION, "seasonal_residual")
+
+
 # --- segments ----------------------------------------------------------------
 
 def _customers(spark, sf, by=()):
