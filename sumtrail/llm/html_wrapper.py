@@ -28,6 +28,9 @@ once more by host and layout. Wrappers are joined by host and layout; their side
 is broadcast only if it is small, and otherwise adaptive execution splits hot
 layouts.
 
+Pages are scanned in linear time however broken they are, and groups nested
+deeper than ``DEEPEST`` are put beside each other.
+
 A null or blank html gives an empty text. Pages without a host share one
 wrapper. Repeated rows get equal results, extra columns are ignored, and an
 empty table gives an empty result.
@@ -76,14 +79,15 @@ NOT_NAMES = re.compile(
     r"respond|replies|reply|disqus|reviews?|pagination|pager|tags?|meta|byline|copyright|legal|disclaimer|hidden|skip)(?:$|[^a-z])")
 TEXT_NAMES = re.compile(r"(?:^|[^a-z])(?:article|content|post|entry|story|main|text|maintext|body)(?:$|[^a-z])")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|[^<]+|<",
-    re.DOTALL | re.IGNORECASE)
+#: A tag whose attributes hold no angle brackets, which is nearly every one.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>""")
+_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE_OR_END = re.compile(r"""["'>]""")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """A group: its key, the tags and texts inside; in a wrapper also how often it comes and what it held."""
 
@@ -110,21 +114,87 @@ def key_of(tag: str, attributes: str) -> str:
     return " ".join([tag, *[n for n in names if n]])
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", tag, attributes) and ("close", tag, "") in order; comments and raw content are left out.
+
+    Time is linear in the page, however broken it is: every search either moves
+    on to what it found or is not made again.
+    """
+    at, size = 0, len(page)
+    last = page.rfind(">")
+    dead: set[int] = set()  # quotes after which no tag ends any more
+    while at < size:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+            yield "text", page[at:end], ""
+            at = end
+            continue
+        m = _PLAIN.match(page, at)
+        if m is None:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if at > last:
+                # Nothing ends a tag any more.
+                yield "text", page[at:], ""
+                return
+            if page[at + 1] in "!?":
+                at = page.find(">", at) + 1
+                continue
+            m = _START.match(page, at)
+            if m is None:
+                yield "text", "<", ""
+                at += 1
+                continue
+            end = _tag_end(page, m.end(), dead)
+            slash, tag, attributes = m[1], m[2].lower(), page[m.end() : end]
+            at = end + 1
+        else:
+            slash, tag, attributes = m[1], m[2].lower(), m[3]
+            at = m.end()
+        if slash:
+            yield "close", tag, ""
+        elif tag in _RAW_ENDS:
+            found = _RAW_ENDS[tag].search(page, at)
+            at = size if found is None else found.end()
+        else:
+            yield "open", tag, attributes
+
+
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Place of the bracket that ends a tag, outside quotes if there is one, else the first."""
+    first, tried = page.find(">", at), []
+    while (m := _QUOTE_OR_END.search(page, at)) and m.start() not in dead:
+        if m[0] == ">":
+            return m.start()
+        tried.append(m.start())
+        close = page.find(m[0], m.end())
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(tried)
+    return first
+
+
+#: Groups nested deeper are put beside each other, as browsers do.
+DEEPEST = 200
+
+
 def parsed(page: str) -> Node:
     """The token stream nested by its tags; tags left open close where HTML closes them."""
     root = Node("html")
     stack = [root]
-    for m in _TOKEN.finditer(page):
-        token = m.group()
-        if token[0] != "<" or token == "<":
-            if token.strip() or token:
-                stack[-1].children.append(Node(TEXT, text=entities.unescape(token)))
+    beyond: dict[str, int] = {}  # open tags that were too deep to nest
+    for kind, tag, attributes in tokens(page):
+        if kind == "text":
+            stack[-1].children.append(Node(TEXT, text=entities.unescape(tag) if "&" in tag else tag))
             continue
-        slash, tag, attributes = (m.group(2), m.group(3), m.group(4)) if m.group(3) else (m.group(5), m.group(6), m.group(7))
-        if not tag:
-            continue
-        tag = tag.lower()
-        if slash:
+        if kind == "close":
+            if beyond.get(tag):
+                beyond[tag] -= 1
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -132,36 +202,44 @@ def parsed(page: str) -> Node:
                 if stack[k].tag in WALLS and tag not in WALLS:
                     break
             continue
-        closes = {"p"} if tag not in INLINE and tag not in VOID else set()
-        closes |= CLOSES.get(tag, set())
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in closes:
-                del stack[k:]
-                break
-            if stack[k].tag in WALLS:
-                break
+        closes = CLOSES.get(tag) if tag in INLINE or tag in VOID else _CLOSES_P.get(tag, _P)
+        if closes:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in closes:
+                    del stack[k:]
+                    break
+                if stack[k].tag in WALLS:
+                    break
         if tag == "html":
             continue
         node = Node(key_of(tag, attributes))
         stack[-1].children.append(node)
         if tag not in VOID and not attributes.endswith("/"):
-            stack.append(node)
+            if len(stack) < DEEPEST:
+                stack.append(node)
+            else:
+                beyond[tag] = beyond.get(tag, 0) + 1
     return root
 
 
+_P = {"p"}
+_CLOSES_P = {tag: closes | _P for tag, closes in CLOSES.items()}
+
+
 # -- wrappers -----------------------------------------------------------------
 
 
 def folded(node: Node, in_link: bool = False) -> Node:
     """A page's node as a wrapper: runs of equal siblings become one repeated group."""
     if node.key == TEXT:
-        size = len(" ".join(node.text.split()))
-        return Node(TEXT, text=" ".join(node.text.split()), chars=size, linked=size if in_link else 0)
+        text = " ".join(node.text.split())
+        return Node(TEXT, text=text, chars=len(text), linked=len(text) if in_link else 0)
     out = Node(node.key)
+    in_link = in_link or node.tag == "a"
     for child in node.children:
-        if child.key == TEXT and not child.text.strip():
+        if child.key == TEXT and (not child.text or child.text.isspace()):
             continue
-        new = folded(child, in_link or node.tag == "a")
+        new = folded(child, in_link)
         if out.children and out.children[-1].key == new.key:
             last = merged(out.children[-1], new, together=True)
             last.repeated = True
@@ -193,6 +271,8 @@ def merged(a: Node, b: Node, together: bool = False) -> Node:
 def _aligned(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]:
     """Pairs of a longest common subsequence by key, the rest alone, in order."""
     n, m = len(a), len(b)
+    if n == m and all(x.key == y.key for x, y in zip(a, b)):
+        return list(zip(a, b))
     head = 0
     while head < min(n, m) and a[head].key == b[head].key:
         head += 1
@@ -323,7 +403,7 @@ def chosen(root: Node, way: list[str]) -> list[str]:
 
 
 def extracted(page: str | None, spec: dict) -> str:
-    """Texts of the page inside the article's group, one line per block."""
+    """Texts of the page inside the article's group, blocks joined by a blank line."""
     if not page or not page.strip():
         return ""
     root = parsed(page)
@@ -333,7 +413,7 @@ def extracted(page: str | None, spec: dict) -> str:
     for place, at in _reach(root, way):
         inside = any(k.split(" ")[0] in ("article", "main") for k in way)
         found += [text for _, text in lines(place, at, inside, set(spec["menus"]), known, constant)]
-    return "\n".join(found)
+    return "\n\n".join(found)
 
 
 def hashed(text: str) -> int:
@@ -401,7 +481,13 @@ def named_ways(root: Node) -> set[str]:
 
 def _has_title(node: Node) -> bool:
     """A header inside the article that holds a title is part of it."""
-    return any(c.tag in ("h1", "h2", "h3") for c in node.children)
+    stack = [node]
+    while stack:
+        inner = stack.pop()
+        if inner.tag in ("h1", "h2", "h3"):
+            return True
+        stack += inner.children
+    return False
 
 
 def _reach(root: Node, way: list[str]) -> list[tuple[Node, str]]:
@@ -429,7 +515,7 @@ FLOW = INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl"
 
 
 def layout(page: Node) -> int:
-    """Hash of the ways to a folded page's groups, but for those of running text."""
+    """Hash of the ways to a page's groups, however often each comes, but for those of running text."""
     ways: set[str] = set()
     stack = [(page, "")]
     while stack:
@@ -441,13 +527,23 @@ def layout(page: Node) -> int:
     return hashed("\n".join(sorted(ways)))
 
 
+def with_hashes(root: Node) -> Node:
+    """The tree itself, with hashes in place of its texts."""
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        if n.text:
+            n.text = blake2b(n.text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+        stack += n.children
+    return root
+
+
 def packed(root: Node) -> str:
-    """A wrapper as a list of its nodes with their depths; texts as hashes."""
+    """A wrapper as a list of its nodes with their depths; texts are hashes."""
     out, stack = [], [(0, root)]
     while stack:
         depth, n = stack.pop()
-        text = n.text and blake2b(n.text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-        out.append([depth, n.key, text, n.optional, n.repeated, n.chars, n.linked, n.pages])
+        out.append([depth, n.key, n.text, n.optional, n.repeated, n.chars, n.linked, n.pages])
         stack += [(depth + 1, c) for c in reversed(n.children)]
     return json.dumps(out)
 
@@ -492,8 +588,8 @@ def wrappers(pages: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
                 root, copy = parsed(page), hashed(page)
                 seen += {(name, hashed(w), line_key(w, text), copy) for w, text in lines(root, "", known=None)}
                 seen += {(name, hashed(w), None, copy) for w in named_ways(root)}
-                new = unpacked(packed(folded(root)))
-                key = (name, layout(new))
+                new = with_hashes(folded(root))
+                key = (name, layout(root))
                 held[key] = merged(held[key], new) if key in held else new
                 if len(held) >= settings.held or len(seen) >= 100 * settings.held:
                     yield passed()
@@ -528,7 +624,7 @@ def texts(pages: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [layout(folded(parsed(page))) if page and page.strip() else None for page in batch.column("html").to_pylist()]
+            keys = [layout(parsed(page)) if page and page.strip() else None for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "html")), pa.array(keys, pa.int64())], schema=keyed_target)
 
     joined = map_arrow(pages.select("page_id", "url", "html"), key, keyed).withColumn("host", host(F.col("url"))).join(

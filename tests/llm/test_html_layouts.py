@@ -36,7 +36,7 @@ def test_slots_and_constants_decide(spark):
     # Copies of one page show nothing.
     rows += [(200 + k, f"https://c.org/{k}", page.format(200, "text " * 20)) for k in range(5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r.text.split("\n") for r in html_wrapper.texts(df).collect()}
+    got = {r.page_id: r.text.split("\n\n") for r in html_wrapper.texts(df).collect()}
     for k in range(6):
         lines = [x for x in got[k] if x]
         assert lines == [f"T {k}", (f"text of page {k} " * 20).strip(), "Background", f"Found {k} things"]

@@ -149,7 +149,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script
 
 
 def want(a, b, c):
-    return f"{a} & title\nFirst para {b} of it.\n{c} bolder <tag>\none\ntwo"
+    return f"{a} & title\n\nFirst para {b} of it.\n\n{c} bolder <tag>\n\none\n\ntwo"
 
 
 def test_pages(spark):
@@ -164,10 +164,10 @@ def test_pages(spark):
     by = {r.page_id: r for r in got}
     for k in range(8):
         assert by[k].text == want(f"A{k}", " ".join(["bee"] * (k + 1)), " ".join([f"Sea {k} water"] * (3 + k)))
-    assert by[20].text == "Alone on its host.\nTwo"
+    assert by[20].text == "Alone on its host.\n\nTwo"
     assert (by[21].text, by[22].text, by[None].text) == ("", "", "plain text")
-    assert by[24].text == "T\nx link y"
-    assert by[25].text == "\n".join(["word & word"] * 20_000)
+    assert by[24].text == "T\n\nx link y"
+    assert by[25].text == "\n\n".join(["word & word"] * 20_000)
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_wrapper.texts(df.limit(0)).count() == 0
 
