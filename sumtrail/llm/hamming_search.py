@@ -14,19 +14,24 @@ only codes that can still enter the query's best k. Nothing is capped: the last
 radius covers every code.
 
 A vector is a code of its components' signs (a bit for every component of 0 or more).
-Rows without id, vector, or with a vector of another length than the first
-rows' most are not searched. Ties go to the smallest id; a query does not find
+Rows without id or code are not searched; the query takes vectors of 64
+components. Ties go to the smallest id; a query does not find
 itself. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sumtrail.llm.common import arrow_schema, map_arrow
 from sumtrail.session import written
 
 
@@ -57,6 +62,32 @@ def masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
 
 
+_PROBE = T.StructType([
+    T.StructField("query", T.LongType()), T.StructField("worst", T.IntegerType()), T.StructField("segment", T.IntegerType()),
+    T.StructField("value", T.LongType())])
+
+
+def probes(queries: DataFrame, cuts: list[tuple[int, int]], radius: int, rows: int = 1 << 16) -> DataFrame:
+    """(query, worst, segment, value) of all values at distance ``radius`` from each segment of each query, some ``rows`` at a time."""
+    target = arrow_schema(_PROBE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = {width: np.array(masks(width, radius), np.int64) for _, width in cuts}
+        for batch in batches:
+            query, worst = batch.column("query").to_numpy(), batch.column("worst").to_numpy()
+            for s, (first, width) in enumerate(cuts):
+                flip = flips[width]
+                step = max(1, rows // max(1, len(flip)))
+                own = (query.view(np.uint64) >> np.uint64(first)).view(np.int64)
+                own = own if width == 64 else own & ((1 << width) - 1)
+                for at in range(0, len(query) if len(flip) else 0, step):
+                    value = (own[at : at + step, None] ^ flip).ravel()
+                    columns = [np.repeat(query[at : at + step], len(flip)), np.repeat(worst[at : at + step], len(flip)), np.full(len(value), s, np.int32), value]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+    return map_arrow(queries.select("query", F.col("worst").cast("int").alias("worst")), run, _PROBE)
+
+
 def neighbours(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) -> DataFrame:
     """The k nearest rows of ``codes`` (id, code) for each row of ``queries`` (id, code), by Hamming distance.
 
@@ -79,15 +110,9 @@ def neighbours(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64
     met = spark.createDataFrame([], "query long, code long, held int, distance int")
     done = spark.createDataFrame([], "query long, code long, distance int")
     for radius in range(max(w for _, w in cuts) + 1):
-        probes = []
-        for s, (first, width) in enumerate(cuts):
-            if radius <= width:
-                flips = F.explode(F.array(*[F.lit(m).cast("long") for m in masks(width, radius)]))
-                probes.append(open_.select("query", "worst", F.lit(s).alias("segment"), part(F.col("query"), first, width).alias("own"), flips.alias("flip"))
-                              .select("query", "worst", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value")))
-        probe = probes[0]
-        for p in probes[1:]:
-            probe = probe.unionByName(p)
+        # Probes are many more than the queries they come from, which is all that size estimates
+        # know of; a merge join never gathers either side anywhere.
+        probe = probes(open_, cuts, radius).hint("merge")
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
         new = probe.join(index, ["segment", "value"]).where(distance <= F.col("worst")).select(
             "query", "code", "held", distance.cast("int").alias("distance")).distinct()
@@ -101,7 +126,7 @@ def neighbours(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64
             .where((F.col("ids") > k) & (F.col("worst") <= len(cuts) * (radius + 1) - 1)).select("query"))
         last = radius == max(w for _, w in cuts)
         closed = best if last else best.join(state, "query", "left_semi")
-        done = done.unionByName(closed.select("query", "code", "distance"))
+        done = done.unionByName(written(closed.select("query", "code", "distance")))
         if last:
             break
         reach = best.groupBy("query").agg(F.sum("held").alias("ids"), F.max("distance").alias("far"))
