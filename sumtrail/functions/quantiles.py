@@ -126,3 +126,81 @@ def exact_quantiles(
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         interpolated.append((low + (high - low) * (position - F.floor(position))).alias(name))
     return out.select(*by, "n", *interpolated, *kept)
+
+
+# -- from counts --------------------------------------------------------------
+
+# Parts into which a range of values is cut, and rows of a range that are ranked one by one.
+CUTS, RANKED = 1024, 50_000
+
+
+def counted_quantiles(
+    counts: DataFrame,
+    value: str,
+    weight: str,
+    fractions: Sequence[float],
+    by: Sequence[str] = (),
+    names: Sequence[str] | None = None,
+    ranked: int = RANKED,
+) -> DataFrame:
+    """``exact_quantiles`` of values that come ``weight`` times each: one row per key, interpolated, with the count ``n``.
+
+    Counts per range of values say in which range each wanted rank lies, first by
+    sign and magnitude, then in ever finer parts of that range, until it holds one
+    value or few enough rows to be ranked. Every step is one aggregation over what
+    is left; rows of one value may be many. Missing values and those that are not
+    finite do not count, and a key without any other has no row.
+    """
+    by = list(by)
+    names = list(names or [f"q{round(f * 100)}" for f in fractions])
+    rows = written(
+        counts.select(*by, finite(F.col(value)).alias("_x"), F.col(weight).cast("long").alias("_w"))
+        .where("_x is not null and _w > 0"))
+    x, zone = F.col("_x"), ["_first", "_last", "_before"]
+    # Subnormal numbers have logarithms of -1074 and more.
+    magnitude = F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x)) * 8) + 10_000))
+    size = [F.sum("_w").alias("_w"), F.min("_x").alias("_from"), F.max("_x").alias("_to"), F.count(F.lit(1)).alias("_rows")]
+    parts = written(rows.groupBy(*by, magnitude.alias("_slot")).agg(*size).withColumn("_before", F.lit(0).cast("long")))
+
+    n = F.col("n")
+    places = F.array_distinct(F.array(*[g((n - 1) * F.lit(f)).cast("long") for f in fractions for g in (F.floor, F.ceil)]))
+    totals = written(parts.groupBy(*by).agg(F.sum("_w").alias("n")))
+    wanted = totals.select(*by, F.explode(places).alias("_rank"))
+
+    def placed(parts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+        """The part that holds each wanted rank; ``parts`` of a key or zone are at most some thousands."""
+        earlier = window_by(keys).orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+        upto = parts.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_w").over(earlier), F.lit(0)))
+        here = (F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_start") + F.col("_w"))
+        return join_by(upto, wanted, keys).where(here).select(
+            *by, "_rank", F.col("_from").alias("_first"), F.col("_to").alias("_last"), F.col("_start").alias("_before"), "_rows")
+
+    found = written(placed(parts, wanted, by))
+    exact = found.where("_first = _last").select(*by, "_rank", F.col("_first").alias("_at"))
+    while True:
+        open_ = found.where("_first < _last")
+        most = open_.agg(F.max("_rows")).first()[0]
+        if most is None:
+            break
+        inside = join_by(rows, open_.select(*by, *zone).distinct(), by).where("_x between _first and _last")
+        if most <= ranked:
+            order = window_by([*by, *zone]).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+            ends = inside.withColumn("_end", F.col("_before") + F.sum("_w").over(order))
+            hit = join_by(ends, open_.select(*by, *zone, "_rank"), [*by, *zone]).where("_rank < _end and _rank >= _end - _w")
+            exact = exact.unionByName(hit.select(*by, "_rank", F.col("_x").alias("_at")))
+            break
+        # Halves keep the difference of any two numbers finite.
+        share = (x / 2 - F.col("_first") / 2) / (F.col("_last") / 2 - F.col("_first") / 2)
+        slot = F.least(F.floor(share * CUTS), F.lit(CUTS - 1))
+        parts = inside.groupBy(*by, *zone, slot.alias("_slot")).agg(*size)
+        found = written(placed(parts, open_.select(*by, *zone, "_rank"), [*by, *zone]))
+        exact = exact.unionByName(found.where("_first = _last").select(*by, "_rank", F.col("_first").alias("_at")))
+
+    known = exact.groupBy(*by).agg(F.map_from_entries(F.collect_set(F.struct("_rank", "_at"))).alias("_at"))
+    out = join_by(totals, known, by)
+    picked = []
+    for f, name in zip(fractions, names):
+        position = (n - 1) * F.lit(f)
+        low, high = (F.col("_at")[g(position).cast("long")] for g in (F.floor, F.ceil))
+        picked.append((low + (high - low) * (position - F.floor(position))).alias(name))
+    return out.select(*by, "n", *picked)

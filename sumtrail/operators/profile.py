@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from sumtrail.functions import fixed_values as fixed
 from sumtrail.functions.grouping import join_by, top_rows
-from sumtrail.functions.quantiles import exact_quantiles
+from sumtrail.functions.quantiles import counted_quantiles
 from sumtrail.functions.values import (
-    half_up, is_missing, looks_like_boolean, looks_like_date, strip, to_day, to_number,
+    finite, half_up, is_missing, looks_like_boolean, looks_like_date, strip, to_day, to_number,
 )
+from sumtrail.session import written
 
 KEYS = ["dataset", "column_name"]
 SAMPLE_SIZE = 8
@@ -123,18 +124,18 @@ def profile_columns(df: DataFrame, dataset: str = "data", dayfirst: bool = False
 def profile_tables(tables: dict[str, DataFrame], dayfirst: bool = False) -> DataFrame:
     """Profiles of several tables in one plan, one row per table and column."""
     long = reduce(DataFrame.unionByName, [cells(df, name) for name, df in tables.items()])
-    tested = _tested(value_counts(long), dayfirst)
+    # Written once: every cell is read, and every distinct text tested, a single time.
+    tested = written(_tested(value_counts(long), dayfirst))
     summary = tested.groupBy(*KEYS).agg(
         F.sum("n").alias("rows"), F.count_if("present").alias("distinct_values"), *_totals()
     )
-    numbers = long.select(*KEYS, to_number(F.col("raw")).alias("x"))
-    moments = exact_quantiles(numbers, "x", [0.5], KEYS, names=["_median"], extra=[
-        F.avg("_x").alias("_mean"), F.stddev_pop("_x").alias("_sd"),
-    ]).drop("n")
-    # Stated over a count and not over the key, this filter stays above the
-    # aggregation, so that both branches read the same shuffled value counts.
-    present = F.when(F.col("present"), F.col("n") + F.col("chars")) > 0
-    head = top_rows(tested.where(present).select(*KEYS, "value"), KEYS, [F.col("value")], SAMPLE_SIZE)
+    x, n = finite(F.col("number")), F.col("n")
+    numbers = tested.where(x.isNotNull()).select(*KEYS, x.alias("x"), "n")
+    means = written(numbers.groupBy(*KEYS).agg((F.sum(F.col("x") * n) / F.sum("n")).alias("_mean"), F.sum("n").alias("_n")))
+    off = F.col("x") - F.col("_mean")
+    spread = join_by(numbers, means, KEYS).groupBy(*KEYS, "_mean").agg(F.sqrt(F.sum(off * off * n) / F.max("_n")).alias("_sd"))
+    moments = join_by(spread, counted_quantiles(numbers, "x", "n", [0.5], KEYS, ["_median"]).drop("n"), KEYS)
+    head = top_rows(tested.where("present").select(*KEYS, "value"), KEYS, [F.col("value")], SAMPLE_SIZE)
     samples = head.groupBy(*KEYS).agg(F.sort_array(F.collect_list("value")).alias("samples"))
     joined = join_by(join_by(summary, moments, KEYS, "left"), samples, KEYS, "left")
     return _profile_row(joined, {name: df.columns for name, df in tables.items()})

@@ -66,3 +66,43 @@ def test_rows_of_a_bracket_are_counted_in_parts(spark):
     plan = exact_quantiles(df, "x", [0.25, 0.5])._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
     assert windows and all("_part" in line or "_in_part" in line for line in windows)
+
+
+@pytest.mark.parametrize("ranked", [1, 50_000])
+def test_quantiles_from_counts(spark, ranked):
+    import math
+    import random
+
+    from sumtrail.functions.quantiles import counted_quantiles
+
+    random.seed(ranked)
+    groups = {
+        "wide": [(random.choice([-1, 1]) * 10 ** random.uniform(-300, 300), random.randint(1, 9)) for _ in range(200)],
+        "near": [(1e9 + random.random(), 1) for _ in range(300)],
+        "hot": [(5.0, 1_000_000), (4.0, 3), (6.0, 2), (6.0, 1)],
+        "ends": [(-1.7e308, 1), (1.7e308, 1), (5e-324, 1), (0.0, 1), (-0.0, 2)],
+        "one": [(7.25, 1)], "two": [(1.0, 1), (2.0, 1)],
+        "none": [(None, 3), (float("nan"), 1), (float("inf"), 2), (3.0, 0)],
+    }
+    rows = [(k, x, n) for k, found in groups.items() for x, n in found]
+    df = spark.createDataFrame(rows, "k string, x double, n long").repartition(4)
+    fractions = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: tuple(r)[1:] for r in counted_quantiles(df, "x", "n", fractions, ["k"], ranked=ranked).collect()}
+    assert set(got) == set(groups) - {"none"}
+    for k in got:
+        held = sorted((x, n) for x, n in groups[k] if n)
+        total = sum(n for _, n in held)
+
+        def at(rank):
+            for x, n in held:
+                if rank < n:
+                    return x
+                rank -= n
+
+        want = []
+        for f in fractions:
+            p = (total - 1) * f
+            low, high = at(math.floor(p)), at(math.ceil(p))
+            want.append(low + (high - low) * (p - math.floor(p)) if low != high else low)
+        assert got[k][0] == total
+        assert all(a == b or math.isclose(a, b, rel_tol=1e-12) for a, b in zip(got[k][1:], want)), (k, got[k], want)
