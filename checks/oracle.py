@@ -212,6 +212,8 @@ add("profile_columns", R, CELLS_R, PROFILE, PROFILE_OUT)
 add("profile_catalog", W, CELLS_W, PROFILE, PROFILE_OUT)
 DUPLICATES = """dups AS (SELECT 'events' AS dataset, 6::BIGINT AS columns, (SELECT count(*) FROM r) AS rows,
   (SELECT count(*) FROM (SELECT DISTINCT * FROM r)) AS distinct_rows)"""
+add("distinct_by_hash", """SELECT DISTINCT l_returnflag, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS l_quantity,
+  strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate FROM lineitem""")
 add("duplicate_rows", R, DUPLICATES, "SELECT *, rows - distinct_rows AS duplicates FROM dups")
 add("duplicate_documents", """SELECT 'documents' AS dataset, 1::BIGINT AS columns, count(*) AS rows,
   count(DISTINCT text) AS distinct_rows, count(*) - count(DISTINCT text) AS duplicates FROM documents""")

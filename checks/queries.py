@@ -166,6 +166,14 @@ def profile_catalog(spark, sf):
     return _profile_output(pf.profile_tables(workspace_tables(spark, sf)))
 
 
+@query
+def distinct_by_hash(spark, sf):
+    """Kinds of line items: rows go by hash, only repeated ones are shuffled whole."""
+    items = table(spark, sf, "lineitem").select(
+        "l_returnflag", F.col("l_quantity").cast("int").alias("l_quantity"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate"))
+    return cl.deduplicated(items, by_hash=True)
+
+
 @query
 def duplicate_rows(spark, sf):
     return pf.duplicate_rows(dirty_events(spark, sf), "events")

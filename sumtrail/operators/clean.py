@@ -17,7 +17,7 @@ from sumtrail.functions import fixed_values as fixed
 from sumtrail.functions.grouping import join_by
 from sumtrail.functions.quantiles import exact_quantiles
 from sumtrail.functions.values import is_missing, looks_like_date, plain_text, strip, to_day, to_number
-from sumtrail.operators.profile import as_text, infer_types, profile_columns
+from sumtrail.operators.profile import as_text, infer_types, profile_columns, row_key
 from sumtrail.session import written
 
 
@@ -35,8 +35,31 @@ def standardised(df: DataFrame) -> DataFrame:
     ])
 
 
-def deduplicated(df: DataFrame) -> DataFrame:
-    return standardised(df).distinct()
+#: Hashes of repeated rows (32 bytes each) that are broadcast at most, and the characters that make a row wide.
+FEW_REPEATED, WIDE = 100_000, 256
+
+
+def deduplicated(df: DataFrame, by_hash: bool = False, few: int = FEW_REPEATED) -> DataFrame:
+    """Standardised rows, each once.
+
+    With ``by_hash``, rows are shuffled as hashes of 256 bits; only rows whose hash
+    occurs twice are shuffled whole, and all others stay where they are. That pays
+    for wide rows, as it reads them three times. With more than ``few`` repeated
+    hashes, whole rows are shuffled in one go after all.
+    """
+    rows = standardised(df)
+    if not by_hash:
+        return rows.distinct()
+    key = "_key"
+    while key in rows.columns:
+        key += "_"
+    repeated = written(rows.select(row_key(rows).alias(key)).groupBy(key).count().where("count > 1").select(key))
+    if repeated.limit(few + 1).count() > few:
+        return rows.distinct()
+    keyed, repeated = rows.withColumn(key, row_key(rows)), F.broadcast(repeated)
+    once = keyed.join(repeated, key, "left_anti").drop(key)
+    again = keyed.join(repeated, key, "left_semi").drop(key).distinct()
+    return once.unionByName(again)
 
 
 def _normal_form(c: str, kind: str, dayfirst: bool) -> Column:
@@ -187,9 +210,9 @@ def clean(df: DataFrame, profile: Iterable[Row] | None = None, dayfirst: bool =
     profile = list(profile)
     types = {p.column_name: p.inferred_type for p in profile}
     fillable = fillable_columns(profile)
-    # Removing duplicates shuffles whole rows; the fills, the log and the
+    # Removing duplicates is the costly step; the fills, the log and the
     # result all read its output, so it is done once.
-    unique = written(deduplicated(df))
+    unique = written(deduplicated(df, by_hash=sum(p.avg_length for p in profile) > WIDE))
     rows = normalised(unique, types, dayfirst)
     values = fills(rows, fillable)
     return Cleaned(
