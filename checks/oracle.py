@@ -294,6 +294,15 @@ UNION ALL SELECT dataset, column_name, 'invalid_values', {hu('validity')} FROM q
 UNION ALL SELECT dataset, column_name, 'repeated_identifier', {hu('uniqueness')} FROM qc WHERE role = 'identifier' AND uniqueness < 98
 UNION ALL SELECT 'events', NULL, 'duplicate_rows', duplicate_pct FROM dp WHERE duplicate_pct > 1""")
 
+add("quality_flags_by_nation", f"""nations AS (
+  SELECT 'nation ' || c_nationkey AS dataset, c_nationkey AS nation, avg(CASE WHEN c_acctbal > 2000 THEN 100e0 ELSE 0 END) AS completeness,
+    avg(CASE WHEN c_acctbal > 800 THEN 100e0 ELSE 0 END) AS validity, avg(CASE WHEN c_custkey % 37 > 0 THEN 100e0 ELSE 0 END) AS uniqueness,
+    {hu("count_if(c_custkey % 50 = 0) / count(*) * 100", 1)} AS twice
+  FROM customer GROUP BY c_nationkey)""", f"""SELECT dataset, 'balance' AS column_name, 'incomplete' AS flag, {hu('100 - completeness')} AS value FROM nations WHERE completeness < 70
+UNION ALL SELECT dataset, 'balance', 'invalid_values', {hu('validity')} FROM nations WHERE validity < 85 AND nation % 2 = 0
+UNION ALL SELECT dataset, 'balance', 'repeated_identifier', {hu('uniqueness')} FROM nations WHERE nation % 3 = 0 AND uniqueness < 98
+UNION ALL SELECT dataset, NULL, 'duplicate_rows', twice FROM nations WHERE twice > 1""")
+
 # --- roles and gates ---------------------------------------------------------
 
 _hints = ", ".join(f"({i}, '{role}', '{h}')" for i, (role, hs) in enumerate(fixed.ROLE_HINTS.items()) for h in hs)
@@ -1044,6 +1053,8 @@ COVER_SUM = f"""covs AS (SELECT count(*) AS matched_keys, count(*) FILTER (under
     WHEN count(*) FILTER (under_stocked) / count(*) >= 0.25 THEN 'high' ELSE 'medium' END AS priority FROM cov)"""
 add("coverage_summary", W, COVER, COVER_SUM, "SELECT * FROM covs")
 add("unmatched_keys", W, "SELECT DISTINCT customer_id AS key FROM w_customers WHERE customer_id NOT IN (SELECT customer_id FROM w_sales)")
+add("unmatched_recent_keys", W, """SELECT DISTINCT customer_id AS key FROM w_customers WHERE customer_id NOT IN (
+  SELECT customer_id FROM w_sales WHERE left(order_date, 7) = (SELECT max(left(order_date, 7)) FROM w_sales))""")
 CONTRIB = f"""con AS (SELECT {hu('rv', 2)} AS revenue, {hu('cs', 2)} AS cost, {hu('(rv - cs) / rv * 100', 4)} AS contribution_pct FROM (
   SELECT (SELECT sum(CAST(revenue AS DOUBLE)) FROM w_sales) AS rv, (SELECT sum(CAST(cost AS DOUBLE)) FROM w_expenses) AS cs) WHERE rv > 0)"""
 add("contribution", W, CONTRIB, "SELECT * FROM con")

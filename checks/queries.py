@@ -264,6 +264,21 @@ def quality_flags(spark, sf):
     return ql.quality_flags(*_event_quality(spark, sf))
 
 
+@query
+def quality_flags_by_nation(spark, sf):
+    """Every limit breached by some nation: shares of its customers stand for the scores of a column."""
+    share = lambda flag: F.avg(F.when(flag, 100.0).otherwise(0.0))
+    balance, key = F.col("c_acctbal"), F.col("c_custkey")
+    columns = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(
+        share(balance > 2000).alias("completeness"), share(balance > 800).alias("validity"), share(key % 37 > 0).alias("uniqueness"),
+        F.count("*").alias("rows"), F.count_if(key % 50 == 0).alias("duplicates"),
+    ).select(
+        F.concat(F.lit("nation "), "nation").alias("dataset"), F.lit("balance").alias("column_name"), "completeness", "validity", "uniqueness",
+        F.when(F.col("nation") % 2 == 0, "number").otherwise("string").alias("inferred_type"),
+        F.when(F.col("nation") % 3 == 0, "identifier").otherwise("amount").alias("role"), "rows", "duplicates")
+    return ql.quality_flags(columns, columns)
+
+
 # --- roles and gates ---------------------------------------------------------
 
 def _catalog(spark, sf):
@@ -916,6 +931,15 @@ def unmatched_keys(spark, sf):
     return lk.unmatched_keys(t["customers"], "customer_id", t["sales"], "customer_id")
 
 
+@query
+def unmatched_recent_keys(spark, sf):
+    """Customers without an order line in the last month that has any."""
+    t = workspace_tables(spark, sf)
+    newest = t["sales"].agg(F.max(F.substring("order_date", 1, 7)).alias("newest"))
+    recent = t["sales"].join(F.broadcast(newest), F.col("order_date").startswith(F.col("newest")))
+    return lk.unmatched_keys(t["customers"], "customer_id", recent, "customer_id")
+
+
 @query
 def contribution(spark, sf):
     t = workspace_tables(spark, sf)
