@@ -56,6 +56,7 @@ def test_cells_with_line_breaks(spark, tmp_path, split_bytes, end, quoting):
         assert split_text.scanned(split_text.pieces(spark, path, "\n"), split_text.Cells(",")).splits > 8
 
 
+@pytest.mark.parametrize("split_bytes", ["400"], indirect=True)
 def test_several_files_blank_lines_and_a_header_with_a_break(spark, tmp_path, split_bytes):
     (tmp_path / "t.csv").mkdir()
     for k in range(3):
@@ -66,6 +67,7 @@ def test_several_files_blank_lines_and_a_header_with_a_break(spark, tmp_path, sp
     assert as_rows(df) == [(str(100 * k + i), f"cell\n{i}") for k in range(3) for i in range(40)]
 
 
+@pytest.mark.parametrize("split_bytes", ["400"], indirect=True)
 def test_quotes_inside_plain_cells_open_nothing(spark, tmp_path, split_bytes):
     body = "".join(f'{i},5" disk,"in\nside"\n' for i in range(80))
     df = readers.read_csv(spark, put(tmp_path, "q.csv", "id,size,note\n" + body))
@@ -120,6 +122,7 @@ def objects(seed, n=60):
     return [{"id": i, "a": r.choice(VALUES), "b": r.choice(VALUES)} | ({"rare": "x"} if i % 50 == 7 else {}) for i in range(n)]
 
 
+@pytest.mark.parametrize("split_bytes", ["400"], indirect=True)
 @pytest.mark.parametrize("layout", [{}, {"indent": 2}, {"separators": (",", ":")}])
 @pytest.mark.parametrize("wrapped", [False, True])
 def test_arrays_of_records(spark, tmp_path, split_bytes, layout, wrapped):
@@ -137,6 +140,7 @@ def test_arrays_of_records(spark, tmp_path, split_bytes, layout, wrapped):
         assert split_text.pieces(spark, path, "}").rdd.getNumPartitions() > 4
 
 
+@pytest.mark.parametrize("split_bytes", ["400"], indirect=True)
 def test_named_array_of_several(spark, tmp_path, split_bytes):
     whole = {"a": [{"x": i} for i in range(60)], "b": [{"y": i, "x": -1} for i in range(60)], "n": [1, 2]}
     path = put(tmp_path, "two.json", json.dumps(whole))
