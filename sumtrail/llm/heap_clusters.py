@@ -168,7 +168,7 @@ def first_centroids(rows: DataFrame, k: int, seed: int) -> np.ndarray:
     """The vectors of the k smallest sha256 of ``seed:id``."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"), 256)
     first = rows.withColumn("hash", key).orderBy(F.asc_nulls_last("hash"), "vector").limit(k).collect()
-    return np.array([r.vector for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r.vector for r in first], np.int64)
 
 
 def packed(rows: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
