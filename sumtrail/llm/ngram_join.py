@@ -8,16 +8,18 @@ of at least ``share`` percent. The join is exact:
    bitmap with a bit flipped per shingle, and the prefix: so many of its first
    shingles that two linked sets must share one of theirs. First are those that
    are not frequent, by hash; frequent ones, from lines and passages that many
-   documents share, come last. Which are frequent is estimated on a bounded
-   sample: the order decides the cost of the join, never its result. Equal sets
-   are one node from here on, however many copies there are.
+   documents share, come last. A pass before counts, over all texts, in how many
+   a shingle lies among the first by hash, twice the prefix; the order decides the
+   cost of the join, never its result. Equal sets are one node from here on,
+   however many copies there are.
 2. Tiles are the nodes that share a prefix hash. Each node is first held against
    its tiles' smallest and largest node, then, where a tile spans components,
    against its most central one. The links found give preliminary components,
    so a large group of near copies needs few comparisons.
 3. Tiles that still span components are split by size band (a set meets only
    its own band and the next) and searched whole: pairs from different
-   components whose sizes allow a link and whose bitmaps allow enough overlap.
+   components whose sizes allow a link, whose places in the tile leave enough
+   shingles after the first common one, and whose bitmaps allow enough overlap.
    A pair differs by at least as many shingles as their bitmaps differ in bits.
 4. What passes is held against wider bitmaps, with about a bit per shingle, and
    then decided by intersecting the sorted arrays, recomputed from the texts of
@@ -26,11 +28,13 @@ of at least ``share`` percent. The join is exact:
 Pairs inside a preliminary component are never listed; as their nodes are
 linked already, no component loses anything. Nothing is capped: a hot tile
 costs comparisons inside the join, not rows, and adaptive execution splits it.
+Ends and centres of tiles are aggregates, combined before the shuffle, and come
+back by joins.
 
 Null, empty or blank texts have an empty set and link with nothing. Fewer words
 than a shingle count as one shingle. Rows without doc_id get no component; rows
-that share a doc_id count as one document. An empty table gives an empty
-result; extra columns are ignored (and kept by :func:`deduplicated`).
+that share a doc_id are judged each by its own text. An empty table gives an
+empty result; extra columns are ignored (and kept by :func:`deduplicated`).
 
 Two different sets share an identity with a probability of 2^-64 per pair.
 """
@@ -44,7 +48,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,7 +61,8 @@ from sumtrail.session import written
 class Join:
     """Words per shingle, least similarity in percent, bits of the bitmaps in tiles, rows and bytes that may be broadcast.
 
-    A shingle is frequent if ``frequent`` of about ``sample_docs`` documents have it.
+    A shingle is frequent if ``frequent`` documents have it; if more are than
+    ``frequent_bytes`` hold, the limit is raised by powers of two until they fit.
     """
 
     width: int = 5
@@ -66,8 +71,8 @@ class Join:
     broadcast_rows: int = 500_000
     broadcast_bytes: int = 16_000_000
     known_words: int = 300_000
-    sample_docs: int = 20_000
-    frequent: int = 4
+    frequent: int = 8
+    frequent_bytes: int = 16_000_000
 
 
 JOIN = Join()
@@ -138,23 +143,42 @@ def first_shingles(shingles: np.ndarray, frequent: np.ndarray, size: int) -> np.
 
 
 def frequent_shingles(docs: DataFrame, join: Join = JOIN) -> np.ndarray:
-    """Shingles that ``frequent`` documents of a sample of about ``sample_docs`` have, sorted.
+    """Shingles that ``frequent`` documents or more have among their first, sorted; at most ``frequent_bytes``.
 
-    At most the sample's shingles / ``frequent`` of them, whatever the table's size.
+    First are those by hash up to twice the prefix: a shingle further back is in no
+    tile, unless most of those before it are frequent.
     """
-    share = min(1.0, join.sample_docs / max(1, docs.count()))
-    picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))
-    schema = T.StructType([T.StructField("token", T.LongType())])
+    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType())])
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n.astype(np.int64))], names=["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(join)
+        shingler, held, size = Shingler(join), [], 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingler(text))], names=["token"])
+                shingles = shingler(text)
+                held.append(shingles[: 2 * prefix_size(len(shingles), join.share)])
+                size += len(held[-1])
+                if size > 1 << 19:
+                    yield counted(held)
+                    held, size = [], 0
+        if size:
+            yield counted(held)
 
-    found = (docs.where(picked).select("text").transform(map_arrow, run, schema)
-             .groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= join.frequent).select("token"))
-    return np.sort(found.toArrow()["token"].to_numpy())
+    found = written(
+        docs.select("text").transform(map_arrow, run, schema)
+        .groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= join.frequent))
+    level = F.floor(F.log2("n")).cast("int").alias("level")
+    least, room = join.frequent, join.frequent_bytes // 8
+    for r in sorted(found.groupBy(level).count().collect(), reverse=True):  # a row per power of two
+        room -= r["count"]
+        if room < 0:
+            least = 2 << r.level
+            break
+    tokens = found.where(F.col("n") >= least).select("token").toArrow()["token"]
+    return np.sort(tokens.to_numpy())
 
 
 def prefix_size(n: int, share: int) -> int:
@@ -167,9 +191,9 @@ def identity(shingles: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, join: Join = JOIN) -> DataFrame:
-    """doc_id, n, node, bitmaps and prefix of every row; written, as all steps read it."""
+    """doc_id, a hash of the text, n, node, bitmaps and prefix of every row; written, as all steps read it."""
     schema = T.StructType([
-        docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
+        docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
         T.StructField("bitmap", T.ArrayType(T.LongType())), T.StructField("wide", T.BinaryType()),
         T.StructField("prefix", T.ArrayType(T.LongType()))])
     target = arrow_schema(schema)
@@ -184,13 +208,13 @@ def sets(docs: DataFrame, join: Join = JOIN) -> DataFrame:
             lists = pa.ListArray.from_arrays(
                 np.cumsum([0, *map(len, heads)], dtype=np.int32), np.concatenate([*heads, np.empty(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()),
+                batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in found], pa.int64()),
                 pa.array([identity(s) for s in found], pa.int64()),
                 pa.array([folded(w, join.bits // 64).tolist() for w in wide], target.field("bitmap").type),
                 pa.array([w.tobytes() for w in wide], pa.binary()),
                 lists.cast(target.field("prefix").type)], schema=target)
 
-    return written(docs.select("doc_id", "text").transform(map_arrow, run, schema))
+    return written(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).transform(map_arrow, run, schema))
 
 
 def may_link(n: Column, m: Column, share: int) -> Column:
@@ -198,6 +222,12 @@ def may_link(n: Column, m: Column, share: int) -> Column:
     return (100 * F.least(n, m)) >= (share * F.greatest(n, m))
 
 
+def in_reach(n: Column, m: Column, left_n: Column, left_m: Column, share: int) -> Column:
+    """Enough shingles are left, from the first common one on: ``left_`` counts it and those after it."""
+    both = F.least(left_n, left_m)
+    return (100 * both) >= (share * (n + m - both))
+
+
 def enough(n: Column, m: Column, differing: Column, share: int) -> Column:
     """Bitmaps that differ in so many bits allow the similarity: overlap <= (n + m - differing) / 2."""
     return (100 * (n + m - differing)) >= (share * (n + m + differing))
@@ -267,21 +297,20 @@ def linked(docs: DataFrame, known: DataFrame, pairs: DataFrame, join: Join = JOI
 
 def spanning(tiles: DataFrame, parts: DataFrame, join: Join = JOIN) -> DataFrame:
     """Rows of ``tiles`` (token, node, ...) whose tile spans components, with the node's as ``part``."""
-    tile = Window.partitionBy("token")
-    return (
-        tiles.join(small(parts, join.broadcast_rows), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        .withColumn("least", F.min("part").over(tile)).withColumn("most", F.max("part").over(tile)).where("least < most").drop("least", "most"))
+    placed = tiles.join(small(parts, join.broadcast_rows), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    open_ = written(placed.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most"))
+                    .where("least < most").select("token"))
+    return placed.join(small(open_, join.broadcast_rows), "token", "left_semi")
 
 
 def grouped(docs: DataFrame, join: Join = JOIN) -> DataFrame:
-    """doc_id, n_shingles, node and component_id of every row of ``docs``."""
+    """doc_id, text_hash, n_shingles, node and component_id of every row of ``docs``."""
     every = sets(docs, join)
     known = every.where("n > 0 and doc_id is not null")
-    tile = Window.partitionBy("token")
-    shared = written(
-        known.select(F.explode("prefix").alias("token"), "node", "n")
-        .withColumn("low", F.min("node").over(tile)).withColumn("high", F.max("node").over(tile))
-        .where("low < high"))
+    members = known.select(F.posexplode("prefix").alias("place", "token"), "node", "n").select(
+        "token", "node", "n", (F.col("n") - F.col("place")).alias("left"))
+    ends = written(members.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"))
+    shared = written(members.join(small(ends, join.broadcast_rows), "token").distinct())
     bitmaps = written(
         known.select("node", "n", "bitmap")
         .join(small(written(shared.select("node").distinct()), join.broadcast_rows), "node", "left_semi").dropDuplicates(["node"]))
@@ -303,17 +332,21 @@ def grouped(docs: DataFrame, join: Join = JOIN) -> DataFrame:
     # What is left: tiles that span preliminary components.
     at = F.floor(F.log("n") / math.log(100 / join.share * 1.000001)).cast("int")
     placed = written(
-        spanning(shared.select("token", "node").distinct(), first, join).join(marks, "node").withColumn("band", at))
+        spanning(shared.select("token", "node", "left"), first, join).join(marks, "node").withColumn("band", at))
 
     # Their nodes against the tile's most central one, which shares most tiles with others: in a
     # group of near copies, one with few changes of its own.
     central = small(written(placed.groupBy("node").agg(F.count("*").alias("tiles"))), join.broadcast_rows)
-    best = F.max(F.struct("tiles", "node", "part", "n", "bitmap")).over(tile)
+    best = written(placed.join(central, "node").groupBy("token").agg(F.max(F.struct("tiles", "node")).alias("best"))
+                   .select("token", F.col("best.node").alias("node")))
+    best = best.join(placed, ["token", "node"]).select(
+        "token", *(F.col(c).alias(f"best_{c}") for c in ("node", "part", "n", "left", "bitmap")))
     centred = written(
-        placed.join(central, "node").withColumn("best", best).where(F.col("best.part") != F.col("part"))
-        .where(may_link(F.col("n"), F.col("best.n"), join.share))
-        .where(enough(F.col("n"), F.col("best.n"), differing(F.col("bitmap"), F.col("best.bitmap"), join.bits), join.share))
-        .select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct()
+        placed.join(best, "token").where("best_part <> part")
+        .where(may_link(F.col("n"), F.col("best_n"), join.share))
+        .where(in_reach(F.col("n"), F.col("best_n"), F.col("left"), F.col("best_left"), join.share))
+        .where(enough(F.col("n"), F.col("best_n"), differing(F.col("bitmap"), F.col("best_bitmap"), join.bits), join.share))
+        .select(F.least("node", "best_node").alias("a"), F.greatest("node", "best_node").alias("b")).distinct()
         .join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(linked(docs, known, centred, join))
     tried = tried.unionByName(centred)
@@ -321,14 +354,15 @@ def grouped(docs: DataFrame, join: Join = JOIN) -> DataFrame:
 
     # The rest whole, by size band.
     placed = written(spanning(placed.drop("part"), parts, join))
-    home = placed.select("token", "band", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bits_a"))
+    home = placed.select("token", "band", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("bitmap").alias("bits_a"))
     guest = placed.select(
         "token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("own"), F.col("node").alias("b"),
-        F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bits_b"))
+        F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), F.col("bitmap").alias("bits_b"))
     rest = written(
         home.join(guest, ["token", "band"])
         .where((F.col("part_a") != F.col("part_b")) & ((F.col("own") != F.col("band")) | (F.col("a") < F.col("b"))))
         .where(may_link(F.col("n_a"), F.col("n_b"), join.share))
+        .where(in_reach(F.col("n_a"), F.col("n_b"), F.col("left_a"), F.col("left_b"), join.share))
         .where(enough(F.col("n_a"), F.col("n_b"), differing(F.col("bits_a"), F.col("bits_b"), join.bits), join.share))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
                 F.least("part_a", "part_b").alias("p"), F.greatest("part_a", "part_b").alias("q"))
@@ -354,18 +388,22 @@ def grouped(docs: DataFrame, join: Join = JOIN) -> DataFrame:
     named = ids.join(final, "node", "left").withColumn("part", F.coalesce("component", "node"))
     smallest = named.groupBy("part").agg(F.min("first_id").alias("component_id"))
     lookup = written(named.select("node", "part").join(smallest, "part").select(F.col("node").alias("k"), "component_id"))
-    joined = every.select("doc_id", "n", "node").join(
+    joined = every.select("doc_id", "text_hash", "n", "node").join(
         lookup, (F.col("node") == F.col("k")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, join: Join = JOIN) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; all columns stay.
 
-    Documents with an empty set, and rows without doc_id, are kept.
+    Documents with an empty set, and rows without doc_id, are kept. Of rows that
+    share a doc_id, one of each set of shingles stays: equal ones are copies,
+    different ones are different texts.
     """
-    verdict = grouped(docs, join).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"))
-    gone = written(verdict.where("c <> doc_id").select(F.col("doc_id").alias("__gone")))
-    kept = docs.join(small(gone, join.broadcast_rows), F.col("doc_id") == F.col("__gone"), "left_anti")
-    named = F.col("doc_id").isNotNull()
-    return kept.where(~named).unionByName(kept.where(named).dropDuplicates(["doc_id"])).select(*docs.columns)
+    verdict = grouped(docs, join).where("doc_id is not null")
+    stays = verdict.where("component_id = doc_id").groupBy("doc_id", "node").agg(F.min("text_hash").alias("__hash"))
+    stays = written(stays.select(F.col("doc_id").alias("__id"), "__hash").distinct())
+    named = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
+    kept = named.join(small(stays, join.broadcast_rows), (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
+    kept = kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    return docs.where("doc_id is null").unionByName(kept)

@@ -66,7 +66,7 @@ def test_against_brute_force(spark):
     rows = made()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute(rows)
-    for settings in (ngram_join.JOIN, ngram_join.Join(broadcast_rows=0, broadcast_bytes=0, frequent=2, sample_docs=60)):
+    for settings in (ngram_join.JOIN, ngram_join.Join(broadcast_rows=0, broadcast_bytes=0, frequent=2)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.grouped(df, settings).collect()}
         assert got == want
     assert len({c for _, c in want.values()}) < len(want)
@@ -88,6 +88,28 @@ def test_rows(spark):
     assert ngram_join.deduplicated(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_doc_id_keep_their_texts(spark):
+    text = lambda s: " ".join(f"{s}{k}" for k in range(12))
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (5, text("c")), (5, text("c").upper()), (5, text("c")), (5, None), (6, text("b"))]
+    kept = [(r.doc_id, (r.text or "").lower()) for r in ngram_join.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [(3, text("a")), (5, ""), (5, text("b")), (5, text("c"))]
+
+
+def test_frequent_shingles_are_counted_over_all_texts(spark):
+    texts = [" ".join(f"d{d}w{k}" for k in range(30)) + " one passage of five words" for d in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    shingler = ngram_join.Shingler()
+    head = [ngram_join.prefix_size(len(s), 80) * 2 for s in map(shingler, texts)]
+    seen = {}
+    for t, n in zip(texts, head):
+        for token in shingler(t)[:n]:
+            seen[token] = seen.get(token, 0) + 1
+    for least in (1, 2, 8):
+        got = ngram_join.frequent_shingles(df, ngram_join.Join(frequent=least))
+        assert list(got) == sorted(k for k, n in seen.items() if n >= least)
+    assert len(ngram_join.frequent_shingles(df, ngram_join.Join(frequent=1, frequent_bytes=80))) <= 10
+
+
 def test_bounds_never_lose_a_link():
     rng = np.random.default_rng(4)
     for _ in range(300):
@@ -101,6 +123,9 @@ def test_bounds_never_lose_a_link():
             frequent = np.sort(np.concatenate([a[::7], b[::5]]))
             heads = [ngram_join.first_shingles(x, frequent, ngram_join.prefix_size(len(x), 80)) for x in (a, b)]
             assert len(np.intersect1d(*heads))
+            first = next(i for i, token in enumerate(heads[0]) if token in heads[1])
+            left = [len(a) - first, len(b) - int(np.flatnonzero(heads[1] == heads[0][first])[0])]
+            assert 100 * min(left) >= 80 * (len(a) + len(b) - min(left))
 
 
 def test_components(spark):
