@@ -110,7 +110,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, cache: int = 200_000):
         self.v, self.limit = vocabulary, cache
-        self.known: dict[str, tuple[int, bytes, str]] = {}
+        self.known: dict[str, tuple[int, bytes]] = {}
+        self.tokens = np.array(vocabulary.texts, object)
         self.words = regex.compile(vocabulary.split)
         self.special = regex.compile("|".join(regex.escape(s) for s, _ in vocabulary.special)) if vocabulary.special else None
         self.special_ids = dict(vocabulary.special)
@@ -242,10 +243,10 @@ class Encoder:
         for word, tokens, fine in zip(new, proposed, good):
             if not fine:
                 tokens = self.merged(word)
-            self.known[word] = (len(tokens), np.array(tokens, "<u4").tobytes(), " ".join([self.v.texts[t] for t in tokens]))
+            self.known[word] = (len(tokens), np.array(tokens, "<u4").tobytes())
 
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
-        """For every text: number of tokens, ids as little-endian 32-bit integers, decoded text."""
+        """For every text: number of tokens, ids as little-endian 32-bit integers, the text these ids decode to."""
         split = [self.pieces(t) for t in texts]
         if len(self.known) > self.limit:
             self.known.clear()
@@ -253,19 +254,30 @@ class Encoder:
         for w in [w for w in new if w[0] == "\0" and w[1:] in self.special_ids]:
             new.discard(w)
             token = self.special_ids[w[1:]]
-            self.known[w] = (1, np.array([token], "<u4").tobytes(), self.v.texts[token])
+            self.known[w] = (1, np.array([token], "<u4").tobytes())
         if new:
             self.learn(list(new))
-        out = []
+        counts, ids = [], []
         for p in split:
             found = [self.known[w] for w in p]
-            out.append((sum([f[0] for f in found]), b"".join([f[1] for f in found]), " ".join([f[2] for f in found])))
-        return out
+            counts.append(sum([f[0] for f in found]))
+            ids.append(b"".join([f[1] for f in found]))
+        return list(zip(counts, ids, self.decode(ids)))
+
+    def decode(self, encoded: list[bytes]) -> list[str]:
+        """The texts of encoded ids, looked up in the token table for all texts at once.
+
+        Tokens are joined by spaces, as the file names no decoder. An id outside the
+        table raises an error.
+        """
+        tokens = self.tokens[np.frombuffer(b"".join(encoded), "<u4")].tolist()
+        ends = np.cumsum([0, *(len(e) // 4 for e in encoded)]).tolist()
+        return [" ".join(tokens[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def decode(vocabulary: Vocabulary, ids: bytes) -> str:
-    """The text of encoded ids: tokens joined by spaces, as the file names no decoder."""
-    return " ".join([vocabulary.texts[i] for i in np.frombuffer(ids, "<u4")])
+    """The text of the ids of one text."""
+    return Encoder(vocabulary).decode([ids])[0]
 
 
 def encoded(docs: DataFrame, path: str, digests: bool = False, chunk: int = 1 << 21) -> DataFrame:
@@ -301,7 +313,6 @@ def encoded(docs: DataFrame, path: str, digests: bool = False, chunk: int = 1 <<
             for group in chunks(batch.column("text").to_pylist()):
                 rows = []
                 for n, ids, text in encoder.encode(group):
-                    # The ids are decoded from the bytes in a plain use; the words' texts are the same.
                     rows.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
                                 if digests else (n, ids, text))
                 part = batch.slice(at, len(group))

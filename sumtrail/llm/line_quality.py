@@ -1,7 +1,8 @@
 """Quality rules, line first: bad lines go, then documents that lose too much.
 
 Every line is judged alone by punctuation, navigation, boilerplate and
-repetition rules. Lines that fail are removed, and a document is rejected when
+repetition rules. A boilerplate phrase fails a line only if such phrases make up
+``phrase_share`` of it, so a paragraph that mentions one stays. Lines that fail are removed, and a document is rejected when
 the removed lines held more than ``max_lost`` of its word characters, or when a
 measure of the whole document fails.
 
@@ -41,13 +42,14 @@ _ENDS = re.compile(rb"[#*$%&|<>!]\Z")
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the rules; shares are of the words of the line or text."""
+    """Limits of the rules; shares are of the words of the line or text, of its characters for phrases."""
 
     min_words: int = 50
     max_repeat_share: float = 0.5
     max_lost: float = 0.5
     symbol_words: float = 0.3
     shouted_words: float = 0.6
+    phrase_share: float = 0.1
     separators: int = 3
     same_word: float = 0.34
     judged_words: int = 4
@@ -86,8 +88,11 @@ def repeated_words(tokens: list, n: int = 3) -> int:
 def bad_line(line: str, tokens: list[bytes], rules: Rules = RULES) -> bool:
     """True where one of the line rules fails; ``tokens`` are the line's words."""
     n = len(tokens)
+    # Boilerplate: phrases of a site or licence that are more than a mention within the line.
     if _BOILERPLATE.search(line):
-        return True
+        whole = line.strip(BLANKS)
+        if len(whole) - len(_BOILERPLATE.sub("", whole)) >= rules.phrase_share * len(whole):
+            return True
     # Navigation: items set apart by bars, arrows or bullets.
     if sum(line.count(s) for s in SEPARATORS) >= rules.separators or line.rstrip(BLANKS).endswith(" |"):
         return True

@@ -73,12 +73,14 @@ covered AS (
   SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words
   FROM windows JOIN twice USING (doc_id, g), (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS ws
+  SELECT doc_id, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS ws,
+    regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS whole
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 judged AS (
   SELECT doc_id, line, list_sum(list_transform(ws, lambda w: length(w))) AS chars,
-    regexp_matches(lower(line), 'licensed under the|is licensed under|all rights reserved|privacy policy|terms of service|terms of use|cookie policy|we use cookies|enable javascript|subscribe to our newsletter|click here to|sign in to|log in to|powered by|skip to content|back to top|copyright \\(c\\)')
+    10 * (length(whole) - length(regexp_replace(whole, 'licensed under the|is licensed under|all rights reserved|privacy policy|terms of service|terms of use|cookie policy|we use cookies|enable javascript|subscribe to our newsletter|click here to|sign in to|log in to|powered by|skip to content|back to top|copyright \\(c\\)', '', 'gi'))) >= length(whole)
+      AND regexp_matches(whole, 'licensed under the|is licensed under|all rights reserved|privacy policy|terms of service|terms of use|cookie policy|we use cookies|enable javascript|subscribe to our newsletter|click here to|sign in to|log in to|powered by|skip to content|back to top|copyright \\(c\\)', 'i')
     OR len(string_split(line, ' | ')) + len(string_split(line, ' » ')) + len(string_split(line, ' > ')) + len(string_split(line, ' • ')) - 4 >= 3
     OR regexp_matches(line, ' \\|[\\x20\\x09-\\x0D]*$')
     OR len(ws) >= 4 AND (

@@ -57,6 +57,21 @@ def test_speculation_agrees_with_merging(encoder):
         assert list(bpe.np.frombuffer(encoder.known[w][1], "<u4")) == encoder.merged(w)
 
 
+def test_text_comes_from_the_ids(library):
+    """A wrong id must show in the decoded text, whatever word it stands for."""
+    encoder = bpe.Encoder(bpe.Vocabulary.load(PATH))
+    encoder.encode(["plain words"])
+    other = encoder.encode(["strange"])[0]
+    word = next(w for w in encoder.known if w.startswith("plain"))
+    encoder.known[word] = other[:2]
+    (n, ids, text), = encoder.encode(["plain words"])
+    assert text == library.decode(list(bpe.np.frombuffer(ids, "<u4")), skip_special_tokens=False)
+    assert text.startswith(other[2]) and "plain" not in text
+    assert encoder.decode([b"", ids, b""]) == ["", text, ""]
+    with pytest.raises(IndexError):
+        encoder.decode([bpe.np.array([len(encoder.v.texts)], "<u4").tobytes()])
+
+
 def test_rows(spark, library):
     rows = [(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "Same text", None), (5, "Same text", "y"), (6, "word " * 30_000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")

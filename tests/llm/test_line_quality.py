@@ -39,6 +39,18 @@ def test_line_rules():
         assert line_quality.bad_line(line, line.encode().split()), line
 
 
+def test_a_mention_is_no_boilerplate():
+    """A clean document of one line that mentions a phrase stays whole; lines made of phrases go."""
+    text = words(200) + " Our privacy policy was discussed, " + words(200, 200)
+    assert line_quality.judge(text)[-2:] == (True, text)
+    phrase = "all rights reserved"
+    for n, bad in ((171, True), (172, False)):  # 19 of 190 characters, 19 of 191
+        line = phrase + " " + "x" * (n - 1)
+        assert line_quality.bad_line("  " + line + "\t" * 50, line.encode().split()) is bad
+    mentions = ". ".join(f"Read our {p} please" for p in line_quality.BOILERPLATE)
+    assert line_quality.bad_line(mentions, mentions.encode().split())
+
+
 def words(n, start=0):
     return " ".join(f"word{k}" for k in range(start, start + n)) + "."
 
