@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumtrail.functions.grouping import join_by, share_of_total
-from sumtrail.functions.values import clamp, half_up, half_up_long, ratio
+from sumtrail.functions.values import clamp, finite, half_up, half_up_long, ratio, strip, total
 from sumtrail.operators import breakdown as bd
 from sumtrail.operators import segments as sg
 from sumtrail.operators import series as sr
-from sumtrail.operators.stats import monthly_series
 from sumtrail.session import written
 
 RISKS = ["concentration", "volatility", "customer_base", "churn", "shortfall", "data_quality"]
@@ -21,22 +20,58 @@ LEVELS = ["high", "medium", "low"]
 
 def concentration_facts(df: DataFrame, category: str, measure: str, by: Sequence[str] = ()) -> DataFrame:
     """Largest label and its share of the total, per key."""
-    sums = bd.category_sums(df, category, measure, by)
+    return _largest(bd.category_sums(df, category, measure, by), by)
+
+
+def _largest(sums: DataFrame, by: Sequence[str]) -> DataFrame:
     top = F.min(F.struct((-F.col("sum")).alias("key"), F.col("label").alias("label")))
     heads = sums.groupBy(*by).agg(F.sum("sum").alias("_total"), top.alias("_top")).where("_total > 0")
     share = -F.col("_top")["key"] / F.col("_total") * 100
     return heads.select(*by, F.col("_top")["label"].alias("top_label"), share.alias("top_share"))
 
 
+def _parts(df: DataFrame, by: Sequence[str], date: str, measure: str, customer: str | None,
+           category: str | None, months: bool) -> dict[str, DataFrame]:
+    """Sums per month, customer and category of every entity, from one pass over the rows.
+
+    The rows go through one aggregate over grouping sets, whose size is that of its
+    results and not that of the combinations; it is written, and each part reads its set.
+    """
+    month = F.trunc(F.col(date).cast("date"), "month")
+    keys = {"_month": month if months else None, "_customer": customer, "_label": category}
+    keys = {k: strip(F.col(v).cast("string")) if isinstance(v, str) else v for k, v in keys.items() if v is not None}
+    if not keys:
+        return {}
+    rows = df.where(finite(F.col(measure)).isNotNull()).select(
+        *by, *[v.alias(k) for k, v in keys.items()], month.alias("_at"), F.col(measure).alias("_value"))
+    sums = written(
+        rows.groupingSets([[*by, k] for k in keys], *by, *keys).agg(
+            F.grouping_id().alias("_set"), total(F.col("_value")).alias("sum"), F.count(F.lit(1)).alias("n"),
+            F.min("_at").alias("first_month"), F.max("_at").alias("last_month"))
+    )
+    # A set's number has a bit for every key left out, the last key's lowest.
+    full = (1 << len(keys)) - 1
+    numbers = {k: full ^ (1 << (len(keys) - 1 - i)) for i, k in enumerate(keys)}
+    return {k: sums.where((F.col("_set") == n) & (F.col(k).isNotNull() if k == "_month" else F.col(k) != ""))
+            for k, n in numbers.items()}
+
+
 def entity_facts(df: DataFrame, by: Sequence[str], date: str, measure: str, customer: str | None = None,
-                 category: str | None = None, quality: DataFrame | None = None) -> DataFrame:
+                 category: str | None = None, quality: DataFrame | None = None,
+                 series: DataFrame | None = None, churn: DataFrame | None = None) -> DataFrame:
     """Everything the scores, risks and actions need, one row per entity.
 
     Each part is an aggregate on the entity key and the parts are joined after
     aggregation, so the joins see one row per entity. ``quality`` has
     (by..., quality_score), or only quality_score when it holds for all.
+
+    ``df`` is read once. ``series`` and
+    ``churn`` (monthly series and churn exposure of the same rows) are taken as
+    they are where a caller has them.
     """
-    series = written(monthly_series(df, date, measure, by))
+    parts = _parts(df, by, date, measure, customer if churn is None else None, category, series is None)
+    if series is None:
+        series = written(parts["_month"].select(*by, F.col("_month").alias("month"), half_up(F.col("sum"), 2).alias("value"), "n"))
     outlook = sr.selected_outlook(series, by).select(
         *by, "periods", "total", "first_value", "last_value", "mean", "sd",
         "chosen_model", "confidence", "trend_pct", "next_value",
@@ -45,9 +80,12 @@ def entity_facts(df: DataFrame, by: Sequence[str], date: str, measure: str, cust
     drops = sr.anomalies(series, by).groupBy(*by).agg(F.count_if(weak).alias("drops"))
     facts = join_by(outlook, drops, by, "left")
     if customer:
-        customers = sg.customer_rollup(df, customer, date, measure, by)
-        segments = sg.customer_segments(customers, by)
-        facts = join_by(facts, sg.churn_exposure(segments, series, by), by, "left")
+        if churn is None:
+            rolled = parts["_customer"].select(
+                *by, F.col("_customer").alias("customer"), half_up(F.col("sum"), 2).alias("spend"),
+                F.col("n").alias("orders"), "first_month", "last_month")
+            churn = sg.churn_exposure(sg.customer_segments(sg.with_months_active(rolled, by), by), series, by)
+        facts = join_by(facts, churn, by, "left")
     else:
         facts = facts.withColumns({
             "customers": F.lit(None).cast("bigint"), "repeaters": F.lit(None).cast("bigint"),
@@ -55,7 +93,8 @@ def entity_facts(df: DataFrame, by: Sequence[str], date: str, measure: str, cust
             "revenue_at_risk": F.lit(None).cast("double"),
         })
     if category:
-        facts = join_by(facts, concentration_facts(df, category, measure, by), by, "left")
+        sums = parts["_label"].select(*by, F.col("_label").alias("label"), "sum", "n")
+        facts = join_by(facts, _largest(sums, by), by, "left")
     else:
         facts = facts.withColumns({
             "top_label": F.lit(None).cast("string"), "top_share": F.lit(None).cast("double"),
@@ -79,11 +118,11 @@ def health_scores(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     data = half_up(F.col("quality_score") / 100 * 25)
     cv = ratio(F.col("sd"), F.col("mean"))
     stability = F.when(F.col("periods") > 2, clamp(half_up(25 - cv * 30), 0, 25)).otherwise(15.0)
-    total = clamp(half_up(trend + customer + data + stability), 0, 100)
+    points = clamp(half_up(trend + customer + data + stability), 0, 100)
     return facts.select(
         *by, half_up_long(trend).alias("trend"), customer.cast("bigint").alias("customer"),
         data.cast("bigint").alias("quality"), stability.cast("bigint").alias("stability"),
-        total.cast("bigint").alias("total"),
+        points.cast("bigint").alias("total"),
     )
 
 

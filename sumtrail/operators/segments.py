@@ -25,12 +25,13 @@ def customer_rollup(df: DataFrame, customer: str, date: str, measure: str,
     ``recency="last"`` counts from the last purchase instead. Orders are rows
     unless ``order_key`` names the column that identifies an order. Spend is
     added as decimals and rounded to two of them, so it does not depend on the
-    order of summation and a customer at a cut point compares equal to it.
+    order of summation and a customer at a cut point compares equal to it. The
+    sums per customer are written once, and all later stages read them.
     """
     id_ = strip(F.col(customer).cast("string"))
     month = F.trunc(F.col(date).cast("date"), "month")
     orders = F.countDistinct(order_key) if order_key else F.count(F.lit(1))
-    rolled = (
+    rolled = written(
         df.where(finite(F.col(measure)).isNotNull() & (id_ != ""))
         .groupBy(*by, id_.alias("customer"))
         .agg(
@@ -38,9 +39,15 @@ def customer_rollup(df: DataFrame, customer: str, date: str, measure: str,
             F.min(month).alias("first_month"), F.max(month).alias("last_month"),
         )
     )
-    # From the rows and not from the customers: no shuffle by customer, and few columns to read.
-    newest = (
-        df.where(finite(F.col(measure)).isNotNull() & (id_ != "")).groupBy(*by).agg(F.max(month).alias("newest_month")))
+    return with_months_active(rolled, by, recency)
+
+
+def with_months_active(rolled: DataFrame, by: Sequence[str] = (), recency: str = "tenure") -> DataFrame:
+    """Months since each customer's first (or last) month, counted from the newest month of the key.
+
+    ``rolled`` is read twice and should be a written table.
+    """
+    newest = rolled.groupBy(*by).agg(F.max("last_month").alias("newest_month"))
     start = F.coalesce("last_month" if recency == "last" else "first_month", "newest_month")
     months = F.greatest(F.lit(1.0), F.months_between("newest_month", start)).cast("bigint")
     return join_by(rolled, newest, by).withColumn("months_active", months)
@@ -57,8 +64,7 @@ def tercile_cuts(customers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def customer_segments(customers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Score 1-3 on each metric and name the segment of every customer."""
-    # Read for the sketch, for the cut points and for the scores.
-    customers = written(customers)
+    # Read for the sketch, for the cut points and for the scores: the roll-up reads its written sums each time.
     cuts = tercile_cuts(customers, by).groupBy(*by).agg(*[
         F.max(F.when(F.col("metric") == m, F.col(edge))).alias(f"{m}_{edge}")
         for m in METRICS for edge in ("lower", "upper")

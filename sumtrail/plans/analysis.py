@@ -118,11 +118,11 @@ def analyse(raw: DataFrame, dataset: str = "data", overrides: dict[str, str] | N
     buyer = customer if "segmentation" in open_ else None
     if buyer:
         customers = sg.customer_rollup(table, buyer, date, measure, by)
-        out["segments"] = sg.customer_segments(customers, by)
-        out["churn"] = sg.churn_exposure(out["segments"], series, by)
+        out["segments"] = written(sg.customer_segments(customers, by))
+        out["churn"] = written(sg.churn_exposure(out["segments"], series, by))
 
     score = quality.select(F.col("score").alias("quality_score"))
-    facts = written(sc.entity_facts(table, by, date, measure, buyer, group, score))
+    facts = written(sc.entity_facts(table, by, date, measure, buyer, group, score, series, out.get("churn")))
     out["facts"] = facts
     out["health"] = sc.health_scores(facts, by)
     out["risks"] = sc.risks(facts, by)
