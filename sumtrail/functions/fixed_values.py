@@ -77,6 +77,12 @@ BOOLEAN_WORD = "(?i)^(true|false|yes|no|y|n)$"
 BOOLEAN_WORD_OR_BIT = "(?i)^(true|false|yes|no|y|n|0|1)$"
 PADDED_ISO_DAY = r"^\d{4}-\d{2}-\d{2}"
 PLAIN_NUMBER = r"^-?\d+(\.\d+)?$"
+# A plain number to the very end of the text, and how any number starts: both only spare other patterns.
+ONLY_DIGITS = r"^-?\d+(?:\.\d+)?\z"
+NUMBER_START = r"^[£$€,+\-.0-9]"
+# Characters of the longest match of these patterns, with one line end that "$" overlooks.
+LONGEST_BOOLEAN = 6
+LONGEST_ITEM_CODE = 13
 NUMBER_TEXT = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
 NUMBER_OR_PERCENT = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)%?$"
 LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"

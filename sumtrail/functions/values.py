@@ -34,7 +34,9 @@ def ratio(top: Column, bottom: Column, empty: float = 0.0) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.trim(c, F.lit(fixed.BLANKS))
+    """Without blanks at both ends; a text between two visible ASCII characters is taken as it is."""
+    ends = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(ends, c).otherwise(F.trim(c, F.lit(fixed.BLANKS)))
 
 
 def is_missing(c: Column) -> Column:
@@ -79,8 +81,9 @@ def quantity_of(c: Column) -> Column:
     return F.when(q.isNull() | (q == 0), F.lit(1.0)).otherwise(q)
 
 
-def looks_like_date(c: Column) -> Column:
-    s = strip(c)
+def looks_like_date(c: Column, stripped: bool = False) -> Column:
+    """True for the shapes that :func:`to_day` reads; ``stripped`` says that ``c`` has no blanks at its ends."""
+    s = c if stripped else strip(c)
     shapes = [
         fixed.ISO_DAY, fixed.SLASH_DAY, fixed.DAY_MONTH_NAME,
         fixed.MONTH_NAME_DAY, fixed.YEAR_SLASH_DAY, fixed.SLASH_DAY_TIME,
@@ -101,13 +104,14 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return text.try_cast("date")
 
 
-def to_day(c: Column, dayfirst: bool = False) -> Column:
+def to_day(c: Column, dayfirst: bool = False, stripped: bool = False) -> Column:
     """Calendar day of a date cell; NULL when no supported shape fits.
 
     Each shape has its own parser and only the one that fits is evaluated.
-    Slashed and dotted dates are month first unless ``dayfirst``.
+    Slashed and dotted dates are month first unless ``dayfirst``; ``stripped``
+    says that ``c`` has no blanks at its ends.
     """
-    s = strip(c)
+    s = c if stripped else strip(c)
     parts = r"^(\d{1,4})[/.](\d{1,2})[/.](\d{1,4})"
     a, b, y = (F.regexp_extract(s, parts, i) for i in (1, 2, 3))
     month, day = (b, a) if dayfirst else (a, b)

@@ -16,7 +16,7 @@ from sumtrail.functions import fixed_values as fixed
 from sumtrail.functions.grouping import join_by, top_rows
 from sumtrail.functions.quantiles import counted_quantiles
 from sumtrail.functions.values import (
-    finite, half_up, is_missing, looks_like_boolean, looks_like_date, strip, to_day, to_number,
+    finite, half_up, looks_like_date, strip, to_day, to_number,
 )
 from sumtrail.session import written
 
@@ -43,25 +43,50 @@ def value_counts(long: DataFrame) -> DataFrame:
     )
 
 
+FLAGS = ["is_date", "is_boolean", "is_bit", "is_padded_iso", "is_plain", "has_currency", "has_percent", "is_email",
+         "is_postcode", "is_item_code", "is_date_shaped"]
+
+
 def _tested(counts: DataFrame, dayfirst: bool) -> DataFrame:
-    """Add what each distinct text looks like; missing markers look like nothing."""
-    v, present = F.col("value"), ~is_missing(F.col("value"))
-    return counts.withColumns({
-        "present": present,
-        "number": F.when(present, to_number(v)),
-        "is_date": present & looks_like_date(v) & ~v.rlike(fixed.PLAIN_NUMBER),
-        "day": F.when(present, to_day(v, dayfirst)),
-        "is_boolean": present & looks_like_boolean(v),
-        "is_bit": present & v.rlike(fixed.BOOLEAN_WORD_OR_BIT),
-        "is_padded_iso": present & v.rlike(fixed.PADDED_ISO_DAY),
+    """Add what each distinct text looks like; missing markers look like nothing.
+
+    Texts have no blanks at their ends. Most of a large table are plain numbers,
+    which no other pattern needs to see: they go a short way of their own, and
+    ``counts``, read by both, should be written. Of the others each is only tested
+    for what its first character or its length allows.
+    """
+    v, digits = F.col("value"), F.col("value").rlike(fixed.ONLY_DIGITS)
+    short, code = F.length("value") <= fixed.LONGEST_BOOLEAN, F.length("value") <= fixed.LONGEST_ITEM_CODE
+    known = {
+        "is_bit": short & v.rlike(fixed.BOOLEAN_WORD_OR_BIT), "is_plain": F.lit(True), "is_item_code": code & v.rlike(fixed.ITEM_CODE),
+    }
+    plain = counts.where(digits).withColumns({
+        "present": F.lit(True),
+        "number": F.nullif(F.nullif(v.try_cast("double"), F.lit(float("inf"))), F.lit(float("-inf"))),
+        "day": F.lit(None).cast("date"),
+        **{flag: known.get(flag, F.lit(False)) for flag in FLAGS},
+    })
+    present = ~F.lower(v).isin(fixed.MISSING_MARKERS)
+    # Read by several columns, evaluated once.
+    seen = counts.where(~digits).withColumn("present", present).withColumn(
+        "_dated", F.col("present") & looks_like_date(v, stripped=True))
+    present, dated = F.col("present"), F.col("_dated")
+    other = seen.withColumns({
+        "number": F.when(present & v.rlike(fixed.NUMBER_START), to_number(v)),
+        "day": F.when(dated, to_day(v, dayfirst, stripped=True)),
+        "is_date": dated & ~v.rlike(fixed.PLAIN_NUMBER),
+        "is_boolean": present & short & v.rlike(fixed.BOOLEAN_WORD),
+        "is_bit": present & short & v.rlike(fixed.BOOLEAN_WORD_OR_BIT),
+        "is_padded_iso": dated & v.rlike(fixed.PADDED_ISO_DAY),
         "is_plain": present & v.rlike(fixed.PLAIN_NUMBER),
         "has_currency": present & v.rlike(fixed.CURRENCY_SIGN),
-        "has_percent": present & v.rlike(fixed.PERCENT_SIGN),
-        "is_email": present & v.rlike(fixed.EMAIL),
+        "has_percent": present & v.contains("%") & v.rlike(fixed.PERCENT_SIGN),
+        "is_email": present & v.contains("@") & v.rlike(fixed.EMAIL),
         "is_postcode": present & v.rlike(fixed.POSTCODE),
-        "is_item_code": present & v.rlike(fixed.ITEM_CODE),
-        "is_date_shaped": present & v.rlike(f"{fixed.ISO_DAY}|{fixed.SLASH_DAY}"),
-    })
+        "is_item_code": present & code & v.rlike(fixed.ITEM_CODE),
+        "is_date_shaped": dated & v.rlike(f"{fixed.ISO_DAY}|{fixed.SLASH_DAY}"),
+    }).drop("_dated")
+    return plain.unionByName(other)
 
 
 def _count(flag: Column) -> Column:
@@ -80,7 +105,7 @@ def _column_type(values: Column, numbers: Column, dates: Column, booleans: Colum
 
 def infer_types(df: DataFrame, dataset: str = "data", dayfirst: bool = False) -> DataFrame:
     """Type of every column from all of its values."""
-    typed = _tested(value_counts(cells(df, dataset)), dayfirst).groupBy(*KEYS).agg(
+    typed = _tested(written(value_counts(cells(df, dataset))), dayfirst).groupBy(*KEYS).agg(
         _count(F.col("present")).alias("non_missing"),
         _count(F.col("number").isNotNull()).alias("as_number"),
         _count(F.col("is_date")).alias("as_date"),
@@ -125,7 +150,7 @@ def profile_tables(tables: dict[str, DataFrame], dayfirst: bool = False) -> Data
     """Profiles of several tables in one plan, one row per table and column."""
     long = reduce(DataFrame.unionByName, [cells(df, name) for name, df in tables.items()])
     # Written once: every cell is read, and every distinct text tested, a single time.
-    tested = written(_tested(value_counts(long), dayfirst))
+    tested = written(_tested(written(value_counts(long)), dayfirst))
     summary = tested.groupBy(*KEYS).agg(
         F.sum("n").alias("rows"), F.count_if("present").alias("distinct_values"), *_totals()
     )
