@@ -12,6 +12,7 @@ from sumtrail.functions import fixed_values as fixed
 from sumtrail.functions.grouping import join_by, share_of_total, top_rows
 from sumtrail.functions.quantiles import exact_quantiles
 from sumtrail.functions.values import finite, half_up, total
+from sumtrail.session import written
 
 
 def measures_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), blank_as_zero: bool = False) -> DataFrame:
@@ -40,10 +41,11 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
     """One row per key and column; columns with fewer than two values are left out."""
     keys = [*by, "column_name"]
     long = measures_long(df, columns, by, blank_as_zero)
-    moments = exact_quantiles(long, "x", [0.25, 0.5, 0.75], keys, extra=[
+    # Written, so that a few keys are broadcast and no task gets all numbers of a column.
+    moments = written(exact_quantiles(long, "x", [0.25, 0.5, 0.75], keys, extra=[
         F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd"), F.var_pop("_x").alias("variance"),
         F.min("_x").alias("min"), F.max("_x").alias("max"),
-    ])
+    ]))
     fences = outlier_fences(moments)
     outside = (F.col("x") < F.col("fence_low")) | (F.col("x") > F.col("fence_high"))
     outliers = (
@@ -58,7 +60,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
 
 def outlier_examples(df: DataFrame, column: str, by: Sequence[str] = (), k: int = 10) -> DataFrame:
     """The ``k`` largest values outside the quartile fences, per key."""
-    fences = outlier_fences(exact_quantiles(df, column, [0.25, 0.75], by).drop("n"))
+    fences = outlier_fences(written(exact_quantiles(df, column, [0.25, 0.75], by).drop("n")))
     x = F.col(column)
     outside = join_by(df, fences, by).where((x < F.col("fence_low")) | (x > F.col("fence_high")))
     ranked = top_rows(outside.select(*by, x.alias("x")), by, [F.desc("x")], k)
