@@ -8,15 +8,15 @@ trees score every proposal by its format and context, a threshold per kind,
 calibrated on held-out proposals, selects redactions, and of overlapping ones
 the best stays.
 
-The trees are trained here, on proposals of a sample of at most about
-``sample_docs`` rows (chosen by hash) and ``sample_spans`` proposals, together
-with the written-out examples below. Strict checks (Luhn, octets, digits and
-country code, a known top-level domain) label what the sample holds; rules make
-the rest from its base spans: written-out forms in the same place, and look-alikes
-(ordinary words around "at", numbers that fail a check, years, sums) elsewhere in
-the text. A fifth of all, chosen by a hash of the features so that equal ones stay
-together, is kept from the trees and sets the thresholds alone. Model and
-thresholds depend on nothing else, so reruns agree.
+The trees are trained here, on the proposals of all rows, together with the
+written-out examples below. Strict checks (Luhn, octets, digits and country code,
+a known top-level domain) label what the texts hold; rules make the rest from
+their base spans: written-out forms in the same place, and look-alikes (ordinary
+words around "at", numbers that fail a check, years, sums) elsewhere in the text.
+Proposals of equal features and label are counted together and weigh as many as
+they are. A fifth of all features, chosen by their hash, is kept from the trees
+and sets the thresholds alone. Model and thresholds depend on nothing else, so
+reruns agree.
 
 Null texts have no spans. Work is row by row, so copies, hot sources and long
 texts need no care; every pattern takes time in proportion to the text.
@@ -27,7 +27,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sumtrail.llm.common import arrow_schema, map_arrow
+from sumtrail.session import written
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -56,6 +58,11 @@ _GROUPED = re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20./_ -]{1,3}[0-9]{3,6}){2,4}(?
 _NATIONAL = re.compile(r"(?<![0-9+.])(?:\(?0?[0-9]{2,4}\)?[\x20./-]{1,2}){1,3}[0-9]{3,4}[\x20./-]{0,1}[0-9]{3,4}(?![0-9])|(?<![0-9])00[1-9][0-9\x20()./-]{7,18}[0-9](?![0-9])")
 _ANY = re.compile(r"[0-9@]|\b(?:at|AT)\b")
 
+#: What a text must hold for the slower patterns to match anywhere in it.
+_RUN = re.compile(r"[0-9][0-9\x20()./_-]{5,}[0-9]")
+_MAY_SPELL = re.compile(r"@|(?:at|AT)[\s\])}>]{1,3}[A-Za-z0-9-]{1,63}(?:\s?[\[({<]\s?(?:dot|DOT|\.)|\s(?:dot|DOT)\s|\.)")
+_MAY_SPELL_IP = re.compile(r"[0-9](?:\s?[\[({]\s?(?:dot|\.)|\sdot\s)")
+
 #: Words that announce a kind, and common top-level domains.
 CUES = {
     "email": ["mail", "e-mail", "email", "contact", "write", "kontakt", "correo", "courriel"],
@@ -100,15 +107,14 @@ FEATURES = [
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the training sample, size of the model, and precision aimed at per kind."""
+    """Size of the model, precision aimed at per kind, and what an example weighs: so much, or that share of all proposals."""
 
-    sample_docs: int = 4_000
-    sample_spans: int = 20_000
     rounds: int = 12
     depth: int = 4
     precision: float = 0.95
     least: float = 0.6
     example_weight: int = 5
+    example_share: float = 0.000_25
 
 
 SETTINGS = Settings()
@@ -137,6 +143,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("email", start, match.end()))
             end = match.end()
         at = text.find("@", max(at + 1, end))
+    if not _RUN.search(text):
+        return out
     out += [("ip", m.start(), m.end()) for m in _IP.finditer(text)
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
     for m in _CARD.finditer(text):
@@ -151,13 +159,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Overlapping spans of high recall, base patterns without their checks among them."""
     out = set()
-    for m in _SPELLED.finditer(text):
+    for m in _SPELLED.finditer(text) if _MAY_SPELL.search(text) else ():
         start, low = m.start(), max(0, m.start() - 64)
         while start > low and _LOCAL.match(text[start - 1]):
             start -= 1
         if start < m.start():
             out.add(("email", start, m.end()))
-    out |= {("ip", m.start(), m.end()) for p in (_IP, _SPELLED_IP) for m in p.finditer(text) if m.end() - m.start() <= 60}
+    if _MAY_SPELL_IP.search(text):
+        out |= {("ip", m.start(), m.end()) for m in _SPELLED_IP.finditer(text) if m.end() - m.start() <= 60}
+    if not _RUN.search(text):
+        return sorted(out)
+    out |= {("ip", m.start(), m.end()) for m in _IP.finditer(text) if m.end() - m.start() <= 60}
     for p in (_CARD, _GROUPED):
         out |= {("card", m.start(), m.end()) for m in p.finditer(text) if 12 <= m.end() - m.start() <= 60 and len(_digits(m.group())) >= 12}
     for p in (_PHONE, _NATIONAL):
@@ -259,7 +271,7 @@ class Trees:
                 goes = x[np.arange(len(x)), f] <= self.threshold[k][node]
                 node = np.where(inner, np.where(goes, self.left[k][node], self.right[k][node]), node)
             margin += self.value[k][node]
-        return 1 / (1 + np.exp(-2 * np.clip(margin, -30, 30)))
+        return np.round(1 / (1 + np.exp(-2 * np.clip(margin, -30, 30))), 4)
 
 
 def _exported(model) -> Trees:
@@ -285,36 +297,56 @@ def _exported(model) -> Trees:
     return Trees(full[:, :, 0].astype(int), full[:, :, 1], full[:, :, 2].astype(int), full[:, :, 3].astype(int), full[:, :, 4], {})
 
 
-def training(docs: DataFrame, settings: Settings = SETTINGS) -> tuple[list[tuple[np.ndarray, float, int]], np.ndarray]:
-    """Features, label and weight of every labelled proposal, and which of them are held out."""
-    share = min(1.0, settings.sample_docs / max(1, docs.count()))
-    picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))
-    schema = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.DoubleType())])
+LABELLED = "x array<double>, y double, n double, held boolean"
+
+#: Distinct features that one task of the training takes; two tasks at least.
+TASK_ROWS = 200_000
+
+
+@dataclass(frozen=True)
+class Column:
+    """Values of a labelled table that are read from it as they are wanted."""
+
+    frame: DataFrame
+    value: Callable
+
+    def __iter__(self) -> Iterator:
+        return map(self.value, self.frame.toLocalIterator())
+
+
+def training(docs: DataFrame, settings: Settings = SETTINGS) -> tuple[Iterable[tuple[np.ndarray, float, float]], Iterable[bool]]:
+    """Features, label and weight of every kind of labelled proposal in all rows, and which of them are held out."""
+    schema = T._parse_datatype_string(LABELLED)
     target = arrow_schema(schema)
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = [], []
+            # Bounded by a batch of rows; equal ones of other batches meet below.
+            seen: Counter = Counter()
             for text in batch.column("text").to_pylist():
                 if text and _ANY.search(text):
                     base = base_spans(text)
                     for kind, start, end in proposals(text) + base:
                         if (y := strict(text, kind, start, end)) is not None:
-                            xs.append(features(text, kind, start, end))
-                            ys.append(y)
+                            seen[tuple(map(float, features(text, kind, start, end))), y] += 1
                     for span in base:
                         for changed, start, end, y in variants(text, *span):
-                            xs.append(features(changed, span[0], start, end))
-                            ys.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(xs, target.field("x").type), pa.array(ys, pa.float64())], schema=target)
-
-    found = docs.where(picked).select("text").transform(map_arrow, labelled, schema)
-    rows = found.orderBy(F.xxhash64("x", "y"), "x").limit(settings.sample_spans).collect()
-    data = [(np.array(r.x), r.y, 1) for r in rows]
+                            seen[tuple(map(float, features(changed, span[0], start, end))), y] += 1
+            rows = [(x, y, float(n), held_out(x)) for (x, y), n in seen.items()]
+            columns = list(zip(*rows)) or [()] * len(target)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+    found = written(docs.select("text").transform(map_arrow, labelled, schema).groupBy("x", "y", "held").agg(F.sum("n").alias("n")))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
+    weight = max(float(settings.example_weight), settings.example_share * total)
+    examples = []
     for kind, marked, y in EXAMPLES:
         start, end = marked.index("{"), marked.index("}") - 1
-        data.append((np.array(features(marked.replace("{", "").replace("}", ""), kind, start, end)), float(y), settings.example_weight))
-    return data, np.array([held_out(x) for x, _, _ in data])
+        x = [float(v) for v in features(marked.replace("{", "").replace("}", ""), kind, start, end)]
+        examples.append((x, float(y), weight, held_out(x)))
+    written_out = docs.sparkSession.createDataFrame(examples, LABELLED).groupBy("x", "y", "held").agg(F.sum("n").alias("n"))
+    both = written(written_out.unionByName(found).groupBy("x", "y", "held").agg(F.sum("n").alias("n")).select("x", "y", "n", "held"))
+    return Column(both, lambda r: (np.array(r.x), r.y, r.n)), Column(both, lambda r: r.held)
 
 
 def held_out(x: np.ndarray) -> bool:
@@ -323,30 +355,53 @@ def held_out(x: np.ndarray) -> bool:
 
 
 def fit(docs: DataFrame, settings: Settings = SETTINGS) -> Trees:
-    """Trees from a bounded sample of ``docs`` and the written-out examples, thresholds from the held-out fifth."""
+    """Trees from the proposals of all ``docs`` and the written-out examples, thresholds from the held-out fifth."""
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.functions import array_to_vector
 
     data, held = training(docs, settings)
-    rows = [(Vectors.dense(x), y, float(w)) for (x, y, w), out in zip(data, held) if not out]
-    frame = docs.sparkSession.createDataFrame(rows, ["features", "label", "weight"]).coalesce(2)
+    if isinstance(data, Column):
+        table = data.frame
+    else:
+        table = docs.sparkSession.createDataFrame([(x.tolist(), y, float(n), bool(out)) for (x, y, n), out in zip(data, held)], LABELLED)
+    learned = table.where("not held")
+    # The same rows in the same order in every run, whatever order tasks ended in.
+    ordered = learned.repartition(max(2, learned.count() // TASK_ROWS), "x", "y").sortWithinPartitions("x", "y", "n")
+    frame = ordered.select(array_to_vector("x").alias("features"), F.col("y").alias("label"), F.col("n").alias("weight"))
     model = GBTClassifier(maxIter=settings.rounds, maxDepth=settings.depth, stepSize=0.3, seed=7, weightCol="weight").fit(frame)
     trees = _exported(model)
-    x, y = np.array([d[0] for d in data])[held], np.array([d[1] for d in data])[held]
-    trees.cut = thresholds(x, y, trees.score(x), settings)
+    trees.cut = _calibrated(table.where("held"), trees, settings)
     return trees
 
 
-def thresholds(x: np.ndarray, y: np.ndarray, scores: np.ndarray, settings: Settings = SETTINGS) -> dict[str, float]:
-    """Per kind the lowest score from which on proposals are as precise as asked; 2 where there is none."""
-    cut = {}
+def _calibrated(held: DataFrame, trees: Trees, settings: Settings) -> dict[str, float]:
+    """Thresholds from counts of all held-out proposals by kind and score: scores have four digits, so the counts are few."""
+    schema = T._parse_datatype_string("kind int, score double, y double, n double")
+    target = arrow_schema(schema)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), float).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[:, : len(KINDS)].argmax(axis=1), pa.int32()), pa.array(trees.score(x)), batch.column("y"), batch.column("n")], schema=target)
+
+    counts = held.select("x", "y", "n").transform(map_arrow, scored, schema).groupBy("kind", "score", "y").agg(F.sum("n").alias("n"))
+    rows = counts.collect()
+    x = np.eye(len(FEATURES))[[r.kind for r in rows]] if rows else np.zeros((0, len(FEATURES)))
+    return thresholds(x, np.array([r.y for r in rows]), np.array([r.score for r in rows]), settings, np.array([r.n for r in rows]))
+
+
+def thresholds(x: np.ndarray, y: np.ndarray, scores: np.ndarray, settings: Settings = SETTINGS, n: np.ndarray | None = None) -> dict[str, float]:
+    """Per kind the lowest score from which on proposals, ``n`` of each, are as precise as asked; 2 where there is none."""
+    cut, n = {}, np.ones(len(y)) if n is None else n
     for k, kind in enumerate(KINDS):
         mine = x[:, k] == 1
         by_score = np.argsort(-scores[mine], kind="stable")
-        s, right = scores[mine][by_score], np.cumsum(y[mine][by_score])
+        s, many = scores[mine][by_score], n[mine][by_score]
+        right, all_ = np.cumsum(y[mine][by_score] * many), np.cumsum(many)
         # Equal scores are taken or left together.
         last = np.append(s[1:] < s[:-1], True) if len(s) else np.zeros(0, bool)
-        good = np.flatnonzero(last & (right / np.arange(1, len(s) + 1) >= settings.precision))
+        good = np.flatnonzero(last & (right / all_ >= settings.precision))
         cut[kind] = max(settings.least, float(s[good[-1]])) if len(good) else 2.0
     return cut
 

@@ -115,3 +115,25 @@ def test_rows(spark, trees):
     assert clean.columns == df.columns
     assert sorted(str(r.text)[:7] for r in clean.collect()) == ["", "None", "[EMAIL]", "[EMAIL]", "[EMAIL]", "word wo"]
     assert pii.redacted(df.limit(0)).count() == 0
+
+
+def test_every_row_is_learned_from(spark):
+    """Copies of one text weigh as many as they are, also beyond what a sample would hold."""
+    df = spark.createDataFrame([(i, "mail jane.roe@example.com or 10.0.0.1 today") for i in range(6_000)], "doc_id long, text string")
+    data, _ = pii.training(df.repartition(3))
+    counts = {kind: sum(n for x, y, n in data if x[k] == 1 and y == 1.0) for k, kind in enumerate(pii.KINDS)}
+    # A base span, the same among the proposals where checks are sure of it, and its written-out form; examples come on top.
+    assert 3 * 6_000 < counts["ip"] < 3 * 6_000 + 200
+    assert counts["email"] >= 2 * 6_000
+
+
+def test_gates_lose_no_proposal(monkeypatch):
+    rng = random.Random(11)
+    parts = ["a", "at", "AT", "@", "dot", "DOT", ".", " ", "  ", "[", "]", "(", ")", "{", "}", "<", ">", "b-1", "12", "4111", "555", "0", "+", "-", "/", "_", "x.y"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(20_000)]
+    found = [(pii.base_spans(t), pii.proposals(t)) for t in texts]
+    always = re.compile("")
+    for gate in ("_RUN", "_MAY_SPELL", "_MAY_SPELL_IP"):
+        monkeypatch.setattr(pii, gate, always)
+    assert found == [(pii.base_spans(t), pii.proposals(t)) for t in texts]
+    assert sum(bool(p) for _, p in found) > 100
