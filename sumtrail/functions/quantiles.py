@@ -142,6 +142,7 @@ def counted_quantiles(
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
     ranked: int = RANKED,
+    stored: bool = False,
 ) -> DataFrame:
     """``exact_quantiles`` of values that come ``weight`` times each: one row per key, interpolated, with the count ``n``.
 
@@ -149,13 +150,15 @@ def counted_quantiles(
     sign and magnitude, then in ever finer parts of that range, until it holds one
     value or few enough rows to be ranked. Every step is one aggregation over what
     is left; rows of one value may be many. Missing values and those that are not
-    finite do not count, and a key without any other has no row.
+    finite do not count, and a key without any other has no row. ``stored`` says that
+    ``counts`` is read from a table and need not be written to be read repeatedly.
     """
     by = list(by)
     names = list(names or [f"q{round(f * 100)}" for f in fractions])
-    rows = written(
-        counts.select(*by, finite(F.col(value)).alias("_x"), F.col(weight).cast("long").alias("_w"))
-        .where("_x is not null and _w > 0"))
+    rows = counts.select(*by, finite(F.col(value)).alias("_x"), F.col(weight).cast("long").alias("_w")).where(
+        "_x is not null and _w > 0")
+    if not stored:
+        rows = written(rows)
     x, zone = F.col("_x"), ["_first", "_last", "_before"]
     # Subnormal numbers have logarithms of -1074 and more.
     magnitude = F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x)) * 8) + 10_000))

@@ -7,6 +7,7 @@ and every pattern is tested once per distinct text instead of once per row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,9 +37,16 @@ def cells(df: DataFrame, dataset: str = "data") -> DataFrame:
     return long.select(F.lit(dataset).alias("dataset"), "column_name", "raw")
 
 
-def value_counts(long: DataFrame) -> DataFrame:
+def _numbered_cells(df: DataFrame, first: int) -> DataFrame:
+    """(place, raw), one row per cell, missing as ''; columns are numbered from ``first``."""
+    text = as_text(df).na.fill("")
+    return text.select(F.inline(F.array(*[
+        F.struct(F.lit(first + i).alias("place"), F.col(f"`{c}`").alias("raw")) for i, c in enumerate(text.columns)])))
+
+
+def value_counts(long: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """(dataset, column_name, value, n, chars): one row per distinct trimmed text."""
-    return long.groupBy(*KEYS, strip(F.col("raw")).alias("value")).agg(
+    return long.groupBy(*by, strip(F.col("raw")).alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("chars")
     )
 
@@ -72,7 +80,7 @@ def _tested(counts: DataFrame, dayfirst: bool) -> DataFrame:
         "_dated", F.col("present") & looks_like_date(v, stripped=True))
     present, dated = F.col("present"), F.col("_dated")
     other = seen.withColumns({
-        "number": F.when(present & v.rlike(fixed.NUMBER_START), to_number(v)),
+        "number": to_number(F.when(present & v.rlike(fixed.NUMBER_START), v)),
         "day": F.when(dated, to_day(v, dayfirst, stripped=True)),
         "is_date": dated & ~v.rlike(fixed.PLAIN_NUMBER),
         "is_boolean": present & short & v.rlike(fixed.BOOLEAN_WORD),
@@ -136,8 +144,6 @@ def _totals() -> list[Column]:
         F.max("number").alias("_max"),
         F.min("day").alias("_first_day"),
         F.max("day").alias("_last_day"),
-        # Bounded: one entry per calendar month.
-        F.size(F.collect_set(F.trunc("day", "month"))).cast("bigint").alias("_months"),
     ]
 
 
@@ -148,22 +154,52 @@ def profile_columns(df: DataFrame, dataset: str = "data", dayfirst: bool = False
 
 def profile_tables(tables: dict[str, DataFrame], dayfirst: bool = False) -> DataFrame:
     """Profiles of several tables in one plan, one row per table and column."""
-    long = reduce(DataFrame.unionByName, [cells(df, name) for name, df in tables.items()])
-    # Written once: every cell is read, and every distinct text tested, a single time.
-    tested = written(_tested(written(value_counts(long)), dayfirst))
-    summary = tested.groupBy(*KEYS).agg(
+    columns = [(name, c) for name, df in tables.items() for c in df.columns]
+    first = dict(reversed([(name, i) for i, (name, _) in enumerate(columns)]))
+    long = reduce(DataFrame.unionByName, [_numbered_cells(df, first[name]) for name, df in tables.items()])
+    key = ["place"]
+    # Written once: every cell is read a single time. Tests are cheaper made again than written.
+    counts = written(value_counts(long, key))
+    tested = _tested(counts, dayfirst)
+    summary = tested.groupBy(*key).agg(
         F.sum("n").alias("rows"), F.count_if("present").alias("distinct_values"), *_totals()
     )
-    x, n = finite(F.col("number")), F.col("n")
-    numbers = tested.where(x.isNotNull()).select(*KEYS, x.alias("x"), "n")
-    means = written(numbers.groupBy(*KEYS).agg((F.sum(F.col("x") * n) / F.sum("n")).alias("_mean"), F.sum("n").alias("_n")))
+    days = tested.where("day is not null").select(*key, F.trunc("day", "month").alias("month")).distinct()
+    months = days.groupBy(*key).agg(F.count(F.lit(1)).alias("_months"))
+    # Numbers are read from text once, in this step; whether there is one is asked of the written table.
+    n, numberlike = F.col("n"), F.col("value").rlike(fixed.NUMBER_START)
+    numbers = written(_tested(counts.where(numberlike), dayfirst).select(*key, F.col("number").alias("x"), "n"))
+    numbers = numbers.where(finite(F.col("x")).isNotNull())
+    means = written(numbers.groupBy(*key).agg((F.sum(F.col("x") * n) / F.sum("n")).alias("_mean"), F.sum("n").alias("_n")))
     off = F.col("x") - F.col("_mean")
-    spread = join_by(numbers, means, KEYS).groupBy(*KEYS, "_mean").agg(F.sqrt(F.sum(off * off * n) / F.max("_n")).alias("_sd"))
-    moments = join_by(spread, counted_quantiles(numbers, "x", "n", [0.5], KEYS, ["_median"]).drop("n"), KEYS)
-    head = top_rows(tested.where("present").select(*KEYS, "value"), KEYS, [F.col("value")], SAMPLE_SIZE)
-    samples = head.groupBy(*KEYS).agg(F.sort_array(F.collect_list("value")).alias("samples"))
-    joined = join_by(join_by(summary, moments, KEYS, "left"), samples, KEYS, "left")
-    return _profile_row(joined, {name: df.columns for name, df in tables.items()})
+    spread = join_by(numbers, means, key).groupBy(*key, "_mean").agg(F.sqrt(F.sum(off * off * n) / F.max("_n")).alias("_sd"))
+    moments = join_by(spread, counted_quantiles(numbers, "x", "n", [0.5], key, ["_median"], stored=True).drop("n"), key)
+    head = _smallest(counts.select(*key, "value"), key, SAMPLE_SIZE)
+    samples = head.groupBy(*key).agg(F.sort_array(F.collect_list("value")).alias("samples"))
+    joined = summary
+    for part in (months, moments, samples):
+        joined = join_by(joined, part, key, "left")
+    names = F.array(*[F.struct(F.lit(name).alias("dataset"), F.lit(c).alias("column_name")) for name, c in columns])
+    named = joined.withColumn("_months", F.coalesce("_months", F.lit(0))).select("*", names[F.col("place")].alias("_name")).select(
+        "*", "_name.*")
+    return _profile_row(named, {name: df.columns for name, df in tables.items()})
+
+
+#: One in so many values sets the bound below which the smallest are looked for.
+BOUND_SHARE = 64
+
+
+def _smallest(values: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The ``k`` smallest texts per key that are no missing markers, of distinct texts.
+
+    The ``k``-th smallest of any part of them is a bound, so that few rows are left to test and sort.
+    """
+    v = F.col("value")
+    present = ~F.lower(v).isin(fixed.MISSING_MARKERS)
+    part = values.where((F.pmod(F.xxhash64(v), F.lit(BOUND_SHARE)) == 0) & present)
+    bound = written(top_rows(part, by, [v], k).where(F.col("position") == k).select(*by, v.alias("_most")))
+    near = join_by(values, bound, by, "left").where(F.when(F.col("_most").isNull() | (v <= F.col("_most")), present))
+    return top_rows(near.drop("_most"), by, [v], k)
 
 
 def approximate_profile(df: DataFrame, dataset: str = "data", dayfirst: bool = False) -> DataFrame:
@@ -181,6 +217,8 @@ def approximate_profile(df: DataFrame, dataset: str = "data", dayfirst: bool = F
     summary = _tested(rows, dayfirst).groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(value, 0.01).alias("distinct_values"),
         *_totals(),
+        # Bounded: one entry per calendar month.
+        F.size(F.collect_set(F.trunc("day", "month"))).cast("bigint").alias("_months"),
         F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd"), F.percentile_approx(x, 0.5).alias("_median"),
         F.array_distinct(F.array_compact(F.array(F.min(value), F.max(value)))).alias("samples"),
     )

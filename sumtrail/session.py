@@ -74,6 +74,11 @@ def forget(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_written(df: DataFrame) -> bool:
+    """True for what :func:`written` returns."""
+    return getattr(df, "_is_written", False)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table on shared storage; unchanged if it already is one.
 
@@ -82,7 +87,7 @@ def written(df: DataFrame) -> DataFrame:
     the tasks that ran on it. Read back, the table has a known size: joins
     broadcast it exactly when it is below the session's broadcast threshold.
     """
-    if getattr(df, "_is_written", False):
+    if is_written(df):
         return df
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
