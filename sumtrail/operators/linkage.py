@@ -84,13 +84,17 @@ def link_candidates(columns: Iterable[Row], order: Iterable[str]) -> list[dict]:
     return pairs
 
 
+#: Columns whose bits one number holds.
+WORD = 62
+
+
 def key_overlap(tables: dict[str, DataFrame], pairs: list[dict]) -> DataFrame:
     """Distinct and shared keys of every candidate pair, over the whole tables.
 
     A row sends each of its keys once, however many pairs the column is in.
-    Grouping by key gives the set of columns that hold it (at most as many as
-    there are columns), repeats collapse map-side, and keys with equal sets are
-    counted together; pairs are only formed from those counts.
+    Grouping by key gives the set of columns that hold it, one bit each, so
+    repeats collapse map-side, and keys with equal sets are counted together;
+    pairs are only formed from those counts.
     """
     columns = sorted({(p[f"{s}_dataset"], p[f"{s}_column"]) for p in pairs for s in ("left", "right")})
     number = {c: i for i, c in enumerate(columns)}
@@ -99,9 +103,15 @@ def key_overlap(tables: dict[str, DataFrame], pairs: list[dict]) -> DataFrame:
         mine = [F.struct(F.lit(number[d, c]).alias("place"), _key(c).alias("key")) for d, c in columns if d == name]
         if mine:
             parts.append(df.select(F.inline(F.array(*mine))).where("key <> ''"))
-    holders = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    place, words = F.col("place"), [f"_word{w}" for w in range((len(columns) + WORD - 1) // WORD)]
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place % WORD)
+    holders = reduce(DataFrame.unionByName, parts).groupBy("key").agg(*[
+        F.bit_or(F.when(F.floor(place / WORD) == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(word)
+        for w, word in enumerate(words)])
     # One row per set of columns from here on.
-    sets = written(holders.groupBy("places").agg(F.count(F.lit(1)).alias("n")))
+    held = F.filter(F.array(*map(F.lit, range(len(columns)))),
+                    lambda p: F.getbit(F.array(*words)[F.floor(p / WORD).cast("int")], p % WORD) == 1)
+    sets = written(holders.groupBy(*words).agg(F.count(F.lit(1)).alias("n")).select(held.alias("places"), "n"))
     spark = sets.sparkSession
     wanted = spark.createDataFrame(
         [(p["pair"], number[p["left_dataset"], p["left_column"]], number[p["right_dataset"], p["right_column"]]) for p in pairs],
