@@ -68,6 +68,10 @@ class Cells:
             at = closed.end()
         return line.find('"', at) >= 0 and self.open.match(line, at) is not None
 
+    def moved(self, line: str, quoted: bool, depth: int) -> tuple[bool, int]:
+        """Mode and depth after the line."""
+        return self._ends_quoted(line, quoted), depth
+
     def end(self, line: str, state: State) -> State:
         return State(self._ends_quoted(line, state.quoted))
 
@@ -87,10 +91,47 @@ class Objects:
     _token = re.compile(r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(\s*+:\s*+\[)?+|[{}\[\]"]', re.S)
     _string = re.compile(r'[^"\\]*+(?:\\.[^"\\]*+)*+"', re.S)
     _between = re.compile(r"[\s,]*+\Z")
+    _whole = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', re.S)
+    _opening = re.compile(r"[\s,]*+\{")
 
     def __init__(self, name: str | None = None, wrapped: bool = False):
         self.name, self.level = name, 2 if wrapped else 1
 
+    def _outside(self, piece: str, quoted: bool) -> tuple[bool, str | None]:
+        """Mode after the piece and what of it and its brace stands outside strings; None if nothing does."""
+        piece += "}"
+        if quoted:
+            closed = self._string.match(piece)
+            if closed is None:
+                return True, None
+            piece = piece[closed.end():]
+        rest = self._whole.sub("", piece) if '"' in piece else piece
+        at = rest.find('"')
+        return (False, rest) if at < 0 else (True, rest[:at])
+
+    def moved(self, piece: str, quoted: bool, depth: int) -> tuple[bool, int]:
+        """Mode and depth after the piece."""
+        quoted, rest = self._outside(piece, quoted)
+        if rest is None:
+            return True, depth
+        return quoted, depth + rest.count("{") + rest.count("[") - rest.count("}") - rest.count("]")
+
+    def _within(self, piece: str, state: State) -> State | None:
+        """State after a piece that neither leaves the array of records nor closes another; None for any other piece.
+
+        A piece holds no closing brace but its last character, so depth only
+        grows before that, and the outermost array stays the same.
+        """
+        if state.depth < self.level or self.level == 1 and state.name is not None:
+            return None
+        quoted, rest = self._outside(piece, state.quoted)
+        if rest is None:
+            return state
+        if "]" in rest:
+            return None
+        depth = state.depth + rest.count("{") + rest.count("[") - rest.count("}")
+        return State(quoted, depth, state.name) if depth >= self.level else None
+
     def _walk(self, piece: str, state: State) -> Iterator[tuple[str, int, State]]:
         """Brackets outside strings with their place and the state after them; last, the end."""
         piece, at = piece + "}", 0
@@ -119,12 +160,16 @@ class Objects:
         yield "", len(piece), state
 
     def end(self, piece: str, state: State) -> State:
+        if state.depth >= 2 and (after := self._within(piece, state)) is not None:
+            return after
         for _, _, state in self._walk(piece, state):
             pass
         return state
 
     def arrays(self, piece: str, state: State) -> list[str]:
         """Names of arrays that the piece opens directly in the outermost object."""
+        if state.depth >= 2 and self._within(piece, state) is not None:
+            return []
         return [s.name for mark, _, s in self._walk(piece, state) if mark == "[" and s.depth == 2]
 
     def _inside(self, state: State) -> bool:
@@ -132,6 +177,10 @@ class Objects:
 
     def records(self, piece: str, state: State) -> tuple[State, int | None, bool, bool]:
         open_ = state.depth > self.level and self._inside(state)
+        opening = None if open_ or state.quoted or not self._inside(state) else self._opening.match(piece)
+        if (open_ or opening) and (after := self._within(piece, state)) is not None:
+            # Most pieces: inside a record, or the start of one with nothing but commas before it.
+            return after, None if open_ else opening.end() - 1, after.depth == self.level and not after.quoted, False
         start, odd = None, False
         # Where text directly in the array began, to see that only commas stand there.
         since = 0 if state.depth == self.level and self._inside(state) and not state.quoted else None
@@ -161,12 +210,19 @@ def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Itera
     """The pieces of each split in turn; a task may read several splits one after the other."""
     from itertools import groupby
 
-    def rows():
+    def runs():
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("file", "start", "value")))
+            if not batch.num_rows:
+                continue
+            names, values = [batch.column(c) for c in ("file", "start")], batch.column("value").to_pylist()
+            if all(len(c.unique()) == 1 for c in names):
+                yield tuple(c[0].as_py() for c in names), values
+                continue
+            for key, group in groupby(zip(*(c.to_pylist() for c in names), values), key=lambda r: r[:2]):
+                yield key, [value for *_, value in group]
 
-    for (file, start), group in groupby(rows(), key=lambda r: r[:2]):
-        yield file, start, (value for _, _, value in group)
+    for (file, start), group in groupby(runs(), key=lambda r: r[0]):
+        yield file, start, (value for _, values in group for value in values)
 
 
 _ENDS = "file string, start long, from_plain boolean, from_quoted boolean, deeper long, deeper_quoted long, texts long"
@@ -177,16 +233,16 @@ def _ends(found: DataFrame, scanner) -> DataFrame:
 
     def run(batches):
         for file, start, values in _splits(batches):
-            plain, quoted, texts = State(), State(quoted=True), 0
+            plain, quoted, texts = (False, 0), (True, 0), 0
             for value in values:
                 # Once the modes agree, both go the same way from then on.
-                apart = quoted.depth - plain.depth if plain.quoted == quoted.quoted else None
-                plain = scanner.end(value, plain)
-                quoted = scanner.end(value, quoted) if apart is None else replace(plain, depth=plain.depth + apart)
+                apart = quoted[1] - plain[1] if plain[0] == quoted[0] else None
+                plain = scanner.moved(value, *plain)
+                quoted = scanner.moved(value, *quoted) if apart is None else (plain[0], plain[1] + apart)
                 texts += not value.isspace() and value != ""
             yield pa.RecordBatch.from_pydict({
-                "file": [file], "start": [start], "from_plain": [plain.quoted], "from_quoted": [quoted.quoted],
-                "deeper": [plain.depth], "deeper_quoted": [quoted.depth], "texts": [texts]})
+                "file": [file], "start": [start], "from_plain": [plain[0]], "from_quoted": [quoted[0]],
+                "deeper": [plain[1]], "deeper_quoted": [quoted[1]], "texts": [texts]})
 
     return found.mapInArrow(run, _ENDS)
 
