@@ -77,8 +77,10 @@ BOOLEAN_WORD = "(?i)^(true|false|yes|no|y|n)$"
 BOOLEAN_WORD_OR_BIT = "(?i)^(true|false|yes|no|y|n|0|1)$"
 PADDED_ISO_DAY = r"^\d{4}-\d{2}-\d{2}"
 PLAIN_NUMBER = r"^-?\d+(\.\d+)?$"
-# A plain number to the very end of the text, and how any number starts: both only spare other patterns.
+# A plain number to the very end of the text, and how any number starts: these only spare other patterns.
 ONLY_DIGITS = r"^-?\d+(?:\.\d+)?\z"
+# A whole number that is written as it would be after reading it.
+WHOLE_NUMBER = r"^(?:0|-?[1-9]\d{0,14})\z"
 NUMBER_START = r"^[£$€,+\-.0-9]"
 # Characters of the longest match of these patterns, with one line end that "$" overlooks.
 LONGEST_BOOLEAN = 6

@@ -18,7 +18,7 @@ from sumtrail.functions.grouping import join_by
 from sumtrail.functions.quantiles import exact_quantiles
 from sumtrail.functions.values import is_missing, looks_like_date, plain_text, strip, to_day, to_number
 from sumtrail.operators.profile import as_text, infer_types, profile_columns, row_key
-from sumtrail.session import written
+from sumtrail.session import is_written, written
 
 
 @dataclass
@@ -73,8 +73,16 @@ def _normal_form(c: str, kind: str, dayfirst: bool) -> Column:
 
 
 def normalised(df: DataFrame, types: dict[str, str], dayfirst: bool = False) -> DataFrame:
-    return df.select(*[
-        _normal_form(c, types.get(c, "string"), dayfirst).alias(c) for c in df.columns
+    """Numbers and dates in one form; every number is read once, in a step of its own."""
+    numbers = {c: f"_number_{i}" for i, c in enumerate(df.columns) if types.get(c) == "number"}
+    while set(numbers.values()) & set(df.columns):
+        numbers = {c: f"{name}_" for c, name in numbers.items()}
+    read = df.select("*", *[
+        to_number(F.when(~F.col(f"`{c}`").rlike(fixed.WHOLE_NUMBER), F.col(f"`{c}`"))).alias(name)
+        for c, name in numbers.items()])
+    return read.select(*[
+        (F.coalesce(plain_text(F.col(numbers[c])), F.col(f"`{c}`")) if c in numbers
+         else _normal_form(c, types.get(c, "string"), dayfirst)).alias(c) for c in df.columns
     ])
 
 
@@ -121,6 +129,9 @@ def label_fills(rows: DataFrame, columns: list[str], by: Sequence[str] = ()) ->
 def fills(rows: DataFrame, fillable: dict[str, str], by: Sequence[str] = ()) -> DataFrame | None:
     """Fill of every fillable column, per key of ``by`` if given; keys are not filled themselves."""
     fillable = {c: kind for c, kind in fillable.items() if c not in by}
+    if fillable:
+        # Read by several passes; what is before it may be a shuffle of all rows.
+        rows = written(rows.select(*by, *[F.col(f"`{c}`") for c in fillable])) if not is_written(rows) else rows
     numeric = [c for c, kind in fillable.items() if kind == "number"]
     labels = [c for c, kind in fillable.items() if kind != "number"]
     parts = []
@@ -213,7 +224,7 @@ def clean(df: DataFrame, profile: Iterable[Row] | None = None, dayfirst: bool =
     # Removing duplicates is the costly step; the fills, the log and the
     # result all read its output, so it is done once.
     unique = written(deduplicated(df, by_hash=sum(p.avg_length for p in profile) > WIDE))
-    rows = normalised(unique, types, dayfirst)
+    rows = written(normalised(unique, types, dayfirst))
     values = fills(rows, fillable)
     return Cleaned(
         rows=filled(rows, values, fillable),
