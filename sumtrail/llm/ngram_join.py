@@ -12,11 +12,14 @@ of at least ``share`` percent. The join is exact:
    a shingle lies among the first by hash, twice the prefix; the order decides the
    cost of the join, never its result. Equal sets are one node from here on,
    however many copies there are.
-2. Tiles are the nodes that share a prefix hash. Each node is first held against
-   its tiles' smallest and largest node, then, where a tile spans components,
-   against its most central one. The links found give preliminary components,
-   so a large group of near copies needs few comparisons.
-3. Tiles that still span components are split by size band (a set meets only
+2. Tiles are the nodes that share a prefix hash. Most prefix hashes are in one set
+   only: blocks of sets, a packed row each, ask in shards which of theirs another
+   set has, by 40 bits or more of the hash, and get back a bit for each; only those
+   become rows. Each node is first held against its tiles' smallest and largest
+   node, which decides every pair of a tile of three, then, where a larger tile
+   spans components, against its most central one. The links found give
+   preliminary components, so a large group of near copies needs few comparisons.
+3. Larger tiles that still span components are split by size band (a set meets only
    its own band and the next) and searched whole: pairs from different
    components whose sizes allow a link, whose places in the tile leave enough
    shingles after the first common one, and whose bitmaps allow enough overlap.
@@ -48,11 +51,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumtrail.llm.common import arrow_schema, map_arrow, small
+from sumtrail.llm.common import arrow_schema, map_arrow, ship, small
 from sumtrail.llm.components import components
 from sumtrail.session import written
 
@@ -63,6 +67,7 @@ class Join:
 
     A shingle is frequent if ``frequent`` documents have it; if more are than
     ``frequent_bytes`` hold, the limit is raised by powers of two until they fit.
+    A block holds about ``block`` prefix hashes, a shard is asked about ``shard``.
     """
 
     width: int = 5
@@ -73,6 +78,8 @@ class Join:
     known_words: int = 300_000
     frequent: int = 8
     frequent_bytes: int = 16_000_000
+    block: int = 1 << 18
+    shard: int = 1 << 20
 
 
 JOIN = Join()
@@ -190,31 +197,112 @@ def identity(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def sets(docs: DataFrame, join: Join = JOIN) -> DataFrame:
-    """doc_id, a hash of the text, n, node, bitmaps and prefix of every row; written, as all steps read it."""
-    schema = T.StructType([
-        docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
-        T.StructField("bitmap", T.ArrayType(T.LongType())), T.StructField("wide", T.BinaryType()),
-        T.StructField("prefix", T.ArrayType(T.LongType()))])
+_BLOCK = T.StructType([
+    T.StructField("block", T.LongType()), T.StructField("nodes", T.BinaryType()), T.StructField("ns", T.BinaryType()),
+    T.StructField("sizes", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
+_ASKED = T.StructType([
+    T.StructField("block", T.LongType()), T.StructField("shard", T.IntegerType()),
+    T.StructField("marks", T.BinaryType()), T.StructField("twice", T.BinaryType())])
+_FLAGS = T.StructType([
+    T.StructField("block", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("flags", T.BinaryType())])
+
+
+def sets(docs: DataFrame, join: Join = JOIN) -> tuple[DataFrame, DataFrame]:
+    """doc_id, a hash of the text, n, node and bitmaps of every row, and blocks of nodes with their prefixes; written, as all steps read it."""
+    rows = T.StructType([
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n", T.LongType()),
+        T.StructField("node", T.LongType()), T.StructField("bitmap", T.ArrayType(T.LongType())), T.StructField("wide", T.BinaryType())])
+    schema = T.StructType([*rows, *_BLOCK])
     target = arrow_schema(schema)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, join))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(join)
+        shingler, number = Shingler(join), TaskContext.get().partitionId() << 32
+        heads: dict[int, tuple[int, np.ndarray]] = {}
+        size = 0
+
+        def closed() -> pa.RecordBatch:
+            values = [
+                np.array(list(heads), np.int64), np.array([n for n, _ in heads.values()], np.int32),
+                np.array([len(h) for _, h in heads.values()], np.int32), np.concatenate([h for _, h in heads.values()])]
+            return pa.RecordBatch.from_arrays(
+                [*(pa.nulls(1, target.field(f.name).type) for f in rows), pa.array([number], pa.int64()),
+                 *(pa.array([v.tobytes()], pa.binary()) for v in values)], schema=target)
+
         for batch in batches:
             found = [shingler(t) for t in batch.column("text").to_pylist()]
-            heads = [first_shingles(s, frequent.value, prefix_size(len(s), join.share)) for s in found]
+            nodes = [identity(s) for s in found]
             wide = [bitmap(s, max(join.bits, 1 << max(0, len(s) - 1).bit_length())) for s in found]
-            lists = pa.ListArray.from_arrays(
-                np.cumsum([0, *map(len, heads)], dtype=np.int32), np.concatenate([*heads, np.empty(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in found], pa.int64()),
-                pa.array([identity(s) for s in found], pa.int64()),
+                batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.int64()),
                 pa.array([folded(w, join.bits // 64).tolist() for w in wide], target.field("bitmap").type),
                 pa.array([w.tobytes() for w in wide], pa.binary()),
-                lists.cast(target.field("prefix").type)], schema=target)
+                *(pa.nulls(len(found), target.field(f.name).type) for f in _BLOCK)], schema=target)
+            for s, node, known in zip(found, nodes, batch.column("doc_id").is_valid().to_pylist()):
+                if known and len(s) and node not in heads:
+                    heads[node] = len(s), first_shingles(s, frequent.value, prefix_size(len(s), join.share))
+                    size += len(heads[node][1])
+                if size >= join.block:
+                    yield closed()
+                    heads.clear()
+                    number, size = number + 1, 0
+        if heads:
+            yield closed()
+
+    both = written(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).transform(map_arrow, run, schema))
+    return both.where("block is null").select(rows.names), both.where("block is not null").select(_BLOCK.names)
+
+
+def marks_of(tokens: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``bits`` + 32 bits of a block's hashes: distinct ones in order, where each hash has its own, how often they come, edges of the shards."""
+    keys = np.frombuffer(tokens, np.uint64) >> np.uint64(32 - bits)
+    keys, place, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return keys, place, n, np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+
+
+def members(blocks: DataFrame, join: Join = JOIN) -> DataFrame:
+    """(token, node, left) of every prefix hash that another set may have too; left counts it and those after it in the set."""
+    total = blocks.agg(F.sum(F.length("tokens"))).first()[0] or 0
+    bits = max(8, math.ceil(math.log2(total / 8 / join.shard + 1)))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("token", "node", "left")])
+    asked_, flagged = arrow_schema(_ASKED), arrow_schema(_FLAGS)
+    ship(blocks.sparkSession)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, tokens in zip(batch.column("block").to_pylist(), batch.column("tokens")):
+                keys, _, n, edges = marks_of(tokens.as_py(), bits)
+                full = np.flatnonzero(np.diff(edges)).tolist()
+                cut = [slice(edges[s], edges[s + 1]) for s in full]
+                low = keys.astype(np.uint32)
+                values = [[number] * len(full), full, [low[c].tobytes() for c in cut], [np.packbits(n[c] > 1).tobytes() for c in cut]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, asked_)], schema=asked_)
+
+    def shard(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(m.as_py(), np.uint32) for m in table["marks"]]
+        twice = [np.unpackbits(np.frombuffer(t.as_py(), np.uint8), count=len(r)) for t, r in zip(table["twice"], rows)]
+        _, place, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+        several = n > 1
+        several[place[np.concatenate(twice) == 1]] = True
+        edges = np.cumsum([0, *map(len, rows)])
+        flags = [np.packbits(several[place[a:b]]).tobytes() for a, b in zip(edges, edges[1:])]
+        return pa.Table.from_arrays([table["block"], table["shard"], pa.array(flags, pa.binary())], schema=flagged)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, flags in zip(zip(*(batch.column(c) for c in _BLOCK.names[1:])), batch.column("flags")):
+                nodes, ns, sizes, tokens = (np.frombuffer(r.as_py(), k) for r, k in zip(raw, (np.int64, np.int32, np.int32, np.int64)))
+                _, place, _, edges = marks_of(tokens.tobytes(), bits)
+                counts = np.diff(edges)
+                bits_ = [np.unpackbits(np.frombuffer(f["flags"], np.uint8), count=counts[f["shard"]]) for f in flags.as_py()]
+                hit = np.flatnonzero(np.concatenate(bits_)[place])
+                owner = np.repeat(np.arange(len(nodes)), sizes)[hit]
+                left = ns[owner] - (hit - (np.cumsum(sizes) - sizes)[owner])
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (tokens[hit], nodes[owner], left)], names=schema.names)
 
-    return written(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).transform(map_arrow, run, schema))
+    flags = map_arrow(blocks.select("block", "tokens"), ask, _ASKED).groupBy("shard").applyInArrow(shard, _FLAGS)
+    answers = flags.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "flags"))).alias("flags"))
+    return map_arrow(blocks.join(answers, "block").select(*_BLOCK.names[1:], "flags"), told, schema)
 
 
 def may_link(n: Column, m: Column, share: int) -> Column:
@@ -305,12 +393,13 @@ def spanning(tiles: DataFrame, parts: DataFrame, join: Join = JOIN) -> DataFrame
 
 def grouped(docs: DataFrame, join: Join = JOIN) -> DataFrame:
     """doc_id, text_hash, n_shingles, node and component_id of every row of ``docs``."""
-    every = sets(docs, join)
+    every, blocks = sets(docs, join)
     known = every.where("n > 0 and doc_id is not null")
-    members = known.select(F.posexplode("prefix").alias("place", "token"), "node", "n").select(
-        "token", "node", "n", (F.col("n") - F.col("place")).alias("left"))
-    ends = written(members.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"))
-    shared = written(members.join(small(ends, join.broadcast_rows), "token").distinct())
+    # A node lies in as many blocks as have copies of it; "left" is the same in all.
+    shared = written(members(blocks, join).groupBy("token", "node").agg(F.min("left").alias("left")))
+    ends = written(shared.groupBy("token").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("nodes")).where("low < high"))
+    shared = written(shared.join(small(ends, join.broadcast_rows), "token"))
     bitmaps = written(
         known.select("node", "n", "bitmap")
         .join(small(written(shared.select("node").distinct()), join.broadcast_rows), "node", "left_semi").dropDuplicates(["node"]))
@@ -329,18 +418,18 @@ def grouped(docs: DataFrame, join: Join = JOIN) -> DataFrame:
     links = linked(docs, known, tried, join)
     first = components(links)
 
-    # What is left: tiles that span preliminary components.
+    # What is left: tiles that span preliminary components. Of three nodes, two are
+    # the ends, so that every pair has been tried.
     at = F.floor(F.log("n") / math.log(100 / join.share * 1.000001)).cast("int")
     placed = written(
-        spanning(shared.select("token", "node", "left"), first, join).join(marks, "node").withColumn("band", at))
+        spanning(shared.where("nodes > 3").select("token", "node", "left"), first, join).join(marks, "node").withColumn("band", at))
 
     # Their nodes against the tile's most central one, which shares most tiles with others: in a
     # group of near copies, one with few changes of its own.
     central = small(written(placed.groupBy("node").agg(F.count("*").alias("tiles"))), join.broadcast_rows)
-    best = written(placed.join(central, "node").groupBy("token").agg(F.max(F.struct("tiles", "node")).alias("best"))
-                   .select("token", F.col("best.node").alias("node")))
-    best = best.join(placed, ["token", "node"]).select(
-        "token", *(F.col(c).alias(f"best_{c}") for c in ("node", "part", "n", "left", "bitmap")))
+    best = written(placed.drop("bitmap").join(central, "node").groupBy("token").agg(F.max(F.struct("tiles", "node", "part", "n", "left")).alias("best"))
+                   .select("token", *(F.col(f"best.{c}").alias(f"best_{c}") for c in ("node", "part", "n", "left"))))
+    best = best.join(marks.select(F.col("node").alias("best_node"), F.col("bitmap").alias("best_bitmap")), "best_node")
     centred = written(
         placed.join(best, "token").where("best_part <> part")
         .where(may_link(F.col("n"), F.col("best_n"), join.share))

@@ -143,3 +143,23 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_only_hashes_of_several_sets_become_rows(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"t{k}x{j}" for j in range(rng.randint(20, 60))) for k in range(60)]
+    texts += [f"{t} and some more" for t in texts[:10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    join = ngram_join.Join(block=100, shard=20)
+    shingler, frequent = ngram_join.Shingler(), ngram_join.frequent_shingles(df, join)
+    owners = {}
+    for s in map(shingler, texts):
+        for k, token in enumerate(ngram_join.first_shingles(s, frequent, ngram_join.prefix_size(len(s), 80)).tolist()):
+            owners.setdefault(token, set()).add((ngram_join.identity(s), len(s) - k))
+    every, blocks = ngram_join.sets(df, join)
+    assert every.count() == len(texts) and blocks.count() > 3
+    got = {}
+    for r in ngram_join.members(blocks, join).collect():
+        got.setdefault(r.token, set()).add((r.node, r.left))
+    assert got == {t: o for t, o in owners.items() if len(o) > 1}
+    assert 0 < len(got) < len(owners) / 2
