@@ -1,9 +1,11 @@
 """BPE encoding and decoding by speculation and verification.
 
-For a word, greedy longest match proposes tokens. A sequence of tokens is the
+For a word, greedy longest match proposes tokens; all words of a batch walk down
+the trie of the tokens side by side. A sequence of tokens is the
 one that merging would give exactly when every adjacent pair of it is: so all
 adjacent pairs of all new words of a batch are tested in one vectorised pass,
-and only words with a failing pair are merged step by step.
+and only words with a failing pair are merged step by step, one merge in each of
+these words at a time.
 
 A boundary between two tokens survives when, among all pairs of pieces that
 ever touch it while both tokens are being built, none has a merge that comes
@@ -18,7 +20,8 @@ workers need no local file; its size does not depend on the data.
 
 Null texts count as empty: no tokens and an empty decoded text. Rows are
 independent, so copies, ties and hot keys need no care; a word of any length is
-handled (merging uses a heap), and a bounded cache keeps the ids of words seen.
+handled (long ones alone, merging with a heap), and a bounded cache keeps the ids
+of words seen.
 """
 
 from __future__ import annotations
@@ -26,9 +29,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +46,10 @@ from sumtrail.llm.common import arrow_schema, map_arrow
 
 #: Rank of what is never merged.
 NEVER = np.int64(1) << 40
+#: Most bytes of a word that is proposed and merged side by side with others.
+SHORT = 48
+#: What follows the bytes of a word, as a symbol of the trie.
+STOP = 256
 
 ENCODED = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()),
@@ -56,6 +66,25 @@ def byte_symbols() -> list[str]:
     return out
 
 
+#: A character beyond the basic plane.
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+@cache
+def plane_pattern(split: str) -> re.Pattern | None:
+    r"""``split`` for the faster ``re`` and texts of the basic plane; None if it has other classes than \p{L}, \p{N} and \s in brackets.
+
+    The classes are written out as ``regex`` has them, so both find the same words.
+    """
+    if "\\" in re.sub(r"\[[^\]]*\]", "", split):
+        return None
+    plane = "".join(map(chr, range(1 << 16)))
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        runs = regex.finditer(f"{name}+", plane)
+        split = split.replace(name, "".join(f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in runs))
+    return None if re.search(r"\\[^u]", split) else re.compile(split)
+
+
 @dataclass
 class Vocabulary:
     """What encoding needs, as plain arrays and dictionaries."""
@@ -72,6 +101,9 @@ class Vocabulary:
     pair_keys: np.ndarray
     pair_ranks: np.ndarray
     longest: int
+    made_by: np.ndarray
+    single: np.ndarray
+    trie: tuple[np.ndarray, np.ndarray, np.ndarray]
     symbols: list[str] = field(default_factory=byte_symbols)
 
     @classmethod
@@ -101,8 +133,38 @@ class Vocabulary:
         ranks = np.array([r for r, _ in rank.values()], np.int64)
         order = np.argsort(keys)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        return cls(ids, texts, model["end_of_word_suffix"] or "", pattern, special, rank, left, right, made,
-                   keys[order], ranks[order], max(len(t) for t in ids))
+        suffix = model["end_of_word_suffix"] or ""
+        made_by = np.full(len(model["merges"]), -1, np.int64)  # token that the merge of a rank makes
+        for r, z in rank.values():
+            made_by[r] = z
+        # Tokens of single bytes: inside a word, and as its last.
+        single = np.array([[ids.get(c, -1), ids.get(c + suffix, -1)] for c in byte_symbols()], np.int64)
+        return cls(ids, texts, suffix, pattern, special, rank, left, right, made, keys[order], ranks[order],
+                   max(len(t) for t in ids), made_by, single, trie(ids, suffix))
+
+
+def trie(ids: dict[str, int], suffix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys (node and symbol) of all edges, the nodes they lead to, and the token that ends at a node or -1."""
+    byte = {c: b for b, c in enumerate(byte_symbols())}
+    edges: dict[int, int] = {}
+    ends = {}
+    for token, i in ids.items():
+        last = bool(suffix) and token.endswith(suffix)
+        path = [byte.get(c) for c in (token[: len(token) - len(suffix)] if last else token)]
+        if not path or None in path:
+            continue
+        # Without any suffix a token may stand at either place.
+        for way in [[*path, STOP]] if last else [path] if suffix else [path, [*path, STOP]]:
+            node = 0
+            for symbol in way:
+                node = edges.setdefault(node * (STOP + 1) + symbol, len(edges) + 1)
+            ends[node] = i
+    keys = np.array(list(edges), np.int64)
+    nodes = np.array(list(edges.values()), np.int64)
+    tokens = np.full(len(edges) + 1, -1, np.int64)
+    tokens[list(ends)] = list(ends.values())
+    order = np.argsort(keys)
+    return keys[order], nodes[order], tokens
 
 
 class Encoder:
@@ -113,6 +175,7 @@ class Encoder:
         self.known: dict[str, tuple[int, bytes]] = {}
         self.tokens = np.array(vocabulary.texts, object)
         self.words = regex.compile(vocabulary.split)
+        self.plane_words = plane_pattern(vocabulary.split)
         self.special = regex.compile("|".join(regex.escape(s) for s, _ in vocabulary.special)) if vocabulary.special else None
         self.special_ids = dict(vocabulary.special)
         self.to_symbols = dict(enumerate(vocabulary.symbols))
@@ -122,14 +185,19 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order; special tokens keep a leading NUL."""
         if self.special is None:
-            return self.words.findall(self.normal(text))
+            return self.split(self.normal(text))
         out: list[str] = []
         end = 0
         for m in self.special.finditer(text):
-            out += self.words.findall(self.normal(text[end : m.start()]))
+            out += self.split(self.normal(text[end : m.start()]))
             out.append("\0" + m.group())
             end = m.end()
-        return out + self.words.findall(self.normal(text[end:] if end else text))
+        return out + self.split(self.normal(text[end:] if end else text))
+
+    def split(self, text: str) -> list[str]:
+        """The words of a normal text."""
+        quick = self.plane_words if _BEYOND.search(text) is None else None
+        return (quick or self.words).findall(text)
 
     @staticmethod
     def normal(text: str) -> str:
@@ -225,11 +293,99 @@ class Encoder:
                     heapq.heappush(heap, (m[0], p, ids[p], ids[q], m[1]))
         return [t for t, on in zip(ids, alive) if on]
 
+    def propose_short(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of short words side by side: all tokens, and their number per word (0: none fits)."""
+        keys, nodes, tokens = self.v.trie
+        sizes = np.array([len(d) for d in data], np.int64)
+        stops = np.cumsum(sizes + 1)
+        symbols = np.full(stops[-1], STOP, np.int64)
+        symbols[np.arange(sizes.sum()) + np.repeat(np.arange(len(data)), sizes)] = np.frombuffer(b"".join(data), np.uint8)
+        at, open_ = stops - sizes - 1, np.arange(len(data))
+        owners, found = [], []
+        bad = np.zeros(len(data), bool)
+        while len(open_):
+            end, stop = at[open_], stops[open_]
+            node = np.zeros(len(open_), np.int64)
+            token, token_end = np.full(len(open_), -1), np.zeros(len(open_), np.int64)
+            walks = np.arange(len(open_))
+            while len(walks):
+                key = node[walks] * (STOP + 1) + symbols[end[walks]]
+                where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                ok = keys[where] == key
+                walks = walks[ok]
+                node[walks] = nodes[where[ok]]
+                end[walks] += 1
+                new = tokens[node[walks]]
+                fits = (new >= 0) & (end[walks] != stop[walks] - 1)  # the last symbol carries the suffix
+                token[walks[fits]], token_end[walks[fits]] = new[fits], end[walks[fits]]
+                walks = walks[end[walks] < stop[walks]]
+            fits = token >= 0
+            bad[open_[~fits]] = True
+            open_ = open_[fits]
+            owners.append(open_)
+            found.append(token[fits])
+            at[open_] = token_end[fits]
+            open_ = open_[at[open_] < stops[open_]]
+        owner, flat = np.concatenate(owners), np.concatenate(found)
+        order = np.argsort(owner, kind="stable")
+        order = order[~bad[owner[order]]]
+        return flat[order], np.bincount(owner[order], minlength=len(data))
+
+    def ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The ranks of the merges of pairs of tokens."""
+        key = x * len(self.v.texts) + y
+        at = np.minimum(np.searchsorted(self.v.pair_keys, key), len(self.v.pair_keys) - 1)
+        return np.where(self.v.pair_keys[at] == key, self.v.pair_ranks[at], NEVER)
+
+    def merged_short(self, data: list[bytes]) -> list[list[int]]:
+        """The ids of short words by merging; each round makes one merge in every word that has one left."""
+        sizes = np.array([len(d) for d in data], np.int64)
+        last = np.zeros(sizes.sum(), np.int64)
+        last[np.cumsum(sizes) - 1] = 1
+        ids = self.v.single[np.frombuffer(b"".join(data), np.uint8), last]
+        owner = np.repeat(np.arange(len(data)), sizes)
+        ranks = np.full(len(ids), NEVER)  # of a token and the next one of its word
+        inner = np.flatnonzero(last == 0)
+        ranks[inner] = self.ranks(ids[inner], ids[inner + 1])
+        out: list[list[int]] = [[]] * len(data)
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            sizes = np.diff(np.append(starts, len(ids)))
+            least = np.minimum.reduceat(ranks, starts)
+            ended = least == NEVER
+            if ended.any():
+                plain = ids.tolist()
+                for a, n, w in zip(starts[ended].tolist(), sizes[ended].tolist(), owner[starts[ended]].tolist()):
+                    out[w] = plain[a : a + n]
+                going = np.repeat(~ended, sizes)
+                ids, owner, ranks = ids[going], owner[going], ranks[going]
+                least, sizes = least[~ended], sizes[~ended]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(ranks == np.repeat(least, sizes))
+            at = at[np.append(True, owner[at[1:]] != owner[at[:-1]])]  # the leftmost of each word
+            ids[at] = self.v.made_by[least]
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            at -= np.arange(len(at))  # one token left of it is gone in every word before
+            ids, owner, ranks = ids[stays], owner[stays], ranks[stays]
+            for left in (at, at[at > 0] - 1):
+                pair = left[left + 1 < len(ids)]
+                pair = pair[owner[pair] == owner[pair + 1]]
+                ranks[left] = NEVER
+                ranks[pair] = self.ranks(ids[pair], ids[pair + 1])
+        return out
+
     def learn(self, new: list[str]) -> None:
         """Encode words not seen before: propose, verify all pairs at once, merge what failed."""
-        proposed = [self.propose(w) for w in new]
-        flat = np.array([t for p in proposed for t in p], np.int64)
-        sizes = np.array([len(p) for p in proposed], np.int64)
+        coded = [w.encode("utf-8", "surrogatepass") for w in new]
+        short = [k for k, d in enumerate(coded) if len(d) <= SHORT]
+        long = [k for k, d in enumerate(coded) if len(d) > SHORT]
+        order = short + long
+        proposed = [self.propose(new[k]) for k in long]
+        flat, sizes = self.propose_short([coded[k] for k in short]) if short else (np.empty(0, np.int64), np.empty(0, np.int64))
+        flat = np.concatenate([flat, np.array([t for p in proposed for t in p], np.int64)])
+        sizes = np.concatenate([sizes, np.array([len(p) for p in proposed], np.int64)])
         ends = np.cumsum(sizes)
         good = sizes > 0
         if len(flat) > 1:
@@ -238,31 +394,33 @@ class Encoder:
             inner[cuts[(cuts >= 0) & (cuts < len(inner))]] = False
             key, where = np.unique(flat[:-1][inner] * len(self.v.texts) + flat[1:][inner], return_inverse=True)
             ok = self.fits(key // len(self.v.texts), key % len(self.v.texts))[where.reshape(-1)]
-            owner = np.repeat(np.arange(len(new)), sizes)[:-1][inner]
+            owner = np.repeat(np.arange(len(order)), sizes)[:-1][inner]
             good[owner[~ok]] = False
-        for word, tokens, fine in zip(new, proposed, good):
-            if not fine:
-                tokens = self.merged(word)
-            self.known[word] = (len(tokens), np.array(tokens, "<u4").tobytes())
+        data = flat.astype("<u4").tobytes()
+        for k, a, b, fine in zip(order, (ends - sizes).tolist(), ends.tolist(), good.tolist()):
+            if fine:
+                self.known[new[k]] = (b - a, data[4 * a : 4 * b])
+        failed = [k for k, fine in zip(order, good.tolist()) if not fine]
+        side = [k for k in failed if len(coded[k]) <= SHORT]
+        alone = [k for k in failed if len(coded[k]) > SHORT]
+        tokens = self.merged_short([coded[k] for k in side]) if side else []
+        for k, t in zip(side + alone, tokens + [self.merged(new[k]) for k in alone]):
+            self.known[new[k]] = (len(t), np.array(t, "<u4").tobytes())
 
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
         """For every text: number of tokens, ids as little-endian 32-bit integers, the text these ids decode to."""
         split = [self.pieces(t) for t in texts]
         if len(self.known) > self.limit:
             self.known.clear()
-        new = {w for p in split for w in p if w not in self.known}
+        new = set().union(*split).difference(self.known)
         for w in [w for w in new if w[0] == "\0" and w[1:] in self.special_ids]:
             new.discard(w)
             token = self.special_ids[w[1:]]
             self.known[w] = (1, np.array([token], "<u4").tobytes())
         if new:
             self.learn(list(new))
-        counts, ids = [], []
-        for p in split:
-            found = [self.known[w] for w in p]
-            counts.append(sum([f[0] for f in found]))
-            ids.append(b"".join([f[1] for f in found]))
-        return list(zip(counts, ids, self.decode(ids)))
+        ids = [b"".join(map(itemgetter(1), map(self.known.__getitem__, p))) for p in split]
+        return list(zip([len(i) // 4 for i in ids], ids, self.decode(ids)))
 
     def decode(self, encoded: list[bytes]) -> list[str]:
         """The texts of encoded ids, looked up in the token table for all texts at once.

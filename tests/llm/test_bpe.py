@@ -85,3 +85,40 @@ def test_rows(spark, library):
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(plain.encode()).hexdigest()
     assert bpe.encoded(df.limit(0), PATH).count() == 0
+
+
+def test_short_words_are_encoded_side_by_side(library):
+    """No call per word, however many new words a text has."""
+    encoder = bpe.Encoder(bpe.Vocabulary.load(PATH))
+    rng = random.Random(12)
+    words = ["".join(rng.choice("aeinorstzé日'!0") for _ in range(rng.randint(1, 14))) for _ in range(2_000)]
+
+    def alone(word):
+        raise AssertionError(word)
+
+    encoder.propose = encoder.merged = alone
+    text = " ".join(words)
+    (n, ids, decoded), = encoder.encode([text])
+    expected, plain = want(library, text)
+    assert list(bpe.np.frombuffer(ids, "<u4")) == expected
+    assert (n, decoded) == (len(expected), plain)
+
+
+def test_side_by_side_is_the_same_as_alone(encoder):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 40))) for _ in range(500)] + ["a", "aaaa", "a" * 48, "zq"]
+    data = [w.encode() for w in words]
+    assert encoder.merged_short(data) == [encoder.merged(w) for w in words]
+    flat, sizes = encoder.propose_short(data)
+    ends = bpe.np.cumsum(sizes)
+    assert [flat[e - n : e].tolist() for e, n in zip(ends, sizes)] == [encoder.propose(w) for w in words]
+
+
+def test_quick_split_is_the_same(encoder):
+    plane = "".join(map(chr, range(1 << 16)))
+    assert encoder.plane_words is not None
+    assert encoder.split(plane) == encoder.words.findall(plane)
+    for text in ("a🙂b \x1c\x85 c", "d'll١२3x", " "):
+        assert encoder.split(text) == encoder.words.findall(text)
+    assert bpe.plane_pattern(r"[\p{Lu}]+") is None
+    assert bpe.plane_pattern(r"\s+|[\p{L}]+") is None
