@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 * Model: word 3-grams of the trusted texts, counted, estimated and asked in
-  sharded joins (``word_lm``). Its tables grow with the trusted texts.
+  sharded joins, slice by slice (``word_lm``). Its tables grow with the trusted texts.
 * Thresholds: a quantile of the perplexities per language of trusted texts the
   model has not seen: a fifth of them, by a hash of the text so that copies stay
   together. A language with fewer than ``least`` of these takes the quantile
@@ -128,10 +128,12 @@ def counted(texts: DataFrame, model: Model = MODEL) -> DataFrame:
     return texts.select("text").transform(map_arrow, run, schema).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more."""
-    c = [F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]
-    n1, n2, n3, n4 = (x or 0 for x in counts.agg(*[x.alias(f"n{k}") for k, x in enumerate(c)]).first())
+def _discounts(counts: DataFrame | tuple) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, of a table or of how often 1 to 4 occur."""
+    if isinstance(counts, DataFrame):
+        c = [F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]
+        counts = counts.agg(*[x.alias(f"n{k}") for k, x in enumerate(c)]).first()
+    n1, n2, n3, n4 = (x or 0 for x in counts)
     if not n1 or not n2:
         return 0.5, 0.75, 0.9
     y = n1 / (n1 + 2 * n2)
@@ -220,7 +222,8 @@ def classified(docs: DataFrame, trusted_ids: DataFrame, model: Model = MODEL) ->
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("t"), "left_semi").withColumn("out", fold)
     sides = {r["out"] for r in texts.where("trim(text) != ''").groupBy("out").count().collect()}
     learnt = texts.where("not out") if len(sides) == 2 else texts
-    estimates = word_lm.estimated(written(word_lm.counted(learnt)), _discounts)
+    n = word_lm.slices(docs)
+    estimates = word_lm.estimated([word_lm.counted(learnt, part=(k, n)) for k in range(n)], _discounts)
     found = written(word_lm.scored(docs, estimates))
     out = texts.where("out") if len(sides) == 2 else texts
     held = small(written(out.select(F.col("doc_id").alias("h")).distinct()), model.broadcast_rows)

@@ -94,4 +94,11 @@ def written(df: DataFrame) -> DataFrame:
     # The schema is given, so that empty results can be read back as well.
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._is_written = True
+    table._path = path
     return table
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of :func:`written` that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,8 +2,12 @@
 
 from collections import Counter, defaultdict
 
+import os
+import random
+
 import numpy as np
 
+from sumtrail import session
 from sumtrail.llm import quality_lm, word_lm
 
 
@@ -73,3 +77,48 @@ def test_scripts_are_not_folded(spark):
 def test_scripts_without_spaces():
     found = word_lm.words("猫が好き, ok", word_lm._Hashes())
     assert len(found) == 3 + 4 + 2
+
+
+def test_words_of_all_texts_at_once():
+    """The same words as one text at a time, also where marks and letters stand alone, and beyond the basic plane."""
+    texts = ["the cat's 12 ab_c", None, "", " \n", "!฿฿ ฿!ก ั!", "猫が好き, ok 𠀀𠀁x", "a\x1cb\x85c...", "\ud800 x", "é é", "ab ba", "x" * 3_000]
+    known = word_lm._Hashes()
+    flat, sizes = word_lm.split(texts)
+    other = np.concatenate([word_lm.words(t, known) for t in texts])
+    assert sizes.tolist() == [len(word_lm.words(t, known)) for t in texts]
+    pairs = set(zip(flat.tolist(), other.tolist()))
+    assert len(pairs) == len(set(flat.tolist())) == len(set(other.tolist()))
+    at = word_lm.triples(flat, sizes)
+    assert len(at) == sum(max(0, n - 2) for n in sizes)
+
+
+def test_slices_add_up(spark):
+    """Any number of slices gives the same perplexities, copies and nulls included."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["a b c", "a b c", None, "unseen words"]
+    df = spark.createDataFrame([(t,) for t in texts[:30]], "text string")
+    docs = spark.createDataFrame([(k, "l", t) for k, t in enumerate(texts)], "doc_id long, lang string, text string")
+    found = []
+    for n in (1, 5):
+        model = word_lm.estimated([word_lm.counted(df, part=(k, n)) for k in range(n)], quality_lm._discounts)
+        found.append({r.doc_id: r for r in word_lm.scored(docs, model).collect()})
+    assert len(found[0]) == len(texts)
+    for k, r in found[0].items():
+        assert found[1][k].n_grams == r.n_grams
+        assert (r.perplexity is None) == (found[1][k].perplexity is None) == (r.n_grams == 0)
+        assert r.perplexity is None or np.isclose(found[1][k].perplexity, r.perplexity, rtol=1e-9)
+
+
+def test_little_stays_on_disk(spark):
+    """What is written for the n-grams of the texts is gone when the perplexities are known."""
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randrange(300)) for _ in range(400)) for _ in range(60)]
+    docs = spark.createDataFrame([(k, "l", t) for k, t in enumerate(texts)], "doc_id long, lang string, text string")
+    folder = session.shared_folder(spark).removeprefix("file://")
+
+    def stored():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+
+    before = stored()
+    assert quality_lm.classified(docs, docs.where("doc_id < 30").select("doc_id")).count() == 60
+    assert stored() - before < 0.5 * sum(map(len, texts))
