@@ -19,6 +19,7 @@ folds rare scripts together. ``classified`` does not use it.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from sumtrail.llm import word_lm
 from sumtrail.llm.common import map_arrow, small
-from sumtrail.session import written
+from sumtrail.session import release, written
 
 SYMBOLS = 64
 
@@ -218,15 +219,21 @@ def classified(docs: DataFrame, trusted_ids: DataFrame, model: Model = MODEL) ->
     trusted, n_grams, perplexity, threshold and kept.
     """
     ids = small(written(trusted_ids.select(F.col("doc_id").alias("t")).where("t is not null").distinct()), model.broadcast_rows)
+    rows = word_lm.described(docs)
     fold = F.pmod(F.xxhash64("text"), F.lit(model.folds)) == 0
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("t"), "left_semi").withColumn("out", fold)
-    sides = {r["out"] for r in texts.where("trim(text) != ''").groupBy("out").count().collect()}
-    learnt = texts.where("not out") if len(sides) == 2 else texts
-    n = word_lm.slices(docs)
-    estimates = word_lm.estimated([word_lm.counted(learnt, part=(k, n)) for k in range(n)], _discounts)
-    found = written(word_lm.scored(docs, estimates))
-    out = texts.where("out") if len(sides) == 2 else texts
+    known = rows.join(ids, F.col("doc_id") == F.col("t"), "left_semi").withColumn("out", F.pmod("id", F.lit(model.folds)) == 0)
+    sides = {r["out"]: r["n"] for r in known.where("some").groupBy("out").agg(F.sum("chars").alias("n")).collect()}
+    learnt, chars = (texts.where("not out"), sides[False]) if len(sides) == 2 else (texts, sum(sides.values()))
+    n = word_lm.slices(rows.agg(F.sum("chars").alias("n")).first()["n"] or 0, chars)
+    pieces = word_lm.pieces(math.ceil(chars / n))
+    estimates = word_lm.estimated([word_lm.counted(learnt, part=(k, n), parts=pieces) for k in range(n)], _discounts, pieces)
+    found = written(word_lm.scored(docs, estimates, rows=rows))
+    if estimates is not None:
+        release(estimates.words)
+    out = known.where("out") if len(sides) == 2 else known
     held = small(written(out.select(F.col("doc_id").alias("h")).distinct()), model.broadcast_rows)
+    release(rows)
     result = found.join(ids, F.col("doc_id") == F.col("t"), "left").withColumn("trusted", F.col("t").isNotNull()).drop("t")
     trusted = found.where("perplexity is not null").join(held, F.col("doc_id") == F.col("h"), "left_semi")
     cut = F.percentile_approx("perplexity", model.quantile, 10_000)

@@ -122,3 +122,61 @@ def test_little_stays_on_disk(spark):
     before = stored()
     assert quality_lm.classified(docs, docs.where("doc_id < 30").select("doc_id")).count() == 60
     assert stored() - before < 0.5 * sum(map(len, texts))
+
+
+def test_counts_travel_as_arrays(spark):
+    """Triples and values are a row per block and group, not a row each, which took most of the time."""
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(200)) for _ in range(300)) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    counts = [word_lm.counted(df, part=(k, 2), parts=3) for k in range(2)]
+    assert all(c.count() <= 2 * 3 for c in counts)
+    model = word_lm.estimated(counts, quality_lm._discounts, 3)
+    for k in range(2):
+        values, name = word_lm.valued(model, (k, 2), 5)
+        rows = values.collect()
+        word_lm._dropped(spark, name)
+        assert sorted(r.shard for r in rows) == list(range(5))
+        for r in rows:
+            grams = np.frombuffer(r.grams, np.uint64)
+            assert (np.diff(grams.astype(object)) > 0).all() and set(word_lm.range_of(grams[:-1], 5)) == {r.shard}
+
+
+def test_texts_are_split_a_few_times():
+    """The slices are as many as the share that is learnt from needs; each splits all texts once."""
+    assert word_lm.slices(50_000_000_000, 11_500_000_000) == word_lm.slices(800_000_000, 184_000_000) <= 4
+    assert word_lm.slices(1_000_000_000, 1_000_000_000) == 17
+    assert word_lm.slices(1_000, 1_000) == word_lm.slices(0, 0) == 1
+
+
+def test_texts_in_chunks(spark):
+    """Chunks of texts, blocks, groups and shards of any size give the same, copies and nulls included."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["a b c", "a b c", None, None, "", " "]
+    df = spark.createDataFrame([(t,) for t in texts[:30]], "text string").repartition(3)
+    docs = spark.createDataFrame([(k, "l", t) for k, t in enumerate(texts * 2)], "doc_id long, lang string, text string").repartition(3)
+    found = []
+    for n, parts, sizes in ((1, 1, word_lm.SIZES), (3, 7, word_lm.Sizes(block=5, shard_chars=50, slice_chars=20, asks=12))):
+        model = word_lm.estimated([word_lm.counted(df, sizes, (k, n), parts) for k in range(n)], quality_lm._discounts, parts)
+        found.append({r.doc_id: r for r in word_lm.scored(docs, model, sizes).collect()})
+    assert len(found[0]) == len(found[1]) == 2 * len(texts)
+    for k, r in found[0].items():
+        n = len((texts * 2)[k].split()) if (texts * 2)[k] else 0
+        assert r.n_grams == found[1][k].n_grams == (n + 1 if n else 0)
+        assert (r.perplexity is None) == (found[1][k].perplexity is None) == (n == 0)
+        assert n == 0 or np.isclose(found[1][k].perplexity, r.perplexity, rtol=1e-9)
+
+
+def test_values_found():
+    rng = np.random.default_rng(7)
+    for shards, shard, n in ((1, 0, 1000), (7, 3, 500), (24, 23, 3), (5, 0, 0)):
+        every = rng.integers(0, 2**64, 200_000, dtype=np.uint64)
+        # Neighbours, and both ends.
+        every = np.unique(np.concatenate([every, every[:500] + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)]))
+        own = every[word_lm.range_of(every, shards) == shard]
+        grams = np.sort(rng.choice(own, n, replace=False)) if n else own[:0]
+        values = rng.random(n)
+        known = dict(zip(grams.tolist(), values.tolist()))
+        got = word_lm.found(np.append(grams, np.uint64(2**64 - 1)), np.append(values, 0.0), own, shards)
+        assert got.tolist() == [known.get(g, 0.0) for g in own.tolist()]
+    assert word_lm.found(own[:0], values[:0], own, 5).tolist() == [0.0] * len(own)
