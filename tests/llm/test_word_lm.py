@@ -167,6 +167,17 @@ def test_texts_in_chunks(spark):
         assert n == 0 or np.isclose(found[1][k].perplexity, r.perplexity, rtol=1e-9)
 
 
+def test_triples_of_a_slice():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(map(str, rng.integers(0, 50, n))) for n in (3, 0, 1, 200, 0)]
+    for some in (texts, [""], texts[2:3], []):
+        flat, sizes = word_lm.split(some) if some else (np.empty(0, np.int64), np.zeros(0, np.int64))
+        every = word_lm.triples(flat, sizes)
+        for n in (1, 3, 7):
+            own = word_lm.slice_of(flat[every + 1], n)
+            assert all(word_lm.middles(flat, sizes, (k, n)).tolist() == every[own == k].tolist() for k in range(n))
+
+
 def test_values_found():
     rng = np.random.default_rng(7)
     for shards, shard, n in ((1, 0, 1000), (7, 3, 500), (24, 23, 3), (5, 0, 0)):
